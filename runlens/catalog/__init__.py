@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring",)
+FAMILIES = ("scoring", "ledgers")
 
 
 def load():
