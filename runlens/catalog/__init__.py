@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "ledgers")
+FAMILIES = ("scoring", "ledgers", "loads", "usage")
 
 
 def load():

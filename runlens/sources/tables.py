@@ -4,9 +4,10 @@ documents for authored files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runlens.operators import scan as S
 from runlens.operators.scan import chunk_of
 
 
@@ -89,6 +90,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+START_EPOCH = 1704067200.0
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their second on the clock, the number in their properties
     and the chunk of the scan order. ``event_id`` follows time."""
@@ -196,3 +200,82 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("cell"), "doc_id",
         F.concat(dirname, F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), base).alias("rel"),
         F.col("text").alias("content"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trace on the schedule's clock with its running counters."""
+    t = trace(spark, sf_dir).withColumn("ts", F.round(F.col("ts") - F.lit(START_EPOCH), 3))
+    return S.scan(t, ["run"], ["seq"], {"sent": S.total(F.col("sent_d")), "done": S.total(F.col("done_d"))}).drop("sent_d", "done_d")
+
+
+def spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-day spikes on the days of a run that end in 2, and the spread
+    calibration recorded for each."""
+    day = F.floor((F.col("ts") - F.lit(START_EPOCH)) / 86400).cast("long")
+    d = events(spark, sf_dir).select("run", day.alias("day")).where("day % 10 = 2").distinct()
+    i = F.row_number().over(Window.partitionBy("run").orderBy("day"))
+    return d.select("run", i.alias("i"), (F.col("day") * 86400.0).alias("t0"), ((F.col("day") + 2) * 86400.0).alias("t1"),
+                    (F.col("day") * 600.0).alias("mount_spread"), (F.col("day") * 300.0).alias("release_spread"))
+
+
+def law_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run recorded beside its trace."""
+    return events(spark, sf_dir).groupBy("run").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "error").alias("errors")).select(
+        "run", F.when(F.col("run") % 25 != 0, F.lit(START_EPOCH)).alias("started"), F.lit(None).cast("double").alias("release"),
+        "total", "errors")
+
+
+def transcripts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client A's transcript: a conversation per attempt, a turn per line."""
+    n, four = F.length("text"), F.col("turn") % 4
+    tool = lambda i: F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), i.cast("string")).alias("id"))
+    say = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("id"))
+    result = four == 3
+    doc = F.to_json(F.struct(
+        F.when(four == 0, "system").when(four == 1, "assistant").when(four == 2, "rate_limit_event").otherwise("result").alias("type"),
+        F.when(four == 0, "api_retry").alias("subtype"),
+        F.when(four == 1, F.struct(F.array(tool(n % 5), say, tool(n % 3)).alias("content"))).alias("message"),
+        F.when(four == 0, n).alias("retry_delay_ms"),
+        F.when(four == 2, F.struct(F.when(n % 2 == 0, "allowed").otherwise("allowed_warning").alias("status"))).alias("rate_limit_info"),
+        F.when(result, n * 100).alias("duration_ms"), F.when(result, n * 40).alias("duration_api_ms"),
+        F.when(result, F.col("turn")).alias("num_turns"), F.when(result, n / F.lit(64.0)).alias("total_cost_usd"),
+        F.when(result, F.struct(n.alias("input_tokens"), (n * 2).alias("cache_creation_input_tokens"),
+                                F.when(n % 10 != 0, n * 3).alias("cache_read_input_tokens"), (n % 997).alias("output_tokens"),
+                                F.struct((n % 89).alias("thinking_tokens")).alias("output_tokens_details"))).alias("usage")))
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.floor(F.col("conv_id") / 4).cast("long").alias("cell"), (F.col("conv_id") % 4 + 1).alias("attempt"),
+                    F.col("turn").alias("line_no"), F.when(F.col("turn") % 16 == 15, F.lit("{torn")).otherwise(doc).alias("line"))
+
+
+def transcripts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Client B's transcript of the same conversations."""
+    n, four = F.length("text"), F.col("turn") % 4
+    step = F.struct(F.floor(n / 100).alias("step_index"), F.lit("DONE").alias("state"),
+                    F.when(four == 1, "tool").otherwise("agent_response").alias("step_type"),
+                    F.when(four == 1, F.concat(F.lit("tool_"), (n % 6).cast("string"))).alias("tool_name"),
+                    F.struct(F.when(n % 7 == 0, "fork: operation not permitted").otherwise("ok").alias("output")).alias("tool_info"))
+    doc = F.to_json(F.struct(
+        F.when(four == 3, "result").otherwise("step_update").alias("event"), F.when(four != 3, step).alias("step_update"),
+        F.when(four == 3, F.struct((n / F.lit(8.0)).alias("duration_seconds"), F.struct(
+            n.alias("input_tokens"), (n * 5).alias("output_tokens"), F.when(n % 11 != 0, n).alias("thinking_tokens"),
+            (n * 7).alias("cache_read_tokens")).alias("usage"))).alias("result")))
+    c = read(spark, sf_dir, "conversations")
+    return c.select(F.floor(F.col("conv_id") / 4).cast("long").alias("cell"), (F.col("conv_id") % 4 + 1).alias("attempt"),
+                    F.col("turn").alias("line_no"), doc.alias("line"))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent logs: a document's lines, some ending in a provider's message or
+    a structured result."""
+    d = F.col("doc_id")
+    tails = ("Error: you hit your weekly limit, resets in 3 hours", "quota exceeded for this plan", "please run /login now",
+             "API Error: overloaded_error", "all tests passed",
+             '{"type": "result", "is_error": false, "result": "done"}',
+             '{"type": "result", "is_error": true, "result": "Bad gateway from provider"}',
+             '{"type": "result", "api_error_status": 401, "is_error": true, "result": "denied"}',
+             '{"type": "result", "api_error_status": 429, "is_error": true, "result": "rate limit"}',
+             '{"type": "result", broken')
+    tail = F.array(*[F.lit(t) for t in tails])[(d % len(tails)).cast("int")]
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), tail, F.lit("\n  \n")).alias("log"),
+                                                   (d % 3).alias("rc"))
