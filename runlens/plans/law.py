@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from runlens.operators import traces
 from runlens.operators.asof import asof
 from runlens.operators.traces import GRACE_S
+from runlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -75,26 +76,24 @@ def judge(trace: DataFrame, spikes: DataFrame, runs: DataFrame, limits: Limits,
     for c in ("mount_spread", "release_spread"):
         if c not in spikes.columns:
             spikes = spikes.withColumn(c, lit(0))
-    eps = traces.episodes(trace)
+    eps = cut_lineage(traces.episodes(trace))  # read four times below
     by_run = Window.partitionBy("run").orderBy("i")
     facts = (traces.spike_facts(trace, spikes, limits.sat_p99, limits.max_lag, width)
              .join(spikes.select("run", "i", "mount_spread", "release_spread"), ["run", "i"])
              .withColumn("prev_lag", F.coalesce(F.lag("lag").over(by_run), lit(0)))
              .withColumn("next_t0", F.lead("t0").over(by_run))
              .withColumn("n_spikes", F.count(F.lit(1)).over(Window.partitionBy("run"))))
+    # Episodes do not overlap, so at most one is up at the spike's start; it is
+    # an earlier spike's when it began before the spike's own mount window.
+    hits = eps.select("run", F.col("m0").alias("_at"), F.struct("n", "m0", "m1").alias("over"))
+    facts = asof(facts.withColumn("_q", F.col("t0") + GRACE_S), hits, ["run"], "_q", "_at", ["over"], width).drop("_q")
+    covers = F.col("over").isNotNull() & (F.col("over.m1").isNull() | (F.col("over.m1") > F.col("t0") + GRACE_S))
     ways = F.array(*[F.struct(F.lit(w.name).alias("setting"), lit(w.k).alias("k"),
                               F.lit(w.charge_premount).alias("charge_premount")) for w in settings])
-    facts = facts.select("*", F.inline(ways)).withColumn(
-        "mt", F.coalesce(F.col("k") * F.col("mount_spread"), lit(0))).withColumn(
-        "rt", F.coalesce(F.col("k") * F.col("release_spread"), lit(0)))
-
-    hits = eps.select("run", F.col("m0").alias("_at"), F.struct("n", "m0", "m1").alias("ep"))
-    near = lambda df, at, name, strict: (asof(df.withColumn("_q", at), hits.withColumnRenamed("ep", name), ["run"], "_q", "_at",
-                                              [name], width, strict=strict).drop("_q"))
-    facts = near(facts, F.col("t0") - GRACE_S - F.col("mt"), "held", True)
-    facts = near(facts, F.col("t0") + GRACE_S, "over", False)
-    covers = lambda e: F.col(e).isNotNull() & (F.col(f"{e}.m1").isNull() | (F.col(f"{e}.m1") > F.col("t0") + GRACE_S))
-    facts = facts.withColumn("held", F.when(covers("held"), F.col("held"))).withColumn("over", F.when(covers("over"), F.col("over")))
+    facts = (facts.withColumn("over", F.when(covers, F.col("over"))).select("*", F.inline(ways))
+             .withColumn("mt", F.coalesce(F.col("k") * F.col("mount_spread"), lit(0)))
+             .withColumn("rt", F.coalesce(F.col("k") * F.col("release_spread"), lit(0)))
+             .withColumn("held", F.when(F.col("over.m0") < F.col("t0") - GRACE_S - F.col("mt"), F.col("over"))))
     paired = eps.select("run", F.col("n").cast("int").alias("i"), F.struct("m0", "m1").alias("pair"))
     r = run_facts(trace, eps, runs)
     f = facts.withColumn("i", F.col("i").cast("int")).join(paired, ["run", "i"], "left").join(r, "run")

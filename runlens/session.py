@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,15 +26,17 @@ def session(app: str = "runlens", master: str | None = None, **conf: str) -> Spa
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the folder the session names in
-    ``spark.checkpoint.dir``. Only a local session may fall back to a folder
-    of its own: on a cluster it would not be shared between executors."""
+    """Write ``df`` to the checkpoint folder and read it from there, so what
+    builds on it several times computes it once. The folder is the one the
+    session names in ``spark.checkpoint.dir``; only a local session without
+    one gets a folder of its own, which executors elsewhere could not share."""
     spark = df.sparkSession
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix=f"runlens-{os.getpid()}-")
-    context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+            folder = tempfile.mkdtemp(prefix="runlens-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
