@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "ledgers", "loads", "usage")
+FAMILIES = ("scoring", "ledgers", "loads", "usage", "surfaces")
 
 
 def load():
