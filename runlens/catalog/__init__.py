@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "ledgers", "loads", "usage", "surfaces")
+FAMILIES = ("scoring", "ledgers", "loads", "usage", "surfaces", "hosts")
 
 
 def load():

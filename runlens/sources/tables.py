@@ -159,18 +159,18 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host samples: one sample per hour, owner and role from the event."""
-    return events(spark, sf_dir).select(
-        (F.floor(F.col("ts") / 3600) * 3600).cast("double").alias("ts"), "seq",
-        F.when(F.col("kind") == "signup", "host").otherwise("container").alias("scope"),
-        F.when(F.col("kind") == "signup",
-               F.when(F.col("k") % 3 == 0, "cpu_idle").when(F.col("k") % 3 == 1, "load1").otherwise("mem_used_gb"))
+    """Host samples: one sample per hour, one row per name and role in it."""
+    host = F.col("kind") == "signup"
+    rows = events(spark, sf_dir).select(
+        (F.floor(F.col("ts") / 3600) * 3600).cast("double").alias("ts"),
+        F.when(host, "host").otherwise("container").alias("scope"),
+        F.when(host, F.when(F.col("k") % 3 == 0, "cpu_idle").when(F.col("k") % 3 == 1, "load1").otherwise("mem_used_gb"))
         .otherwise(F.concat(F.lit("box-"), F.col("run").cast("string"))).alias("name"),
-        F.when((F.col("kind") == "signup") | (F.col("k") % 9 == 0), F.lit(""))
-        .otherwise(F.col("run").cast("string")).alias("owner"),
-        F.when(F.col("kind") == "signup", F.lit("")).otherwise(F.col("kind")).alias("role"),
+        F.when(host | (F.col("k") % 9 == 0), F.lit("")).otherwise(F.col("run").cast("string")).alias("owner"),
+        F.when(host, F.lit("")).otherwise(F.col("kind")).alias("role"),
         F.when(F.col("k") != 17, F.floor("value")).cast("double").alias("cpu_pct"),
         F.when(F.col("k") % 5 != 0, F.col("k") * 4).cast("double").alias("mem_mb"))
+    return rows.groupBy("ts", "scope", "name", "owner", "role").agg(F.max("cpu_pct").alias("cpu_pct"), F.max("mem_mb").alias("mem_mb"))
 
 
 def resource_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
