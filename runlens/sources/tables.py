@@ -276,3 +276,23 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.array(*[F.lit(t) for t in tails])[(d % len(tails)).cast("int")]
     return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\n"), tail, F.lit("\n  \n")).alias("log"),
                                                    (d % 3).alias("rc"))
+
+
+# One lifecycle action per kind of event and digit of its number.
+ACTION_OF = {
+    "signup": ("Admit", "Admit", "Admit", "Resume", "Admit", "Admit", "Resume", "Admit", "Admit", "EPOCH"),
+    "click": ("AcquireVerify",) * 8 + ("AcquireRig", "ReleaseRig"),
+    "view": ("AcquireVerify", "Pause", "Resume", "AcquireVerify", "AcquireRig", "Admit", "Admit", "Kill", "ReleaseRig", "Noted"),
+    "purchase": ("VerifyGreen", "VerifyGreen", "VerifyFail", "VerifyFail", "Retire", "Admit", "VerifyGreen", "Retire", "VerifyFail", "Retire"),
+    "error": ("Crash", "VerifyFail", "VerifyFail", "ReleaseSlot", "StandDown", "Crash", "VerifyFail", "Pause", "StandDown", "Crash"),
+}
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lifecycle event per event; ten cells' logs are one host's log."""
+    e = events(spark, sf_dir)
+    action = F.lit(None).cast("string")
+    for kind, names in ACTION_OF.items():
+        action = F.when(F.col("kind") == kind, F.array(*[F.lit(n) for n in names])[(F.col("k") % 10).cast("int")]).otherwise(action)
+    return e.select(F.col("run").cast("string").alias("cid"), (F.col("run") % 10).alias("log"), "seq", "ts", "chunk", action.alias("action"),
+                    (F.col("k") % 4 == 0).alias("void"), F.when(F.col("k") % 2 == 0, "loop=none").otherwise("loop=agent").alias("note"))
