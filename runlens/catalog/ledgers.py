@@ -66,8 +66,7 @@ def attempts_to_green(spark, sf):
     return L.attempts_to_green(L.fold(tables.ledger(spark, sf)))
 
 
-@query("ledger_rule_breaks", with_ctes(PAY, r"""
-w AS (SELECT *, TRY_CAST(regexp_extract(array_to_string(fields, chr(9)), 'attempt=(\d+)', 1) AS BIGINT) AS attempt FROM lp),
+RULES = r"""w AS (SELECT *, TRY_CAST(regexp_extract(array_to_string(fields, chr(9)), 'attempt=(\d+)', 1) AS BIGINT) AS attempt FROM lp),
 x AS (SELECT *, count(*) FILTER (event = 'END') OVER b AS ends,
     count(*) FILTER (event = 'ITER' AND fields[1] = 'green') OVER b AS greens,
     count(*) FILTER (event = 'START' AND attempt IS NOT NULL) OVER b AS starts,
@@ -79,8 +78,12 @@ r AS (SELECT cell, line_no, CASE
     WHEN event = 'END' AND (ends > 0 OR (gend AND greens = 0)) THEN 4
     WHEN event = 'ITER' AND attempt <> coalesce(prev_att, 0) + 1 THEN 1
     WHEN event = 'ITER' AND attempt > 3 THEN 2
-    WHEN event = 'ITER' AND attempt IS NOT NULL AND starts > 0 AND own = 0 THEN 5 END AS rule FROM x)""",
-    "SELECT cell, arg_min(rule, line_no) AS rule, min(line_no) AS line_no FROM r WHERE rule IS NOT NULL GROUP BY cell"))
+    WHEN event = 'ITER' AND attempt IS NOT NULL AND starts > 0 AND own = 0 THEN 5 END AS rule,
+    event || chr(9) || array_to_string(fields, chr(9)) AS line FROM x),
+rb AS (SELECT cell, arg_min(rule, line_no) AS rule, min(line_no) AS line_no, arg_min(line, line_no) AS line FROM r WHERE rule IS NOT NULL GROUP BY cell)"""
+
+
+@query("ledger_rule_breaks", with_ctes(PAY, RULES, "SELECT * FROM rb"))
 def ledger_rule_breaks(spark, sf):
     return L.rule_breaks(tables.ledger(spark, sf), budget=3)
 

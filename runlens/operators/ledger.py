@@ -162,7 +162,13 @@ def rule_breaks(ledger: DataFrame, budget: int | None = None) -> DataFrame:
             .when(numbered & over, 2)
             .when(numbered & no_start, 5))
     return (seen.withColumn("rule", rule).where("rule IS NOT NULL").groupBy("cell")
-            .agg(F.min_by("rule", "line_no").alias("rule"), F.min("line_no").alias("line_no")))
+            .agg(F.min_by("rule", "line_no").alias("rule"), F.min("line_no").alias("line_no"),
+                 F.min_by(line_text(ledger), "line_no").alias("line")))
+
+
+def line_text(ledger: DataFrame) -> Column:
+    """A ledger line as written, or put together from its event and fields."""
+    return F.col("line") if "line" in ledger.columns else F.concat_ws("\t", "event", "fields")
 
 
 def agent_lines(ledger: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ A disabled event changes nothing, so the replay is a fold. One event maps the
 finite set of states to itself, and so does a chunk of events: each chunk's map
 is computed on its own, the maps of a cell's chunks are composed in order, and
 every chunk is then replayed from the state it really starts in. A cell of any
-length spreads over its chunks.
+length spreads over its chunks. The step itself is a table lookup per event,
+run over Arrow batches of sorted chunks.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import lifecycle as M
 from runlens.operators import scan as S
+from runlens.session import cut_lineage
 
 
 @lru_cache(maxsize=1)
@@ -61,56 +63,75 @@ def replay(transitions: DataFrame, start: DataFrame | None = None, since: Column
     attempts); ``since`` marks the events to judge."""
     events = transitions.withColumn("_a", _action_code()).where("_a IS NOT NULL")
 
-    def chunk_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    by_chunk = ["cid", "chunk"]
+
+    def chunk_maps(batches):
         step, _, gain, index = machine()
-        at, total = np.arange(len(index), dtype=np.int32), np.zeros(len(index), dtype=np.int64)
-        for a in pdf.sort_values("seq")["_a"].to_numpy():
-            total += gain[a, at]
-            at = step[a, at]
-        head = pdf.iloc[0]
-        return pd.DataFrame({"cid": [head["cid"]], "chunk": [head["chunk"]], "to": [at.tolist()], "more": [total.tolist()]})
-
-    maps = events.select("cid", "chunk", "seq", "_a").groupBy("cid", "chunk").applyInPandas(
-        chunk_map, "cid string, chunk long, to array<int>, more array<long>")
-    begin = events.select("cid").distinct()
+        fresh = np.arange(len(index), dtype=np.int32)
+        key, at, total = None, None, None
+        for pdf in batches:
+            out = []
+            for cid, chunk, a in zip(pdf["cid"], pdf["chunk"], pdf["_a"]):
+                if key != (cid, chunk):
+                    if key is not None:
+                        out.append((*key, at.tolist(), total.tolist()))
+                    key, at, total = (cid, chunk), fresh, np.zeros(len(index), dtype=np.int64)
+                total = total + gain[a, at]
+                at = step[a, at]
+            yield pd.DataFrame(out, columns=["cid", "chunk", "to", "more"])
+        if key is not None:
+            yield pd.DataFrame([(*key, at.tolist(), total.tolist())], columns=["cid", "chunk", "to", "more"])
+
+    # Only a chunk with a later one of its cell has to be known as a map.
+    last = events.groupBy("cid").agg(F.max("chunk").alias("_last"))
+    begin = last.select("cid", "_last", F.lit(0).alias("_s0"), F.lit(0).cast("long").alias("_n0"))
     if start is not None:
-        begin = begin.join(start.select("cid", "state", "attempts"), "cid", "left")
-    else:
-        begin = begin.select("cid", F.lit(0).alias("state"), F.lit(0).cast("long").alias("attempts"))
-    begin = begin.select("cid", F.coalesce("state", F.lit(0)).cast("int").alias("_s0"), F.coalesce("attempts", F.lit(0)).cast("long").alias("_n0"))
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        s, n = int(pdf["_s0"].iloc[0]), int(pdf["_n0"].iloc[0])
-        starts, counts = [], []
-        for to, more in zip(pdf["to"], pdf["more"]):
-            starts.append(s)
-            counts.append(n)
-            n += int(more[s])
-            s = int(to[s])
-        return pd.DataFrame({"cid": pdf["cid"], "chunk": pdf["chunk"], "_s": starts, "_n": counts})
-
-    # one row per chunk of a cell, so even the longest cell is a short table
-    starts = maps.join(begin, "cid").groupBy("cid").applyInPandas(compose, "cid string, chunk long, _s int, _n long")
+        begin = last.join(start.select("cid", "state", "attempts"), "cid", "left").select(
+            "cid", "_last", F.coalesce("state", F.lit(0)).cast("int").alias("_s0"), F.coalesce("attempts", F.lit(0)).cast("long").alias("_n0"))
+    early = events.select(*by_chunk, "seq", "_a").join(last, "cid").where("chunk < _last").drop("_last")
+    maps = (early.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "seq")
+            .mapInPandas(chunk_maps, "cid string, chunk long, to array<int>, more array<long>"))
+
+    def compose(batches):
+        cid, s, n = None, 0, 0
+        for pdf in batches:
+            out = []
+            for c, chunk, to, more, s0, n0 in zip(pdf["cid"], pdf["chunk"], pdf["to"], pdf["more"], pdf["_s0"], pdf["_n0"]):
+                if c != cid:
+                    cid, s, n = c, int(s0), int(n0)
+                n += int(more[s])
+                s = int(to[s])
+                out.append((cid, int(chunk), s, n))
+            yield pd.DataFrame(out, columns=["cid", "_chunk", "_s1", "_n1"])
+
+    # One row per chunk, so even the longest cell is a short table here.
+    ends = (maps.join(begin.drop("_last"), "cid").repartition("cid").sortWithinPartitions(*by_chunk)
+            .mapInPandas(compose, "cid string, _chunk long, _s1 int, _n1 long"))
+    present = events.select(*by_chunk).distinct()
+    before = Window.partitionBy("cid").orderBy("chunk")
+    starts = (present.withColumn("_chunk", F.lag("chunk").over(before)).join(ends, ["cid", "_chunk"], "left").join(begin, "cid")
+              .select(*by_chunk, F.coalesce("_s1", "_s0").alias("_s"), F.coalesce("_n1", "_n0").alias("_n")))
     keep = [c for c in events.columns if c != "_a"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*keep).schema.fields)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        step, ok, gain, _ = machine()
-        pdf = pdf.sort_values("seq")
-        s, n = int(pdf["_s"].iloc[0]), int(pdf["_n"].iloc[0])
-        before, after, applied, attempts = [], [], [], []
-        for a in pdf["_a"].to_numpy():
-            before.append(s)
-            applied.append(bool(ok[a, s]))
-            n += int(gain[a, s])
-            s = int(step[a, s])
-            after.append(s)
-            attempts.append(n)
-        return pdf[keep].assign(before=before, after=after, applied=applied, attempts=attempts)
-
-    rows = events.join(starts, ["cid", "chunk"]).groupBy("cid", "chunk").applyInPandas(
-        run, fields + ", before int, after int, applied boolean, attempts long")
+    def run(batches):
+        step, ok, gain, _ = (x.tolist() if isinstance(x, np.ndarray) else x for x in machine())
+        key, s, n = None, 0, 0
+        for pdf in batches:
+            out = []
+            for cid, chunk, a, s0, n0 in zip(pdf["cid"], pdf["chunk"], pdf["_a"], pdf["_s"], pdf["_n"]):
+                if key != (cid, chunk):
+                    key, s, n = (cid, chunk), int(s0), int(n0)
+                was = s
+                n += gain[a][s]
+                s = step[a][s]
+                out.append((was, s, ok[a][was] == 1, n))
+            yield pdf[keep].assign(**dict(zip(("before", "after", "applied", "attempts"), zip(*out))) if out else
+                                   {"before": [], "after": [], "applied": [], "attempts": []})
+
+    rows = (events.join(starts, by_chunk).repartition(*by_chunk).sortWithinPartitions(*by_chunk, "seq")
+            .mapInPandas(run, fields + ", before int, after int, applied boolean, attempts long"))
+    rows = cut_lineage(rows)  # what follows reads the replay more than once
     rows = S.scan(rows, ["cid"], ["seq"], {"_refused": S.total_before((~F.col("applied")).cast("long"))})
     return rows.select("*", (~F.col("applied") & (F.col("_refused") > 0)).alias("cascade"),
                        (F.lit(True) if since is None else since).alias("judged")).drop("_refused")

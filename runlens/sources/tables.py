@@ -296,3 +296,39 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         action = F.when(F.col("kind") == kind, F.array(*[F.lit(n) for n in names])[(F.col("k") % 10).cast("int")]).otherwise(action)
     return e.select(F.col("run").cast("string").alias("cid"), (F.col("run") % 10).alias("log"), "seq", "ts", "chunk", action.alias("action"),
                     (F.col("k") % 4 == 0).alias("void"), F.when(F.col("k") % 2 == 0, "loop=none").otherwise("loop=agent").alias("note"))
+
+
+def archive_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of archived runs, named after their run, and the stage each
+    verdict gives."""
+    k = F.col("k")
+    nn = F.lpad((F.col("seq") % 100).cast("string"), 2, "0")
+    shape = F.when(k % 3 == 0, "BBS").when(k % 3 == 1, "BSB").otherwise("SSB")
+    end = F.array(*[F.lit(e) for e in ("green", "charged", "refunded", "interrupted")])[(k % 4).cast("int")]
+    name = (F.when(k % 13 == 0, F.concat(nn, F.lit("-"), shape)).when(k % 29 == 0, F.lit("scratch"))
+            .otherwise(F.concat(nn, F.lit("-a"), (F.floor(k / 25) + 1).cast("string"), F.lit("-"), shape, F.lit("-"), end)))
+    return (events(spark, sf_dir).where("kind = 'click'")
+            .select(F.col("run").alias("cell"), "seq", name.alias("name"), F.when(k % 5 != 0, F.when(k % 2 == 0, "deploy").otherwise("load")).alias("stage")))
+
+
+def cell_env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's declaration as KEY=VALUE text."""
+    c = F.col("c_custkey")
+    line = lambda k, v: F.concat(F.lit(k + "="), v, F.lit("\n"))
+    return read(spark, sf_dir, "customer").select(c.alias("cell"), F.concat(
+        line("AGENT_MODEL", F.col("c_mktsegment")), line("TASK", F.concat(F.lit("T"), (c % 3 + 1).cast("string"))),
+        line("VARIANT", F.concat(F.lit("v"), (c % 4).cast("string"))), F.when(c % 6 != 0, line("IMPL", F.when(c % 2 == 0, "py").otherwise("bash"))).otherwise(F.lit("")),
+        line("REPEAT", (c % 5 + 1).cast("string"))).alias("text"))
+
+
+def metrics_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's metrics as JSON text: some numbers are strings, some
+    documents torn."""
+    p, n = F.col("p_partkey"), F.col("p_size")
+    doc = F.to_json(F.struct(
+        (n % 9).cast("string").alias("e2e_pass"), F.lit(8).alias("e2e_total"), (n % 9 == 8).alias("e2e_green"),
+        F.concat(F.lit(" "), (n * 100).cast("string")).alias("load_total"), F.when(p % 4 != 0, n).alias("load_errors"),
+        (p % 3 != 0).alias("k6_available"), F.lit(True).alias("deploy_ok"), (p % 5 != 0).alias("scaling_ok"),
+        F.when(n % 9 != 8, F.array(*[F.lit(s) for s in ("deploy", "nostart", "e2e", "k6", "other")])[(p % 5).cast("int")]).alias("stage_failed"),
+        F.col("p_brand").alias("brand")))
+    return read(spark, sf_dir, "part").select(p.alias("cell"), F.when(p % 20 == 7, F.lit("{torn")).otherwise(doc).alias("doc"))
