@@ -103,9 +103,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_of(events(spark, sf_dir))
+
+
+def ledger_of(e: DataFrame) -> DataFrame:
     """One ledger event per row: ``fields`` starts with the cell, but for ITER
     lines, whose first field is the result."""
-    e = events(spark, sf_dir)
     k = F.col("k")
     kind = F.col("kind")
     ten = k % 10
@@ -246,6 +249,10 @@ def transcripts_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts_b_of(read(spark, sf_dir, "conversations"))
+
+
+def transcripts_b_of(c: DataFrame) -> DataFrame:
     """Client B's transcript of the same conversations."""
     n, four = F.length("text"), F.col("turn") % 4
     step = F.struct(F.floor(n / 100).alias("step_index"), F.lit("DONE").alias("state"),
@@ -257,7 +264,6 @@ def transcripts_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(four == 3, F.struct((n / F.lit(8.0)).alias("duration_seconds"), F.struct(
             n.alias("input_tokens"), (n * 5).alias("output_tokens"), F.when(n % 11 != 0, n).alias("thinking_tokens"),
             (n * 7).alias("cache_read_tokens")).alias("usage"))).alias("result")))
-    c = read(spark, sf_dir, "conversations")
     return c.select(F.floor(F.col("conv_id") / 4).cast("long").alias("cell"), (F.col("conv_id") % 4 + 1).alias("attempt"),
                     F.col("turn").alias("line_no"), doc.alias("line"))
 
