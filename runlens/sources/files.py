@@ -37,7 +37,7 @@ def cells(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    return (spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root)
+    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root, wholetext=True)
             .select(cell_of().alias("cell"), F.element_at(F.split(_path(), "/"), -1).alias("file"), F.col("value").alias("text")))
 
 
@@ -82,8 +82,8 @@ def metrics(spark: SparkSession, root: str) -> DataFrame:
 
 def archive(spark: SparkSession, root: str) -> DataFrame:
     """Archived runs by their verdict file: cell, folder name, verdict."""
-    v = (spark.read.option("wholetext", "true").option("pathGlobFilter", "verdict.json").option("recursiveFileLookup", "true")
-         .text(f"{root}/*/arrangements"))
+    v = (spark.read.option("pathGlobFilter", "verdict.json").option("recursiveFileLookup", "true")
+         .text(f"{root}/*/arrangements", wholetext=True))
     parts = F.split(_path(), "/")
     doc = F.from_json("value", "ok boolean, charge boolean, stage string, started string, ended string")
     return v.select(F.element_at(parts, -4).alias("cell"), F.element_at(parts, -2).alias("name"), doc.alias("d")).select("cell", "name", "d.*")

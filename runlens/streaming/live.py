@@ -44,13 +44,13 @@ def sliding_latency(points: DataFrame, late: str = LATE, window: str = "1 second
     return w.select("run", F.col("w.end").alias("at"), "p99")
 
 
-def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float, wait_ms: int) -> DataFrame:
+def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float) -> DataFrame:
     """Per run, each one-shot moment when it is first known: decision, mount,
     release, saturation, and ``over`` at the end of the traffic window:
-    ``duration_s`` after the first request, or after waiting ``wait_ms`` for a
-    first request that never came. Ticks have run, ts, fired, decided, claimed,
-    probed, p99; the state holds five numbers per run."""
-    names = ("started", "decision", "mount", "release", "saturation", "over")
+    ``duration_s`` after the first request, or after the same wait for one that
+    never came. Ticks have run, ts, fired, decided, claimed, probed, p99; the
+    state holds seven numbers per run."""
+    names = ("seen", "started", "decision", "mount", "release", "saturation", "over")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = list(state.get) if state.exists else [None] * len(names)
@@ -60,33 +60,28 @@ def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float, wait_ms:
             i = names.index(name)
             if known[i] is None and ts is not None:
                 known[i] = float(ts)
-                if name != "started":
+                if name not in ("seen", "started"):
                     told.append((key[0], name, float(ts)))
-        if state.hasTimedOut:
-            if known[0] is None:
-                told.append((key[0], "over", None))
-            state.remove()
-        else:
-            for pdf in batches:
-                pdf = pdf.sort_values("ts")
-                first = lambda mask: pdf["ts"][mask].min() if mask.any() else None
-                both, gone = pdf["claimed"] & pdf["probed"], ~pdf["claimed"] & ~pdf["probed"]
-                learn("started", first(pdf["fired"] > 0))
-                learn("decision", first(pdf["decided"]))
-                learn("mount", first(both))
-                if known[names.index("mount")] is not None:
-                    learn("release", first(gone & (pdf["ts"] > known[names.index("mount")])))
-                learn("saturation", first(pdf["p99"] >= sat_p99))
-                if known[0] is not None:
-                    learn("over", first(pdf["ts"] > known[0] + duration_s))
-            state.update(tuple(known))
-            if known[0] is None:
-                state.setTimeoutDuration(wait_ms)
+        at = names.index
+        for pdf in batches:
+            pdf = pdf.sort_values("ts")
+            first = lambda mask: pdf["ts"][mask].min() if mask.any() else None
+            both, gone = pdf["claimed"] & pdf["probed"], ~pdf["claimed"] & ~pdf["probed"]
+            learn("seen", pdf["ts"].min())
+            learn("started", first(pdf["fired"] > 0))
+            learn("decision", first(pdf["decided"]))
+            learn("mount", first(both))
+            if known[at("mount")] is not None:
+                learn("release", first(gone & (pdf["ts"] > known[at("mount")])))
+            learn("saturation", first(pdf["p99"] >= sat_p99))
+            begin = known[at("seen")] if known[at("started")] is None else known[at("started")]
+            learn("over", first(pdf["ts"] > begin + duration_s))
+        state.update(tuple(known))
         yield pd.DataFrame(told, columns=["run", "moment", "ts"])
 
     key_type = ticks.schema["run"].dataType.simpleString()
     return ticks.groupBy("run").applyInPandasWithState(
-        step, f"run {key_type}, moment string, ts double", ", ".join(f"{n} double" for n in names), "append", GroupStateTimeout.ProcessingTimeTimeout)
+        step, f"run {key_type}, moment string, ts double", ", ".join(f"{n} double" for n in names), "append", GroupStateTimeout.NoTimeout)
 
 
 def sleep_seconds(ticks: DataFrame) -> DataFrame:
