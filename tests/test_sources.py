@@ -23,7 +23,7 @@ def root(tmp_path_factory):
         write(r / cid / "iterations.log", b"# v2\n2026-01-01T00:00:00Z\tSTART\tc\tattempt=1\n2026-01-01T00:00:01Z\tITER\tgreen\tattempt=1 \xff\n")
         write(r / cid / "agent.attempt-2.log", 'noise\n{"type":"result"}\n')
         write(r / cid / "metrics.json", '{"e2e_pass": "3", "load_total": 7.0, "own": "x"}')
-        write(r / cid / ".skeleton_manifest", "a.py\t3\tabc\nbroken line\n")
+        write(r / cid / "skeleton_manifest", "a.py\t3\tabc\nbroken line\n")
         write(r / cid / "artifacts" / "src" / "a.py", "x = 1\n")
         write(r / cid / "arrangements" / "01-a1-BBS-green" / "verdict.json", '{"ok": true, "stage": null}')
         write(r / cid / "arrangements" / "02-BSB" / "verdict.json", "torn")
