@@ -120,6 +120,7 @@ def host_summary(windows: DataFrame, rows: DataFrame, width: float) -> DataFrame
         F.coalesce(F.sum(F.when(box & (F.col("owner") == ""), cpu)), F.lit(0.0)).alias("free_cpu"),
         host("cpu_idle").alias("idle"), host("load1").alias("load1"), host("mem_used_gb").alias("mem"))
     span = per.agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    # ``span`` is one row
     w = windows.join(F.broadcast(span), (F.col("closed") >= F.col("_first")) & (F.col("ready") <= F.col("_last"))).drop("_first", "_last")
     owned = rows.where(box & (F.col("owner") != "") & cpu.isNotNull())
     by_owner = owned.groupBy("ts", "owner").agg(F.sum(cpu).alias("own_cpu"))

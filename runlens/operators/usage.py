@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.stats import strict_sum
 from runlens.operators import ledger as L
 from runlens.operators.metrics import USAGE_FIELDS
 
@@ -104,7 +103,12 @@ def by_attempt(transcripts: DataFrame, ledger: DataFrame, readers=None) -> DataF
 def totals(attempts: DataFrame) -> DataFrame:
     """Each figure over the counted attempts of a cell, null when one of them
     lacks it, and the provider's milliseconds per token."""
-    c = attempts.where("counted").select("cell", F.explode(F.array_repeat(F.lit(1), F.col("lines").cast("int"))).alias("_x"), *USAGE_FIELDS)
-    g = c.groupBy("cell").agg(*[F.round(strict_sum(F.col(f).cast("double")), 4 if f == "cost_usd" else 1).alias(f"{f}_total") for f in USAGE_FIELDS])
+    c = attempts.where("counted")
+
+    def total(f):  # an attempt with several ITER lines counts once per line
+        x = F.col(f).cast("double")
+        whole = F.when(F.count(x) == F.count(F.lit(1)), F.sum(x * F.col("lines")))
+        return F.round(whole, 4 if f == "cost_usd" else 1).alias(f"{f}_total")
+    g = c.groupBy("cell").agg(*[total(f) for f in USAGE_FIELDS])
     api, out = F.col("api_s_total"), F.col("out_tok_total")
     return g.withColumn("api_ms_per_out_tok", F.round(F.try_divide(1000 * api, out), 2))

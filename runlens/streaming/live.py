@@ -124,7 +124,7 @@ def denied_tools(lines: DataFrame, allowed: DataFrame) -> DataFrame:
     and line, one transcript step each; a torn line is no call."""
     step = F.from_json(F.col("line"), "event string, step_update struct<tool_name:string>")
     calls = lines.select("cell", F.when(step["event"] == "step_update", step["step_update"]["tool_name"]).alias("tool")).where("tool IS NOT NULL")
-    return calls.join(F.broadcast(allowed.select("tool")), "tool", "left_anti").select("cell", "tool")
+    return calls.join(allowed.select("tool"), "tool", "left_anti").select("cell", "tool")
 
 
 def alerts_once(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
