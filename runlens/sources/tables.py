@@ -121,6 +121,8 @@ def ledger_of(e: DataFrame) -> DataFrame:
             .when(kind == "view", F.when(ten == 0, "VERIFY_READY").otherwise("SHAPE"))
             .otherwise(F.when(ten == 0, "ALERT").when(ten <= 4, "AGENT").when(ten == 5, "REVERIFY")
                        .when(ten == 6, "PAUSED").when(ten == 7, "WAKE").otherwise("START")))
+    # the name is a column of its own below: many fields depend on it
+    e, name = e.withColumn("event", name), F.col("event")
     att = (F.floor(k / 25) + 1).cast("string")
     attempt = F.concat(F.lit("attempt="), att)
     cell = F.col("run").cast("string")
@@ -148,7 +150,7 @@ def ledger_of(e: DataFrame) -> DataFrame:
               .when(name == "NOEDIT", F.array(cell, attempt, F.lit("no file changed")))
               .otherwise(F.array(cell, attempt)))
     return e.select(F.col("run").alias("cell"), F.col("seq").alias("line_no"), "ts", "chunk",
-                    name.alias("event"), fields.alias("fields"), "k", "value")
+                    "event", fields.alias("fields"), "k", "value")
 
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
