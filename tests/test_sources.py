@@ -111,3 +111,15 @@ def test_first_seal_wins(spark):
     a = spark.createDataFrame([("a", 5, "failed", 1, "x", 2), ("a", 3, "green", 1, "x", 9), ("b", 1, "green", 1, "x", 1)], "cell string, sealed long, verdict string, attempts int, by string, seq long")
     assert {(r.cell, r.verdict) for r in fleet.first_seals(a).collect()} == {("a", "green"), ("b", "green")}
     assert {r.cell for r in fleet.first_seals(a, spark.createDataFrame([("b",)], "cell string")).collect()} == {"a"}
+
+
+def test_results_files(spark, tmp_path):
+    from runlens.operators.metrics import RESULT_COLUMNS
+    from runlens.plans import scoreboard
+    from runlens.sources import tables
+    s = tables.scores(spark, "/root/testdata/sf0.001")
+    out = [str(tmp_path / n) for n in ("csv", "rows", "board")]
+    sinks.write_results(scoreboard.flat_rows(s), scoreboard.board(s), *out)
+    flat = spark.read.option("header", "true").csv(out[0])
+    assert tuple(flat.columns) == RESULT_COLUMNS and flat.count() == s.count() == spark.read.json(out[1]).count()
+    assert spark.read.json(out[2]).agg(F.sum("n_cells")).first()[0] == s.count()
