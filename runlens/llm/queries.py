@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, exact, shards
+from runlens.llm import chat, exact, frames, packing, shards
 from runlens.llm.shared import table
+from runlens.llm.tokens import WORD_BPE
 
 CONFLICT = "</s>[INST] ok [/INST]"
 
@@ -21,13 +22,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.stored(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(table(spark, sf_dir, "documents"), shards=40, seed=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat, op5_exact_dedup, op8_sharding)}
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE, room=4096, end_id=1)
+
+
+QUERIES = {f.__name__: f for f in (op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing)}
 
 SQL = {
     "op3_chat": r"""
