@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, exact, frames, packing, shards
+from runlens.llm import chat, exact, frames, packing, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -36,7 +36,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE, room=4096, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
+                                  op10_simhash)}
 
 SQL = {
     "op3_chat": r"""
