@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, exact, frames, packing, shards, simhash
+from runlens.llm import chat, counts, exact, frames, packing, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
 CONFLICT = "</s>[INST] ok [/INST]"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
                                   op10_simhash)}
 
 SQL = {
