@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, counts, exact, frames, packing, shards, simhash
+from runlens.llm import chat, counts, exact, frames, lm, packing, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -22,6 +22,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chats(rows.unionByName(extra)))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op4_lm_scores, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
                                   op10_simhash)}
 
 SQL = {
