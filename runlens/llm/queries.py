@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, counts, exact, frames, lm, packing, shards, simhash
+from runlens.llm import chat, counts, exact, frames, lm, packing, quality, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -30,6 +30,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.label(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.stored(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
@@ -49,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op4_lm_scores, op5_exact_dedup, op7_token_files, op8_sharding, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op4_lm_scores, op5_exact_dedup, op6_quality_rules, op7_token_files, op8_sharding, op9_best_fit_packing,
                                   op10_simhash)}
 
 SQL = {
