@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, counts, exact, frames, lm, packing, quality, shards, simhash
+from runlens.llm import chat, counts, exact, frames, lm, mixing, packing, quality, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count(table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixer = mixing.fit(docs, table(spark, sf_dir, "labels"), power=0.8)
+    found = mixing.rates(docs, mixer, seed=2)
+    return found.select("row.doc_id", "source", "tokens", "posterior", "rate", "copies")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONFLICT), (-1, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
@@ -55,7 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_chat, op4_lm_scores, op5_exact_dedup, op6_quality_rules, op7_token_files, op8_sharding, op9_best_fit_packing,
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_chat, op4_lm_scores, op5_exact_dedup, op6_quality_rules, op7_token_files, op8_sharding, op9_best_fit_packing,
                                   op10_simhash)}
 
 SQL = {
