@@ -55,37 +55,45 @@ class Mixer:
     steps: list[list[float]] = field(default_factory=list)
     least: float = 0.0
 
-    def posterior(self) -> Column:
-        """P(domain | source, features), from columns ``source`` and FEATURES: normal densities for each domain."""
+    def with_posterior(self, measured: DataFrame) -> DataFrame:
+        """``measured`` and P(domain | source, features) as the array ``posterior``: normal densities for each domain.
+
+        Each domain is plain arithmetic, in stages that name a value once, so all of it is compiled."""
         count = len(self.names)
-        own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, n in enumerate(self.names) for x in (n, i)]), F.col("source")),
-                         F.lit(count - 1))
-        domains = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(log(p)).alias("prior"), *[F.lit(m).alias(f"m{j}") for j, m in enumerate(ms)],
-                                     *[F.lit(s).alias(f"s{j}") for j, s in enumerate(ss)])
-                            for i, (p, ms, ss) in enumerate(zip(self.prior, self.mean, self.spread, strict=True))])
-
-        def score(d: Column) -> Column:
-            said = F.when(d["i"] == own, F.lit(log(TRUST) if count > 1 else 0.0)).otherwise(F.lit(log((1 - TRUST) / max(1, count - 1))))
-            total = d["prior"] + said
-            for j, name in enumerate(FEATURES):
-                total = total - (F.col(name) - d[f"m{j}"]) ** 2 / (2 * d[f"s{j}"]) - F.log(2 * pi * d[f"s{j}"]) / 2
-            return total
-
-        scores = F.transform(domains, score)
-        odds = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-        return F.transform(odds, lambda o: o / F.aggregate(odds, F.lit(0.0), lambda a, x: a + x))
-
-    def rate(self, posterior: Column) -> Column:
-        """A document's rate: from one, each step goes against its gradient and back to ``least`` or more."""
+        numbers = F.create_map(*[F.lit(x) for i, n in enumerate(self.names) for x in (n, i)])
+        own = F.coalesce(F.try_element_at(numbers, F.col("source")), F.lit(count - 1))
+        right, wrong = log(TRUST) if count > 1 else 0.0, log((1 - TRUST) / max(1, count - 1))
+
+        def score(k: int) -> Column:
+            total = F.lit(log(self.prior[k]) - sum(log(2 * pi * d) / 2 for d in self.spread[k])) + F.when(F.col("_own") == k, right).otherwise(wrong)
+            for name, mean, spread in zip(FEATURES, self.mean[k], self.spread[k], strict=True):
+                off = F.col(name) - mean
+                total = total - off * off / (2 * spread)
+            return total.alias(f"_s{k}")
+
+        names = measured.columns
+        scored = measured.withColumn("_own", own).select(*names, *[score(k) for k in range(count)])
+        top = F.greatest(*[F.col(f"_s{k}") for k in range(count)]) if count > 1 else F.col("_s0")
+        odds = scored.withColumn("_top", top).select(*names, *[F.exp(F.col(f"_s{k}") - F.col("_top")).alias(f"_o{k}") for k in range(count)])
+        whole_odds = odds.withColumn("_sum", sum((F.col(f"_o{k}") for k in range(1, count)), F.col("_o0")))
+        return whole_odds.select(*names, F.array(*[F.col(f"_o{k}") / F.col("_sum") for k in range(count)]).alias("posterior"))
+
+    def with_rate(self, rows: DataFrame) -> DataFrame:
+        """``rows`` and ``rate`` of their posteriors: from one, each step goes against its gradient and back to ``least`` or more."""
+        first = F.lit(max(1.0, self.least))
         if not self.steps:
-            return F.lit(max(1.0, self.least))
+            return rows.withColumn("rate", first)
         history = F.array(*[F.array(*[F.lit(x) for x in g]) for g in self.steps])
 
-        def step(rate: Column, gradient: Column) -> Column:
-            along = F.aggregate(F.zip_with(posterior, gradient, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-            return F.greatest(F.lit(self.least), rate - along)
+        def fold(p: Column) -> Column:
+            def step(rate: Column, gradient: Column) -> Column:
+                along = F.aggregate(F.zip_with(p, gradient, lambda a, g: a * g), F.lit(0.0), lambda a, x: a + x)
+                return F.greatest(F.lit(self.least), rate - along)
+
+            return F.aggregate(history, first, step)
 
-        return F.aggregate(history, F.lit(max(1.0, self.least)), step)
+        # the posterior stands in an array of one, so it is computed once for all steps
+        return rows.withColumn("rate", F.get(F.transform(F.array("posterior"), fold), F.lit(0)))
 
 
 def classifier(measured: DataFrame, labels: DataFrame, doc_id: str) -> Mixer:
@@ -138,16 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, power: float, targets: dict[str, flo
     mixer.least = least
     if not mixer.names:
         return mixer
-    state = written(measured.select("tokens", mixer.posterior().alias("p")))
+    state = written(mixer.with_posterior(measured.select("source", "tokens", *FEATURES)).select("tokens", "posterior"))
     count = len(mixer.names)
 
     def sums() -> list[float]:
-        with_rate = state.select((F.col("tokens") * mixer.rate(F.col("p"))).alias("w"), "p")
-        row = with_rate.agg(*[F.sum(F.col("w") * F.get("p", F.lit(k))).alias(f"t{k}") for k in range(count)]).first()
+        weighed = mixer.with_rate(state).select((F.col("tokens") * F.col("rate")).alias("w"), "posterior")
+        row = weighed.agg(*[F.sum(F.col("w") * F.get("posterior", F.lit(k))).alias(f"t{k}") for k in range(count)]).first()
         return [x or 0.0 for x in row]
 
     pairs = [(i, j) for i in range(count) for j in range(i + 1)]
-    row = state.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    row = state.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))).alias(f"g{i}_{j}") for i, j in pairs]).first()
     overlap = np.zeros((count, count))
     for (i, j), x in zip(pairs, row, strict=True):
         overlap[i, j] = overlap[j, i] = x or 0.0
@@ -173,8 +181,7 @@ def rates(docs: DataFrame, mixer: Mixer, seed: int = 0, doc_id: str = "doc_id",
     if not mixer.names:
         return measured.select("row", "source", "tokens", F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     chance = F.shiftrightunsigned(F.xxhash64(F.col("row")[doc_id], F.lit(seed)), 11) / float(1 << 53)
-    found = measured.select("row", "source", "tokens", mixer.posterior().alias("posterior"))
-    rated = found.select("*", mixer.rate(F.col("posterior")).alias("rate"))
+    rated = mixer.with_rate(mixer.with_posterior(measured).select("row", "source", "tokens", "posterior"))
     return rated.select("*", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
 
 
