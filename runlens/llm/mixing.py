@@ -76,7 +76,10 @@ class Mixer:
         top = F.greatest(*[F.col(f"_s{k}") for k in range(count)]) if count > 1 else F.col("_s0")
         odds = scored.withColumn("_top", top).select(*names, *[F.exp(F.col(f"_s{k}") - F.col("_top")).alias(f"_o{k}") for k in range(count)])
         whole_odds = odds.withColumn("_sum", sum((F.col(f"_o{k}") for k in range(1, count)), F.col("_o0")))
-        return whole_odds.select(*names, F.array(*[F.col(f"_o{k}") / F.col("_sum") for k in range(count)]).alias("posterior"))
+        shares = F.array(*[F.col(f"_o{k}") / F.col("_sum") for k in range(count)])
+        # What an explode makes is a column of its own: a filter on it is not
+        # rewritten into the arithmetic above, which would multiply with each stage.
+        return whole_odds.select(*names, F.explode_outer(F.array(shares)).alias("posterior"))
 
     def with_rate(self, rows: DataFrame) -> DataFrame:
         """``rows`` and ``rate`` of their posteriors: from one, each step goes against its gradient and back to ``least`` or more."""
