@@ -131,8 +131,14 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[s
             raise ValueError(f"unknown scan kind {spec.kind!r}")
 
     kept = [c for c in df.columns if c not in specs]
-    rows = df.select("*", *[c.alias(n) for n, c in local.items()])
-    carries = df.groupBy(*by).agg(*[c.alias(n) for n, c in summary.items()])
+    # Rows and summaries both start from this one shuffle. A row travels whole, in
+    # an array of one, so no column can be pruned on one side only and both sides
+    # keep the same exchange, which Spark then runs once. Callers select what they need.
+    others = [c for c in df.columns if c not in by]
+    dealt = (df.select(*by, F.array(F.struct(*others)).alias("_row")).repartition(*by)
+             .select(*by, F.element_at("_row", 1).alias("_row")).select(*by, "_row.*"))
+    rows = dealt.select("*", *[c.alias(n) for n, c in local.items()])
+    carries = dealt.groupBy(*by).agg(*[c.alias(n) for n, c in summary.items()])
     carries = carries.select(*by, *[c.alias(n) for n, c in carry.items()])
     return (rows.join(carries, by, "left")
             .select(*kept, *[c.alias(n) for n, c in merged.items()]))
