@@ -13,9 +13,18 @@ from runlens.operators.metrics import RESULT_COLUMNS
 
 
 def write_scores(scores: DataFrame, path: str, batches: int = 64) -> None:
-    """Score records partitioned by cell batch; only the batches present are
-    replaced."""
-    (scores.withColumn("batch", F.pmod(F.xxhash64("cell_id"), F.lit(batches)).cast("int"))
+    """Score records partitioned by cell batch. The batches that ``scores``
+    touches are written anew, from their old records of other cells and the new
+    ones; the rest stays as it is. ``batches`` belongs to the table: it sets how
+    much is rewritten for one cell, and must not change while the table stands."""
+    batch = F.pmod(F.xxhash64("cell_id"), F.lit(batches)).cast("int")
+    new = scores.withColumn("batch", batch)
+    old = _existing(scores.sparkSession, path, new)
+    if old.where((F.col("batch") != batch) | (F.col("batch") >= batches)).limit(1).count():
+        raise ValueError(f"the table at {path} was written with another number of batches")
+    touched = [r["batch"] for r in new.select("batch").distinct().collect()]  # at most ``batches``
+    kept = old.where(F.col("batch").isin(touched)).join(new.select("cell_id"), "cell_id", "left_anti")
+    (new.unionByName(kept.select(*new.columns))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 

@@ -79,6 +79,17 @@ def test_sinks_write_once(spark, tmp_path):
     assert {(r.cell_id, r.v) for r in spark.read.parquet(str(tmp_path / "scores")).collect()} == {("a", 9), ("b", 2)}
 
 
+def test_scoring_some_cells_again_keeps_the_others(spark, tmp_path):
+    out = str(tmp_path / "scores")
+    cells = spark.range(1000).select(F.concat(F.lit("c"), "id").alias("cell_id"), F.lit(1).alias("v"))
+    sinks.write_scores(cells, out)
+    sinks.write_scores(cells.where("cell_id IN ('c7', 'c8')").withColumn("v", F.lit(2)), out)
+    sinks.write_scores(cells.limit(0), out)
+    assert dict(map(tuple, spark.read.parquet(out).groupBy("v").count().collect())) == {1: 998, 2: 2}
+    with pytest.raises(ValueError, match="batches"):
+        sinks.write_scores(cells, out, batches=32)
+
+
 def test_dimensions_refuse_what_they_do_not_know(spark, tmp_path):
     v = dimensions.variants(spark, [("a", 'label = "A"\n[factors]\ntech = "alpha"\n')]).first()
     assert (v.label, v.retired, v.factors) == ("A", False, {"tech": "alpha"})
