@@ -47,15 +47,16 @@ def stream_alerts_once(spark, sf):
 
 
 @query("stream_two_sweeps", with_ctes(EVENTS, """
-r AS (SELECT run AS cell, seq, CASE WHEN k % 3 = 0 THEN seq ELSE seq // 3000 END AS rx, CASE WHEN k % 10 = 0 THEN 2 ELSE 0 END AS cpu FROM ev),
+r AS (SELECT run AS cell, seq, ts, CASE WHEN k % 3 = 0 THEN seq ELSE seq // 3000 END AS rx, CASE WHEN k % 10 = 0 THEN 2 ELSE 0 END AS cpu FROM ev),
 m AS (SELECT *, lag(rx) OVER w AS pr, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY cell ORDER BY seq)),
-f AS (SELECT *, n - coalesce(max(CASE WHEN cpu > 0.5 OR pr IS NULL OR rx > pr THEN n END) OVER (PARTITION BY cell ORDER BY seq), 0) AS flat FROM m)""",
-    "SELECT cell, seq FROM f WHERE flat = 2"))
+f AS (SELECT *, n - coalesce(max(CASE WHEN cpu > 0.5 OR pr IS NULL OR rx > pr THEN n END) OVER (PARTITION BY cell ORDER BY seq), 0) AS flat FROM m),
+lim AS (SELECT floor(max(ts) * 1000) - 3600000 AS wm FROM ev)""",
+    "SELECT cell, seq FROM f, lim WHERE flat = 2 AND floor(ts * 1000) < wm"))
 def stream_two_sweeps(spark, sf):
     k = F.col("k")
-    r = _events(spark, sf).select(F.col("run").alias("cell"), "seq", F.when(k % 3 == 0, F.col("seq")).otherwise(F.floor(F.col("seq") / 3000)).cast("long").alias("rx"),
+    r = _events(spark, sf).select(F.col("run").alias("cell"), "seq", "time", F.when(k % 3 == 0, F.col("seq")).otherwise(F.floor(F.col("seq") / 3000)).cast("long").alias("rx"),
                                   F.when(k % 10 == 0, 2.0).otherwise(0.0).alias("cpu"))
-    return run.to_end(live.two_sweeps(r))
+    return run.to_end(live.two_sweeps(r, late="1 hour", forget_s=90 * 86400.0))
 
 
 @query("stream_denied_tools", "SELECT conv_id // 4 AS cell, 'tool_' || CAST(length(text) % 6 AS VARCHAR) AS tool, count(*) AS calls FROM conversations WHERE turn % 4 = 1 AND length(text) % 6 > 2 GROUP BY 1, 2")

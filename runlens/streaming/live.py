@@ -8,10 +8,11 @@ the batch jobs stay authoritative.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,63 +45,91 @@ def sliding_latency(points: DataFrame, late: str = LATE, window: str = "1 second
     return w.select("run", F.col("w.end").alias("at"), "p99")
 
 
-def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float) -> DataFrame:
+def _in_event_order(rows: DataFrame, key: str, time: Column, order: str, late: str, forget_s: float, step: Callable[[dict, dict], list[tuple]],
+                    out: str, mode: str = "append", due: Callable[[dict], float | None] | None = None,
+                    ring: Callable[[dict], list[tuple]] | None = None) -> DataFrame:
+    """``step(own, row)`` over the rows of each key in event order, whatever the
+    order of arrival: a row waits in the state until the watermark has passed it,
+    so the state holds the rows of ``late`` and what ``step`` keeps in ``own``.
+
+    ``due(own)`` names an event time (seconds) at which ``ring(own)`` is called if
+    it still lies ahead; no further row is needed for that. A key without rows for
+    ``forget_s`` of event time leaves the state. What is told per row is a tuple
+    of ``out`` after the key."""
+    kind = rows.schema[key].dataType.simpleString()
+    names = [f"{key}", *[c.strip().split(" ")[0] for c in out.split(",")]]
+
+    def call(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, waiting = pickle.loads(state.get[0]) if state.exists else ({}, [])
+        for pdf in batches:
+            waiting += pdf.drop(columns=[key]).to_dict("records")
+        mark, told = state.getCurrentWatermarkMs(), []
+        at = lambda row: row["_time"].value // 1_000_000
+        ready = sorted((r for r in waiting if at(r) < mark), key=lambda r: (at(r), r[order]))
+        waiting = [r for r in waiting if at(r) >= mark]
+
+        def alarm(until_ms: float) -> None:
+            if due and (t := due(own)) is not None and t * 1000 < until_ms:
+                told.extend(ring(own))
+
+        for row in ready:
+            alarm(at(row))
+            own["_seen"] = at(row)
+            told.extend(step(own, row))
+        alarm(mark)
+        last = own.get("_seen", mark) + forget_s * 1000
+        if not waiting and last < mark:
+            state.remove()
+        else:
+            later = [min((at(r) for r in waiting), default=last)]
+            if due and (t := due(own)) is not None:
+                later.append(t * 1000)
+            state.update((pickle.dumps((own, waiting)),))
+            state.setTimeoutTimestamp(max(int(min(later)), mark + 1))
+        yield pd.DataFrame([(group[0], *t) for t in told], columns=names)
+
+    marked = rows.withColumn("_time", time).withWatermark("_time", late)
+    return marked.groupBy(key).applyInPandasWithState(call, f"{key} {kind}, {out}", "kept binary", mode, GroupStateTimeout.EventTimeTimeout)
+
+
+def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
     """Per run, each one-shot moment when it is first known: decision, mount,
     release, saturation, and ``over`` at the end of the traffic window:
-    ``duration_s`` after the first request, or after the same wait for one that
-    never came. Ticks have run, ts, fired, decided, claimed, probed, p99; the
-    state holds seven numbers per run."""
-    names = ("seen", "started", "decision", "mount", "release", "saturation", "over")
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = list(state.get) if state.exists else [None] * len(names)
-        told = []
-
-        def learn(name, ts):
-            i = names.index(name)
-            if known[i] is None and ts is not None:
-                known[i] = float(ts)
-                if name not in ("seen", "started"):
-                    told.append((key[0], name, float(ts)))
-        at = names.index
-        for pdf in batches:
-            pdf = pdf.sort_values("ts")
-            first = lambda mask: pdf["ts"][mask].min() if mask.any() else None
-            both, gone = pdf["claimed"] & pdf["probed"], ~pdf["claimed"] & ~pdf["probed"]
-            learn("seen", pdf["ts"].min())
-            learn("started", first(pdf["fired"] > 0))
-            learn("decision", first(pdf["decided"]))
-            learn("mount", first(both))
-            if known[at("mount")] is not None:
-                learn("release", first(gone & (pdf["ts"] > known[at("mount")])))
-            learn("saturation", first(pdf["p99"] >= sat_p99))
-            begin = known[at("seen")] if known[at("started")] is None else known[at("started")]
-            learn("over", first(pdf["ts"] > begin + duration_s))
-        state.update(tuple(known))
-        yield pd.DataFrame(told, columns=["run", "moment", "ts"])
-
-    key_type = ticks.schema["run"].dataType.simpleString()
-    return ticks.groupBy("run").applyInPandasWithState(
-        step, f"run {key_type}, moment string, ts double", ", ".join(f"{n} double" for n in names), "append", GroupStateTimeout.NoTimeout)
-
-
-def sleep_seconds(ticks: DataFrame) -> DataFrame:
+    ``duration_s`` after the first request, or after the first tick of a run that
+    never sends. The end is told when the watermark passes it, ticks or not. Ticks
+    have run, ts (seconds), fired, decided, claimed, probed, p99."""
+    def step(own: dict, t: dict) -> list[tuple]:
+        begin = own.setdefault("seen", t["ts"])
+        if t["fired"] > 0:
+            own.setdefault("started", t["ts"])
+        both, gone = t["claimed"] and t["probed"], not t["claimed"] and not t["probed"]
+        now = {"decision": t["decided"], "mount": both, "release": gone and own.get("mount", t["ts"]) < t["ts"], "saturation": t["p99"] >= sat_p99}
+        fresh = [m for m, yes in now.items() if yes and m not in own]
+        own.update({m: t["ts"] for m in fresh})
+        return [(m, float(t["ts"])) for m in fresh]
+
+    def due(own: dict) -> float | None:
+        return None if "over" in own or "seen" not in own else own.get("started", own["seen"]) + duration_s
+
+    def ring(own: dict) -> list[tuple]:
+        own["over"] = due(own)
+        return [("over", float(own["over"]))]
+
+    return _in_event_order(ticks, "run", F.timestamp_micros((F.col("ts") * 1e6).cast("long")), "ts", late, forget_s, step,
+                           "moment string, ts double", due=due, ring=ring)
+
+
+def sleep_seconds(ticks: DataFrame, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
     """Running host sleep per run: wall less monotonic over successive ticks
-    (run, seq, wall, mono), jitter left out."""
+    (run, seq, wall, mono), jitter left out. Told for each tick, in update mode."""
+    def step(own: dict, t: dict) -> list[tuple]:
+        if "wall" in own and (gap := (t["wall"] - own["wall"]) - (t["mono"] - own["mono"])) > 30.0:
+            own["slept"] = own.get("slept", 0.0) + gap
+        own.update(wall=float(t["wall"]), mono=float(t["mono"]))
+        return [(int(t["seq"]), own.get("slept", 0.0))]
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wall, mono, slept = state.get if state.exists else (None, None, 0.0)
-        for pdf in batches:
-            for w, m in pdf.sort_values("seq")[["wall", "mono"]].itertuples(index=False):
-                if wall is not None and (w - wall) - (m - mono) > 30.0:
-                    slept += (w - wall) - (m - mono)
-                wall, mono = float(w), float(m)
-        state.update((wall, mono, slept))
-        yield pd.DataFrame({"run": [key[0]], "slept": [slept]})
-
-    key_type = ticks.schema["run"].dataType.simpleString()
-    return ticks.groupBy("run").applyInPandasWithState(
-        step, f"run {key_type}, slept double", "wall double, mono double, slept double", "update", GroupStateTimeout.NoTimeout)
+    return _in_event_order(ticks, "run", F.timestamp_micros((F.col("wall") * 1e6).cast("long")), "seq", late, forget_s, step,
+                           "seq long, slept double", "update")
 
 
 def verify_sessions(samples: DataFrame, gap: str = "1 minute", late: str = LATE) -> DataFrame:
@@ -133,27 +162,16 @@ def alerts_once(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
     return alerts.withWatermark("time", late).dropDuplicatesWithinWatermark(["cell", "rule", "episode"])
 
 
-def two_sweeps(readings: DataFrame) -> DataFrame:
+def two_sweeps(readings: DataFrame, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
     """Cells whose received bytes stood still for two sweeps in a row, told
     once per standstill; a working CPU or growth starts over. Readings have
-    cell, seq, rx, cpu."""
+    cell, seq, time, rx, cpu."""
+    def step(own: dict, r: dict) -> list[tuple]:
+        moving = r["cpu"] > 0.5 or "rx" not in own or r["rx"] > own["rx"]
+        own.update(rx=int(r["rx"]), flat=0 if moving else own.get("flat", 0) + 1)
+        return [(int(r["seq"]),)] if own["flat"] == 2 else []
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, flat = state.get if state.exists else (None, 0)
-        out = []
-        for pdf in batches:
-            for seq, rx, cpu in pdf.sort_values("seq")[["seq", "rx", "cpu"]].itertuples(index=False):
-                moving = cpu > 0.5 or last is None or rx > last
-                flat = 0 if moving else flat + 1
-                last = int(rx)
-                if flat == 2:
-                    out.append((key[0], int(seq)))
-        state.update((last, flat))
-        yield pd.DataFrame(out, columns=["cell", "seq"])
-
-    key_type = readings.schema["cell"].dataType.simpleString()
-    return readings.groupBy("cell").applyInPandasWithState(
-        step, f"cell {key_type}, seq long", "rx long, flat int", "append", GroupStateTimeout.NoTimeout)
+    return _in_event_order(readings, "cell", F.col("time"), "seq", late, forget_s, step, "seq long")
 
 
 def gate_progress(ledger: DataFrame) -> DataFrame:

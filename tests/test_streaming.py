@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -23,21 +24,35 @@ def test_trace_seconds_count_late_points_in_their_second(spark, tmp_path):
     assert {r.p99 for r in s} <= {30.0}
 
 
-def test_first_moments(spark, tmp_path):
-    t = lambda ts, fired=0, dec=False, claim=False, probe=False, p99=10.0: ("r", float(ts), fired, dec, claim, probe, p99)
-    df = spark.createDataFrame([t(1), t(2, 5), t(3, 5, True, p99=200.0), t(4, 5, False, True), t(5, 5, False, True, True), t(6, 5, False, False, True), t(7, 5), t(20, 5)],
+def test_first_moments_in_event_order(spark, tmp_path):
+    t = lambda ts, fired=0, dec=False, claim=False, probe=False, p99=10.0, run="r": (run, float(ts), fired, dec, claim, probe, p99)
+    end = t(1000, run="other")  # moves the watermark; no tick of the run itself comes after its window
+    df = spark.createDataFrame([end, t(7, 5), t(5, 5, False, True, True), t(1), t(4, 5, False, True), t(3, 5, True, p99=200.0), t(2, 5), t(6, 5, False, False, True)],
                                "run string, ts double, fired long, decided boolean, claimed boolean, probed boolean, p99 double")
-    got = {r.moment: r.ts for r in run.to_end(live.first_moments(stream(spark, tmp_path, df, "t"), 150.0, 10.0)).collect()}
-    assert got == {"decision": 3.0, "saturation": 3.0, "mount": 5.0, "release": 7.0, "over": 20.0}
-    never = df.where("ts IN (1, 20)").withColumn("fired", F.lit(0).cast("long"))
-    got = run.to_end(live.first_moments(stream(spark, tmp_path, never, "n"), 150.0, 10.0)).collect()
-    assert [(r.moment, r.ts) for r in got] == [("over", 20.0)]
+    got = {r.moment: r.ts for r in run.to_end(live.first_moments(stream(spark, tmp_path, df, "t", 3), 150.0, 10.0)).where("run = 'r'").collect()}
+    assert got == {"decision": 3.0, "saturation": 3.0, "mount": 5.0, "release": 7.0, "over": 12.0}
+    never = df.where("ts IN (1, 1000)").withColumn("fired", F.lit(0).cast("long"))
+    got = run.to_end(live.first_moments(stream(spark, tmp_path, never, "n"), 150.0, 10.0)).where("run = 'r'").collect()
+    assert [(r.moment, r.ts) for r in got] == [("over", 11.0)]
+
+
+def test_many_batches_without_order_give_the_ordered_result(spark, tmp_path):
+    rows = [("c", i, i // 3, 0.0) for i in range(1000)]
+    want = [i for i in range(1000) if i % 3 == 2]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame([*rows, ("z", 9999, 0, 0.0)], "cell string, seq long, rx long, cpu double").withColumn("time", F.timestamp_seconds(F.col("seq") + 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = run.to_end(live.two_sweeps(stream(spark, tmp_path, df, "u", 4), late="1000 seconds")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.seq for r in got if r.cell == "c") == want
 
 
 def test_sleep_sessions_and_alerts(spark, tmp_path):
-    clocks = spark.createDataFrame([("r", 1, 0.0, 0.0), ("r", 2, 100.0, 10.0), ("r", 3, 120.0, 29.0)], "run string, seq long, wall double, mono double")
+    clocks = spark.createDataFrame([("r", 3, 1120.0, 29.0), ("r", 1, 1000.0, 0.0), ("r", 2, 1100.0, 10.0), ("z", 1, 1900.0, 0.0)], "run string, seq long, wall double, mono double")
     out = run.to_end(live.sleep_seconds(stream(spark, tmp_path, clocks, "c")), "update")
-    assert out.first().slept == 90.0
+    assert sorted((r.seq, r.slept) for r in out.where("run = 'r'").collect()) == [(1, 0.0), (2, 90.0), (3, 90.0)]
     at = lambda df: df.withColumn("time", F.timestamp_seconds("s")).drop("s")
     smp = at(spark.createDataFrame([("c", 1, 0, 50.0, 1.0), ("c", 1, 10, 70.0, 1.0), ("c", 1, 500, 5.0, 1.0), ("d", 1, 9000, 1.0, 1.0)], "cell string, attempt int, s long, cpu_pct double, mem_mb double"))
     got = {(r.samples, r.cpu_max) for r in run.to_end(live.verify_sessions(stream(spark, tmp_path, smp, "s"))).collect()}
@@ -49,7 +64,7 @@ def test_sleep_sessions_and_alerts(spark, tmp_path):
 
 def test_two_sweeps_and_denied_tools(spark, tmp_path):
     r = lambda seq, rx, cpu=0.0: ("c", seq, rx, cpu)
-    df = spark.createDataFrame([r(1, 5), r(2, 5), r(3, 5), r(4, 5), r(5, 6), r(6, 6), r(7, 6, 2.0), r(8, 6), r(9, 6)], "cell string, seq long, rx long, cpu double")
+    df = spark.createDataFrame([r(1, 5), r(2, 5), r(3, 5), r(4, 5), r(5, 6), r(6, 6), r(7, 6, 2.0), r(8, 6), r(9, 6), ("z", 90, 1, 0.0)], "cell string, seq long, rx long, cpu double").withColumn("time", F.timestamp_seconds("seq"))
     assert sorted(x.seq for x in run.to_end(live.two_sweeps(stream(spark, tmp_path, df, "r"))).collect()) == [3, 9]
     ln = lambda t: ("c", json.dumps({"event": "step_update", "step_update": {"tool_name": t}}))
     steps = spark.createDataFrame([ln("read"), ln("shell"), ("c", '{"event": "init"}'), ("c", "{torn")], "cell string, line string")
