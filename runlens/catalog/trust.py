@@ -83,7 +83,7 @@ wr AS (SELECT cell, attempt, arg_max(js, line_no) FILTER (js IS NOT NULL) AS js,
 wg AS (SELECT *, CAST(json_extract_string(js, '$.api_error_status') AS INT) AS st, coalesce(json_extract_string(js, '$.is_error') = 'true', false) AS er, coalesce(json_extract_string(js, '$.result'), '') AS tx FROM wr),
 wi AS (SELECT cell, line_no, TRY_CAST(regexp_extract(note, 'attempt=(\d+)', 1) AS BIGINT) AS attempt, contains(note, 'stage=no-edit') AS ne FROM lp WHERE event = 'ITER' AND fields[1] IN ('fail', 'budget')),
 wk AS (SELECT wi.cell, wi.line_no, attempt, CASE WHEN js IS NOT NULL THEN CASE WHEN st IS NOT NULL THEN CASE WHEN st IN (401, 403, 404) OR regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' ELSE 'limit' END
-    WHEN er THEN CASE WHEN regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' WHEN regexp_matches(tx, '(?i){_DQ(faults.LIMIT)}') THEN 'limit' END END
+    WHEN er THEN CASE WHEN regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' WHEN regexp_matches(tx, '(?i){_DQ(faults.QUOTA + '|' + faults.TRANSIENT)}') THEN 'limit' END END
     WHEN ne THEN CASE WHEN au THEN 'auth' WHEN li THEN 'limit' END END AS kind, CASE WHEN tx <> '' THEN trim(tx) ELSE coalesce(wall, lastl, '') END AS why FROM wi JOIN wg USING (cell, attempt)),
 walls AS (SELECT cell, line_no, 'attempt ' || attempt || ' charged on a provider ' || kind || ' wall: ' || left(why, 80) AS text FROM wk WHERE kind IS NOT NULL)"""
 TAILS = """tails AS (SELECT doc_id, text, ['Error: you hit your weekly limit, resets in 3 hours', 'quota exceeded for this plan', 'please run /login now',

@@ -106,7 +106,7 @@ def _log_facts(spark, sf):
 
 @query("fault_classes", with_ctes(LOGS, f"""SELECT doc_id, CASE WHEN js IS NOT NULL THEN
       CASE WHEN st IS NOT NULL THEN CASE WHEN st IN (401, 403, 404) OR regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' ELSE 'limit' END
-        WHEN er THEN CASE WHEN regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' WHEN regexp_matches(tx, '(?i){_DQ(faults.LIMIT)}') THEN 'limit' END END
+        WHEN er THEN CASE WHEN regexp_matches(tx, '(?i){_DQ(faults.AUTH)}') THEN 'auth' WHEN regexp_matches(tx, '(?i){_DQ(faults.QUOTA + '|' + faults.TRANSIENT)}') THEN 'limit' END END
     WHEN rc <> 0 THEN CASE WHEN au THEN 'auth' WHEN li THEN 'limit' END END AS fault,
     CASE WHEN tx <> '' THEN trim(tx) ELSE coalesce(wall, lastl, '') END AS reason,
     regexp_matches(CASE WHEN tx <> '' THEN trim(tx) ELSE coalesce(wall, lastl, '') END, '(?i){_DQ(faults.QUOTA)}') AS quota FROM lg"""))

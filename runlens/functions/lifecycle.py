@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-# Action names, and which of them end a loop or leave it alone.
-ACTIONS = ("Admit", "ReleaseSlot", "StandDown", "AcquireVerify", "AcquireRig", "ReleaseRig",
-           "VerifyGreen", "VerifyFail", "Crash", "Pause", "Resume", "Kill")
+# Which actions end a loop or leave it alone, and the parts of a state.
 LOOP_CLEARED_BY = ("Crash", "Kill", "ReleaseSlot", "VerifyGreen", "StandDown", "EPOCH", "Retire")
 LOOP_UNCHANGED_BY = ("Pause", "Resume")
 LOOPS = ("none", "idle", "agent", "verify")
@@ -24,40 +22,36 @@ class State:
     done: bool = False
 
 
-def enabled(s: State, action: str) -> bool:
-    """Whether the action may happen in this state."""
-    live = s.loop != "none"
-    return {
-        "Admit": not live and s.intent == "run" and not s.done and not s.slot,
-        "AcquireVerify": s.loop == "agent" and not s.verify and s.intent == "run",
-        "AcquireRig": s.loop == "verify" and not s.rig,
-        "ReleaseRig": s.rig,
-        "VerifyGreen": s.loop == "verify", "VerifyFail": s.loop == "verify",
-        "ReleaseSlot": live, "Crash": live,
-        "StandDown": s.loop in ("idle", "agent") and s.intent != "run",
-        "Pause": s.intent == "run", "Resume": s.intent == "paused", "Kill": s.intent != "killed",
-    }[action]
-
-
-def after(s: State, action: str) -> tuple[State, int]:
-    """The state an enabled action leads to, and what it adds to attempts: an
-    attempt left before its verdict is taken back."""
-    free = dict(slot=False, verify=False, rig=False)
-    if action == "Admit":
-        return replace(s, slot=True, loop="agent"), 1
-    if action == "AcquireVerify":
-        return replace(s, verify=True, loop="verify"), 0
-    if action in ("AcquireRig", "ReleaseRig"):
-        return replace(s, rig=action == "AcquireRig"), 0
-    if action == "VerifyGreen":
-        return replace(s, done=True, loop="none", **free), 0
-    if action == "VerifyFail":
-        return replace(s, loop="agent", verify=False), 0
-    if action in ("ReleaseSlot", "Crash"):
-        return replace(s, loop="none", **free), -1 if s.loop in ("agent", "verify") else 0
-    if action == "StandDown":
-        return replace(s, loop="none", slot=False), -1 if s.loop == "agent" else 0
-    return replace(s, intent={"Pause": "paused", "Resume": "run", "Kill": "killed"}[action]), 0
+# For each action what it needs of a state, what it sets, and what
+# it adds to attempts by the loop it happens in. An action needs nothing of what
+# is not named; attempts left before their verdict are taken back.
+FREE = {"slot": False, "verify": False, "rig": False}
+LIVE = ("idle", "agent", "verify")
+RULES: dict[str, tuple[dict, dict, dict]] = {
+    "Admit": ({"loop": ("none",), "intent": ("run",), "done": (False,), "slot": (False,)}, {"loop": "agent", "slot": True}, {"none": 1}),
+    "ReleaseSlot": ({"loop": LIVE}, {"loop": "none", **FREE}, {"agent": -1, "verify": -1}),
+    "StandDown": ({"loop": ("idle", "agent"), "intent": ("paused", "killed")}, {"loop": "none", "slot": False}, {"agent": -1}),
+    "AcquireVerify": ({"loop": ("agent",), "intent": ("run",), "verify": (False,)}, {"loop": "verify", "verify": True}, {}),
+    "AcquireRig": ({"loop": ("verify",), "rig": (False,)}, {"rig": True}, {}),
+    "ReleaseRig": ({"rig": (True,)}, {"rig": False}, {}),
+    "VerifyGreen": ({"loop": ("verify",)}, {"loop": "none", "done": True, **FREE}, {}),
+    "VerifyFail": ({"loop": ("verify",)}, {"loop": "agent", "verify": False}, {}),
+    "Crash": ({"loop": LIVE}, {"loop": "none", **FREE}, {"agent": -1, "verify": -1}),
+    "Pause": ({"intent": ("run",)}, {"intent": "paused"}, {}),
+    "Resume": ({"intent": ("paused",)}, {"intent": "run"}, {}),
+    "Kill": ({"intent": ("run", "paused")}, {"intent": "killed"}, {}),
+}
+
+
+ACTIONS = tuple(RULES)
+
+
+def step(state: State, action: str) -> tuple[State, int] | None:
+    """The state that an action leads to and the change of attempts; nothing where the action may not happen."""
+    needs, sets, gains = RULES[action]
+    if all(getattr(state, part) in allowed for part, allowed in needs.items()):
+        return replace(state, **sets), gains.get(state.loop, 0)
+    return None
 
 
 def states() -> list[State]:

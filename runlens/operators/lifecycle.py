@@ -34,11 +34,8 @@ def machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[M.State, int]]:
     step, ok, gain = (np.zeros((len(M.ACTIONS), n), dtype=np.int32) for _ in range(3))
     for a, action in enumerate(M.ACTIONS):
         for i, s in enumerate(all_states):
-            if M.enabled(s, action):
-                nxt, more = M.after(s, action)
-                step[a, i], ok[a, i], gain[a, i] = index[nxt], 1, more
-            else:
-                step[a, i] = i
+            to = M.step(s, action)
+            step[a, i], ok[a, i], gain[a, i] = (index[to[0]], 1, to[1]) if to else (i, 0, 0)
     return step, ok, gain, index
 
 
