@@ -26,7 +26,7 @@ RULES = {
 
 def _payload() -> Column:
     """The fields after the first (the cell, or an ITER's result)."""
-    return F.array_join(F.slice("fields", 2, 1 << 20), "\t")
+    return F.array_join(F.slice("fields", F.lit(2), F.size("fields")), "\t")
 
 
 def _last_field(n: int) -> Column:
@@ -174,7 +174,7 @@ def line_text(ledger: DataFrame) -> Column:
 def agent_lines(ledger: DataFrame) -> DataFrame:
     """The last AGENT line per cell and attempt: seconds, those of its last
     run, and the client."""
-    note = F.concat_ws(" ", F.slice("fields", 2, 1 << 20))
+    note = F.concat_ws(" ", F.slice("fields", F.lit(2), F.size("fields")))
     digits = lambda k: F.when(text.kv(note, k).rlike(r"^\d+$"), text.kv(note, k).cast("long"))
     rows = ledger.where(is_("AGENT")).select(
         "cell", "line_no", digits("attempt").alias("attempt"), digits("s").alias("s"),
@@ -250,7 +250,7 @@ def rig_output(ledger: DataFrame) -> DataFrame:
     what = F.element_at("fields", -1)
     alerts = ledger.where(is_("ALERT") & F.startswith(what, F.lit("RIG-OUTPUT "))).select(
         "cell", "line_no", text.attempt_of(_payload()).alias("attempt"),
-        F.left(F.substring(what, 12, 1 << 20), F.lit(100)).alias("what"))
+        F.left(F.substring(what, F.lit(12), F.length(what)), F.lit(100)).alias("what"))
     judged = (ledger.where(is_("ITER")).select("cell", "line_no", text.attempt_of(_payload()).alias("attempt"))
               .groupBy("cell", "attempt").agg(F.max("line_no").alias("judged_line")))
     j = alerts.where("attempt IS NOT NULL").join(judged, ["cell", "attempt"], "left")

@@ -19,7 +19,7 @@ def ledger_lines(lines: DataFrame, *keys: str) -> DataFrame:
     kept = lines.where(~F.startswith(F.col("line"), F.lit("#")) & (F.size(f) >= 3))
     return kept.select(*keys, "line_no", f[0].alias("stamp"), F.to_timestamp(
         F.try_to_timestamp(f[0], F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"), f[1].alias("event"),
-        F.slice(f, 3, 1 << 20).alias("fields"))
+        F.slice(f, F.lit(3), F.size(f)).alias("fields"))
 
 
 def json_lines(lines: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def env_map(lines: DataFrame, key: str) -> DataFrame:
     of a name wins."""
     at = F.locate("=", F.col("line"))
     rows = lines.where(at > 1).select(key, "line_no", F.trim(F.substring(F.col("line"), F.lit(1), at - 1)).alias("name"),
-                                      F.substring(F.col("line"), at + 1, F.lit(1 << 30)).alias("value"))
+                                      F.substring(F.col("line"), at + 1, F.length("line")).alias("value"))
     return rows.groupBy(key, "name").agg(F.max_by("value", "line_no").alias("value"))
 
 

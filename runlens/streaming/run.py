@@ -2,21 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a query's checkpoint and output: below the shared
-    checkpoint folder, or a local one in a local session without it."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
-    if not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="runlens-stream-")
+from runlens.session import shared_folder
 
 
 def read_table(spark: SparkSession, folder: str, name: str, per_trigger: int = 1) -> DataFrame:
@@ -29,7 +17,7 @@ def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return what it emitted, as a table
     on disk. Update and complete modes write each batch with its number."""
     spark = stream.sparkSession
-    folder = scratch(spark)
+    folder = shared_folder(spark)
     out, writer = f"{folder}/out", stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").start(out)
