@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlens.operators.scan import chunk_of
 from runlens.operators.traces import second
 from runlens.sources import lines
 
@@ -17,6 +18,8 @@ SCHEDULE = "shape string, seed string, total_s double, events array<struct<kind:
 POINT = "type string, metric string, data struct<time:string,value:double,tags:map<string,string>>"
 RESOURCES = "ts double, plane string, name string, tag string, cpu_pct double, mem_mb double"
 HOST_SAMPLES = "ts string, scope string, name string, owner string, role string, cpu_pct double, mem_mb double"
+#: Bytes of a trace that make a chunk; a line is some tens of bytes.
+TRACE_CHUNK_BYTES = 1 << 22
 POINT_METRICS = ("fired", "dropped_iterations", "http_reqs", "http_req_duration")
 
 
@@ -29,6 +32,13 @@ def cell_of(depth: int = 2) -> Column:
     return F.element_at(F.split(_path(), "/"), -depth)
 
 
+def file_order() -> Column:
+    """A number that grows along each file, one for each line: where the line's
+    block starts, and how many lines its task has read. A task reads no more
+    lines than a block has bytes, so blocks do not run into each other."""
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+
+
 def cells(spark: SparkSession, root: str) -> DataFrame:
     """Every folder that declares a cell, from listing alone: no content is
     read."""
@@ -46,7 +56,9 @@ def env(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
-    return lines.ledger_lines(lines.numbered(_whole(spark, root, "iterations.log"), "text", "cell"), "cell")
+    """Ledger events per cell, with the chunk that the folds work in."""
+    events = lines.ledger_lines(lines.numbered(_whole(spark, root, "iterations.log"), "text", "cell"), "cell")
+    return events.withColumn("chunk", chunk_of("line_no"))
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
@@ -95,17 +107,18 @@ def trace(spark: SparkSession, csv: str, events: DataFrame) -> DataFrame:
     """Trace ticks on the schedule's clock. ``events`` has run and
     k6_start_epoch; a run is the folder of its trace."""
     t = spark.read.schema(TRACE).option("header", "true").option("enforceSchema", "false").csv(csv)
-    t = t.select(F.element_at(F.split(_path(), "/"), -2).alias("run"), *[c for c in t.columns])
+    t = t.select(F.element_at(F.split(_path(), "/"), -2).alias("run"), file_order().alias("seq"), *[c for c in t.columns])
     j = t.join(events.select("run", "k6_start_epoch"), "run", "left")
-    return j.select("run", second(F.col("epoch"), F.col("k6_start_epoch"), F.col("ts_s")).alias("ts"), F.coalesce("p99_ms", F.lit(0.0)).alias("p99"),
+    return j.select("run", "seq", chunk_of("seq", TRACE_CHUNK_BYTES).alias("chunk"), second(F.col("epoch"), F.col("k6_start_epoch"), F.col("ts_s")).alias("ts"), F.coalesce("p99_ms", F.lit(0.0)).alias("p99"),
                     F.coalesce(F.trim("infra_cache_up") == "True", F.lit(False)).alias("up"), F.col("k6_sent").alias("sent"), F.col("k6_done").alias("done"),
                     "offered_rps")
 
 
 def points(reader, path: str) -> DataFrame:
-    """Generator points, batch (``spark.read``) or live (``spark.readStream``)."""
+    """Generator points, batch (``spark.read``) or live (``spark.readStream``);
+    a run is the folder of its points."""
     p = reader.schema(POINT).json(path).where((F.col("type") == "Point") & F.col("metric").isin(*POINT_METRICS))
-    return p.select("metric", F.to_timestamp("data.time").alias("time"), F.col("data.value").alias("value"), F.col("data.tags")["status"].alias("status"))
+    return p.select(F.element_at(F.split(_path(), "/"), -2).alias("run"), "metric", F.to_timestamp("data.time").alias("time"), F.col("data.value").alias("value"), F.col("data.tags")["status"].alias("status"))
 
 
 def resource_samples(spark: SparkSession, csv: str) -> DataFrame:

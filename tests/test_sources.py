@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import ledger as L
-from runlens.operators.scan import chunk_of
+from runlens.operators import traces
 from runlens.plans import fleet, scoring, validation
 from runlens.sources import dimensions, files, sinks
 
@@ -36,7 +36,7 @@ def test_cell_directories(spark, root):
     assert sorted(r.cid for r in files.cells(spark, p).collect()) == ["ag_high_v_T1_r1", "ag_high_v_T1_r2"]
     e = {(r.cell[-2:], r.name): r.value for r in files.env(spark, p).collect()}
     assert e[("r1", "AGENT_MODEL")] == "m1" and e[("r2", "VARIANT")] == "w=1"
-    led = files.ledger(spark, p).withColumn("chunk", chunk_of("line_no"))
+    led = files.ledger(spark, p)
     assert {r.att for r in L.fold(led).collect()} == {1}
     assert [(r.attempt, r.line_no) for r in files.transcripts(spark, p).where("line LIKE '{%'").collect()] == [(2, 2), (2, 2)]
     m = scoring.read_metrics(files.metrics(spark, p)).first()
@@ -53,7 +53,7 @@ def test_trace_points_and_samples(spark, tmp_path):
         {"type": "Point", "metric": "http_reqs", "data": {"time": "2026-01-01T00:00:00.5Z", "value": 1, "tags": {"status": "404"}}}, {"type": "Metric", "metric": "http_reqs"},
         {"type": "Point", "metric": "other", "data": {"time": "2026-01-01T00:00:00Z", "value": 1}})) + "\n{torn\n")
     pts = files.points(spark.read, str(tmp_path / "p")).collect()
-    assert [(r.metric, r.status, r.value) for r in pts] == [("http_reqs", "404", 1.0)]
+    assert [(r.run, r.metric, r.status, r.value) for r in pts] == [("p", "http_reqs", "404", 1.0)]
     write(tmp_path / "busy.csv", "1.0,0.25\n2.0,0.5\n3.")
     assert [r.busy for r in files.host_busy(spark, str(tmp_path / "busy.csv")).collect()] == [0.25, 0.5]
     write(tmp_path / "host.csv", "ts,scope,name,owner,role,cpu_pct,mem_mb\n2026-01-01T00:00:00Z,container,a,,other,1.5,\n")
@@ -63,6 +63,17 @@ def test_trace_points_and_samples(spark, tmp_path):
     assert [r.action for r in files.transitions(spark, str(tmp_path / "log")).collect()] == ["Pause", "Kill", "Admit"]
 
 
+def test_a_trace_on_disk_goes_straight_into_episodes(spark, tmp_path):
+    names = [c.split()[0] for c in files.TRACE.split(", ")]
+    for run in ("run1", "run2"):
+        ticks = [{"epoch": 100.0 + i, "ts_s": i, "infra_cache_up": 3 <= i < 6} for i in range(10)]
+        rows = [",".join(str(t.get(n, 0)) for n in names) for t in ticks]
+        write(tmp_path / "t" / run / "trace.csv", "\n".join([",".join(names), *rows]) + "\n")
+    starts = spark.createDataFrame([("run1", 100.0), ("run2", 98.0)], "run string, k6_start_epoch double")
+    trace = files.trace(spark, str(tmp_path / "t" / "*"), starts)
+    assert {tuple(r) for r in traces.episodes(trace).collect()} == {("run1", 1, 3.0, 6.0), ("run2", 1, 5.0, 8.0)}
+
+
 def test_sinks_write_once(spark, tmp_path):
     out = str(tmp_path / "summary")
     rows = spark.createDataFrame([("a", 1, "t1"), ("a", 1, "t1"), ("b", 1, "t1")], "cell string, attempt int, ts string")
