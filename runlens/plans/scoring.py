@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators import ledger as L
 from runlens.operators import usage
 from runlens.operators.metrics import USAGE_FIELDS
+from runlens.session import cut_lineage
+from runlens.sources import sinks
 
 # The metric fields read as numbers.
 NUMERIC = ("load_total", "load_errors", "e2e_pass", "e2e_total", "ceiling_qps", "mount_delay_s")
@@ -78,6 +82,26 @@ def to_score(cells: DataFrame, stored: DataFrame) -> DataFrame:
         cells.where(F.col("sealed").isNotNull()).join(done, ["cell", "key"], "left_anti").select(*cells.columns))
 
 
+def sweep(cells: DataFrame, stored: DataFrame, records: Callable[[DataFrame], DataFrame], path: str, batches: int = 64) -> tuple[DataFrame, DataFrame]:
+    """A scoring sweep over finished ``cells`` (cell, sealed, key): what
+    ``to_score`` names is scored by ``records``, which maps those cells to score
+    records, and written over what the table at ``path`` holds of them. Cells that
+    give no record, or one without model or task, stop nothing: they go to the
+    errors beside the table and keep the record they had. Returns the whole table
+    and this sweep's errors (cell, error)."""
+    spark = cells.sparkSession
+    todo = cut_lineage(to_score(cells, stored).select("cell").distinct())
+    made = cut_lineage(records(todo))
+    whole = F.col("model").isNotNull() & F.col("task").isNotNull()
+    marks = made.select(F.col("cell_id").alias("_id"), whole.alias("_whole"))
+    found = todo.join(marks, F.col("cell").cast("string") == F.col("_id"), "left")
+    errors = found.where(~F.coalesce("_whole", F.lit(False))).select(
+        F.col("cell").cast("string").alias("cell"), F.when(F.col("_id").isNull(), "no record").otherwise("no model or task").alias("error"))
+    errors.write.mode("overwrite").parquet(f"{path}-errors")
+    sinks.write_scores(made.where(whole), path, batches)
+    return (spark.read.schema(made.schema).parquet(path), spark.read.schema("cell string, error string").parquet(f"{path}-errors"))
+
+
 def changed_inputs(now: DataFrame, cached: DataFrame) -> DataFrame:
     """Inputs to read again: (cell, source) whose time moved or that no cache
     of this rules version holds."""

@@ -101,6 +101,19 @@ def test_scoring_some_cells_again_keeps_the_others(spark, tmp_path):
         sinks.write_scores(cells, out, batches=32)
 
 
+def test_a_sweep_scores_what_changed_and_keeps_going(spark, tmp_path):
+    cells = spark.createDataFrame([(i, "sealed", "k2") for i in range(6)], "cell long, sealed string, key string")
+    stored = spark.createDataFrame([(0, "k2"), (1, "k1")], "cell long, key string")
+    out = str(tmp_path / "sweep")
+    record = lambda i, v: (str(i), None if i == 4 else "m", "t", v)
+    schema = "cell_id string, model string, task string, v int"
+    sinks.write_scores(spark.createDataFrame([record(i, 1) for i in (0, 1, 2, 3)], schema), out)
+    new = lambda todo: spark.createDataFrame([record(r.cell, 2) for r in todo.collect() if r.cell != 3], schema)
+    table, errors = scoring.sweep(cells, stored, new, out)
+    assert {(r.cell_id, r.v) for r in table.collect()} == {("0", 1), ("1", 2), ("2", 2), ("3", 1), ("5", 2)}
+    assert {tuple(r) for r in errors.collect()} == {("3", "no record"), ("4", "no model or task")}
+
+
 def test_dimensions_refuse_what_they_do_not_know(spark, tmp_path):
     v = dimensions.variants(spark, [("a", 'label = "A"\n[factors]\ntech = "alpha"\n')]).first()
     assert (v.label, v.retired, v.factors) == ("A", False, {"tech": "alpha"})
