@@ -37,7 +37,7 @@ def load_error_rate() -> Column:
 
 
 def metric_columns() -> list[Column]:
-    """Every metric of a group of score records."""
+    """Every metric of a group of score records. The metrics' names."""
     green = F.col("green")
     won = lambda c: F.when(green, F.col(c))
     low = lambda x: F.min(x.cast("double"))

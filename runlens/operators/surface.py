@@ -62,8 +62,8 @@ def source_lines(content: Column, lang: Column) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL in the first 8 KiB, or a head that is not UTF-8. A character cut
-    by the 8 KiB edge makes the head invalid too. Unreadable is binary."""
+    """Whether the first SNIFF_BYTES hold a zero byte or are no valid UTF-8, as
+    when their end splits a character; true for missing content."""
     head = F.substring(content.cast("binary"), 1, SNIFF_BYTES)
     bad = F.contains(head, F.lit(bytearray(b"\x00"))) | ~F.is_valid_utf8(head.cast("string"))
     return F.coalesce(bad, F.lit(True))

@@ -1,5 +1,5 @@
 """The fleet: status, backlog, missing work, orphans and alerts. Detection
-only; nothing here acts on a cell."""
+only; nothing here acts on a cell. Fixed values: the texts of states and alerts."""
 
 from __future__ import annotations
 

@@ -1,7 +1,8 @@
 """The load-shape law: verdict and reasons per run.
 
 Every fact is computed per spike, then the first spike that decides a run is
-taken; when none does, the reasons of all spikes are put in order.
+taken; when none does, the reasons of all spikes are put in order. Fixed values:
+the texts of the reasons, which results are compared by.
 """
 
 from __future__ import annotations

@@ -8,6 +8,9 @@ from runlens.operators import usage
 from runlens.sources import lines
 
 
+# The figures that accounts of known transcripts must give.
+
+
 def transcript(spark, *attempts):
     return spark.createDataFrame([("c", n, i, e if isinstance(e, str) else json.dumps(e)) for n, es in attempts for i, e in enumerate(es)],
                                  "cell string, attempt long, line_no long, line string")
