@@ -16,8 +16,7 @@ def tokens(note: Column) -> Column:
 def kv(note: Column, key: str) -> Column:
     """The value of the last ``key=`` token, null without one."""
     hits = F.filter(tokens(note), lambda t: F.startswith(t, F.lit(key + "=")))
-    last = F.try_element_at(hits, F.lit(-1))
-    return F.substring(last, F.lit(len(key) + 2), F.length(last))
+    return F.substr(F.try_element_at(hits, F.lit(-1)), F.lit(len(key) + 2))
 
 
 def kv_map(note: Column) -> Column:
@@ -27,7 +26,7 @@ def kv_map(note: Column) -> Column:
     kept = F.filter(t, lambda x, i: ~F.exists(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))),
                                               lambda y: name(y) == name(x)))
     return F.map_from_entries(F.transform(
-        kept, lambda x: F.struct(name(x), F.substring(x, F.length(name(x)) + 2, F.length(x)))))
+        kept, lambda x: F.struct(name(x), F.substr(x, F.length(name(x)) + 2))))
 
 
 def attempt_of(text: Column) -> Column:

@@ -250,7 +250,7 @@ def rig_output(ledger: DataFrame) -> DataFrame:
     what = F.element_at("fields", -1)
     alerts = ledger.where(is_("ALERT") & F.startswith(what, F.lit("RIG-OUTPUT "))).select(
         "cell", "line_no", text.attempt_of(_payload()).alias("attempt"),
-        F.left(F.substring(what, F.lit(12), F.length(what)), F.lit(100)).alias("what"))
+        F.left(F.substr(what, F.lit(12)), F.lit(100)).alias("what"))
     judged = (ledger.where(is_("ITER")).select("cell", "line_no", text.attempt_of(_payload()).alias("attempt"))
               .groupBy("cell", "attempt").agg(F.max("line_no").alias("judged_line")))
     j = alerts.where("attempt IS NOT NULL").join(judged, ["cell", "attempt"], "left")

@@ -145,6 +145,6 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 def ledger_moved(old: Column, new: Column) -> Column:
     """A ledger text changed other than by whole supervisor lines at its end."""
     grown = F.coalesce(F.startswith(new, old), F.lit(False))
-    added = F.filter(F.split(F.substring(new, F.length(old) + 1, F.length(new)), "\n"), lambda l: l != "")
+    added = F.filter(F.split(F.substr(new, F.length(old) + 1), "\n"), lambda l: l != "")
     foreign = F.exists(added, lambda l: ~F.coalesce(F.try_element_at(F.split(l, "\t"), F.lit(2)).isin(*SUPERVISOR_EVENTS), F.lit(False)))
     return ~old.eqNullSafe(new) & (~grown | foreign)

@@ -74,7 +74,7 @@ def archive_mismatches(runs: DataFrame, ledger: DataFrame) -> DataFrame:
 def integrity_alerts(ledger: DataFrame) -> DataFrame:
     what = F.element_at("fields", -1)
     return ledger.where(L.is_("ALERT") & F.startswith(what, F.lit("INTEGRITY "))).select(
-        "cell", "line_no", F.concat(F.lit("a verify changed the cell's record: "), F.left(F.substring(what, F.lit(11), F.length(what)), F.lit(100))).alias("text"))
+        "cell", "line_no", F.concat(F.lit("a verify changed the cell's record: "), F.left(F.substr(what, F.lit(11)), F.lit(100))).alias("text"))
 
 
 def charged_walls(ledger: DataFrame, logs: DataFrame) -> DataFrame:

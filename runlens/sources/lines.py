@@ -33,7 +33,7 @@ def env_map(lines: DataFrame, key: str) -> DataFrame:
     of a name wins."""
     at = F.locate("=", F.col("line"))
     rows = lines.where(at > 1).select(key, "line_no", F.trim(F.substring(F.col("line"), F.lit(1), at - 1)).alias("name"),
-                                      F.substring(F.col("line"), at + 1, F.length("line")).alias("value"))
+                                      F.substr(F.col("line"), at + 1).alias("value"))
     return rows.groupBy(key, "name").agg(F.max_by("value", "line_no").alias("value"))
 
 
