@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from runlens.llm.shared import SPACE, whole, written
 
-#: Domains at most; sources with fewer labelled rows share the last one.
-DOMAINS = 32
-OTHER = "(other)"
+#: Up to so many domains each is compiled on its own; more are looped over as arrays.
+UNROLLED = 32
 #: Chance that a document's source names its domain.
 TRUST = 0.9
 #: Steps of the fit at most, and the relative error of each total at which it ends.
@@ -44,7 +43,7 @@ def _measured(docs: DataFrame, text: str, source: str) -> DataFrame:
 
 @dataclass
 class Mixer:
-    """The classifier and the steps of the fit: small enough for a literal."""
+    """The classifier and the steps of the fit: numbers of domains, as literals."""
 
     names: list[str]
     prior: list[float]
@@ -58,11 +57,14 @@ class Mixer:
     def with_posterior(self, measured: DataFrame) -> DataFrame:
         """``measured`` and P(domain | source, features) as the array ``posterior``: normal densities for each domain.
 
-        Each domain is plain arithmetic, in stages that name a value once, so all of it is compiled."""
+        Up to UNROLLED, each domain is plain arithmetic, in stages that name a value
+        once, so all of it is compiled. A source that the fit has not seen names no domain."""
         count = len(self.names)
         numbers = F.create_map(*[F.lit(x) for i, n in enumerate(self.names) for x in (n, i)])
-        own = F.coalesce(F.try_element_at(numbers, F.col("source")), F.lit(count - 1))
+        own = F.coalesce(F.try_element_at(numbers, F.col("source")), F.lit(-1))
         right, wrong = log(TRUST) if count > 1 else 0.0, log((1 - TRUST) / max(1, count - 1))
+        if count > UNROLLED:
+            return self._looped(measured.withColumn("_own", own), measured.columns, right, wrong)
 
         def score(k: int) -> Column:
             total = F.lit(log(self.prior[k]) - sum(log(2 * pi * d) / 2 for d in self.spread[k])) + F.when(F.col("_own") == k, right).otherwise(wrong)
@@ -81,6 +83,24 @@ class Mixer:
         # rewritten into the arithmetic above, which would multiply with each stage.
         return whole_odds.select(*names, F.explode_outer(F.array(shares)).alias("posterior"))
 
+    def _looped(self, owned: DataFrame, names: list[str], right: float, wrong: float) -> DataFrame:
+        """The same over arrays, whose expression does not grow with the steps of the arithmetic."""
+        domains = F.array(*[F.struct(F.lit(log(prior) - sum(log(2 * pi * d) / 2 for d in spread)).alias("base"),
+                                     *[F.lit(m).alias(f"m_{f}") for f, m in zip(FEATURES, mean, strict=True)],
+                                     *[F.lit(d).alias(f"d_{f}") for f, d in zip(FEATURES, spread, strict=True)])
+                            for prior, mean, spread in zip(self.prior, self.mean, self.spread, strict=True)])
+
+        def score(x: Column, k: Column) -> Column:
+            total = x["base"] + F.when(F.col("_own") == k, right).otherwise(wrong)
+            for f in FEATURES:
+                total = total - (F.col(f) - x[f"m_{f}"]) * (F.col(f) - x[f"m_{f}"]) / (2 * x[f"d_{f}"])
+            return total
+
+        scored = owned.select(*names, F.explode_outer(F.array(F.transform(domains, score))).alias("_s")).withColumn("_top", F.array_max("_s"))
+        odds = scored.select(*names, F.explode_outer(F.array(F.transform("_s", lambda x: F.exp(x - F.col("_top"))))).alias("_o"))
+        summed = odds.withColumn("_sum", F.aggregate("_o", F.lit(0.0), lambda a, x: a + x))
+        return summed.select(*names, F.explode_outer(F.array(F.transform("_o", lambda x: x / F.col("_sum")))).alias("posterior"))
+
     def with_rate(self, rows: DataFrame) -> DataFrame:
         """``rows`` and ``rate`` of their posteriors: from one, each step goes against its gradient and back to ``least`` or more."""
         first = F.lit(max(1.0, self.least))
@@ -100,29 +120,29 @@ class Mixer:
 
 
 def classifier(measured: DataFrame, labels: DataFrame, doc_id: str) -> Mixer:
-    """Learns the domains from the labelled documents, all of them; from all
-    documents where none is labelled. A domain's spread is smoothed with that of all."""
+    """Learns a domain for each source: from its labelled documents, all of them, or
+    from all its documents where none is labelled. Documents of the latter kind
+    weigh as much as a labelled source's do on average. A domain's spread is
+    smoothed with that of all."""
     named = labels.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
     light = measured.select(F.col("row")[doc_id].cast("long").alias("_id"), "source", *FEATURES)
-    known = light.join(named, "_id", "left_semi")
-    for rows in (known, light):
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f) ** k).alias(f"{f}{k}") for f in FEATURES for k in (1, 2)]]
-        by_source = written(rows.groupBy("source").agg(*sums))
-        top = [r.asDict() for r in by_source.orderBy(F.desc("n"), "source").limit(DOMAINS - 1).collect()]
-        if top:
-            break
-    else:
+    sums = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f) ** k).alias(f"{f}{k}") for f in FEATURES for k in (1, 2)]]
+    docs = dict(measured.groupBy("source").count().collect())
+    if not docs:
         return Mixer([], [], [], [])
-    rest = by_source.where(~F.col("source").isin([r["source"] for r in top])).agg(*[F.sum(c).alias(c) for c in by_source.columns if c != "source"]).first()
-    if rest["n"]:
-        top.append({**rest.asDict(), "source": OTHER})
-    n = sum(r["n"] for r in top)
-    both = {f: sum(r[f"{f}1"] for r in top) / n for f in FEATURES}
-    spread = {f: max(1e-6, sum(r[f"{f}2"] for r in top) / n - both[f] ** 2) for f in FEATURES}
+    known = [r.asDict() | {"weight": 1.0} for r in light.join(named, "_id", "left_semi").groupBy("source").agg(*sums).collect()]
+    rest = sorted(docs.keys() - {r["source"] for r in known})
+    if rest:
+        share = sum(r["n"] for r in known) / sum(docs[r["source"]] for r in known) if known else 1.0
+        known += [r.asDict() | {"weight": share} for r in light.where(F.col("source").isin(rest)).groupBy("source").agg(*sums).collect()]
+    top = sorted(known, key=lambda r: (-r["n"] * r["weight"], r["source"]))
+    n = sum(r["n"] * r["weight"] for r in top)
+    both = {f: sum(r[f"{f}1"] * r["weight"] for r in top) / n for f in FEATURES}
+    spread = {f: max(1e-6, sum(r[f"{f}2"] * r["weight"] for r in top) / n - both[f] ** 2) for f in FEATURES}
     mean = [[(r[f"{f}1"] + both[f]) / (r["n"] + 1) for f in FEATURES] for r in top]
     own = [[max(1e-6, (r[f"{f}2"] - 2 * m * r[f"{f}1"] + r["n"] * m * m + 10 * spread[f]) / (r["n"] + 10)) for f, m in zip(FEATURES, ms, strict=True)]
            for r, ms in zip(top, mean, strict=True)]
-    return Mixer([r["source"] for r in top], [r["n"] / n for r in top], mean, own)
+    return Mixer([r["source"] for r in top], [r["n"] * r["weight"] / n for r in top], mean, own)
 
 
 def tempered(totals: Sequence[float], power: float) -> list[float]:
@@ -138,8 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, power: float, targets: dict[str, flo
     """Fits rates r >= ``least`` so that the expected tokens of each domain,
     sum of tokens * posterior * r, come closest to its target in least squares.
 
-    Targets are token totals by domain; without them, natural totals are tempered
-    by ``power``. Each step of the projected gradient is one aggregate over the
+    Each source is a domain. Targets are token totals by domain, zero for domains
+    they leave out; a target of no domain is an error. Without them, natural totals
+    are tempered by ``power``. Each step of the projected gradient is one aggregate over the
     table of tokens and posteriors. Errors are weighed by the inverse of the
     domains' overlap, the sum of tokens * posterior_i * posterior_j: in that metric
     the curvature is one, so a full step is safe, and a single one is enough
@@ -149,19 +170,31 @@ def fit(docs: DataFrame, labels: DataFrame, power: float, targets: dict[str, flo
     mixer.least = least
     if not mixer.names:
         return mixer
+    if unknown := sorted((targets or {}).keys() - set(mixer.names)):
+        raise ValueError(f"targets of no domain: {unknown}")
     state = written(mixer.with_posterior(measured.select("source", "tokens", *FEATURES)).select("tokens", "posterior"))
     count = len(mixer.names)
 
     def sums() -> list[float]:
         weighed = mixer.with_rate(state).select((F.col("tokens") * F.col("rate")).alias("w"), "posterior")
+        if count > UNROLLED:
+            by_domain = dict(weighed.select("w", F.posexplode("posterior")).groupBy("pos").agg(F.sum(F.col("w") * F.col("col"))).collect())
+            return [by_domain.get(k) or 0.0 for k in range(count)]
         row = weighed.agg(*[F.sum(F.col("w") * F.get("posterior", F.lit(k))).alias(f"t{k}") for k in range(count)]).first()
         return [x or 0.0 for x in row]
 
-    pairs = [(i, j) for i in range(count) for j in range(i + 1)]
-    row = state.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))).alias(f"g{i}_{j}") for i, j in pairs]).first()
     overlap = np.zeros((count, count))
-    for (i, j), x in zip(pairs, row, strict=True):
-        overlap[i, j] = overlap[j, i] = x or 0.0
+    if count > UNROLLED:
+        each = state.select("posterior", F.posexplode("posterior").alias("i", "a"), "tokens").select("i", (F.col("a") * F.col("tokens")).alias("w"), "posterior")
+        cells = each.select("i", "w", F.posexplode("posterior").alias("j", "b")).groupBy("i", "j").agg(F.sum(F.col("w") * F.col("b"))).collect()
+        for i, j, x in cells:
+            overlap[i, j] = x or 0.0
+        overlap = (overlap + overlap.T) / 2
+    else:
+        pairs = [(i, j) for i in range(count) for j in range(i + 1)]
+        row = state.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        for (i, j), x in zip(pairs, row, strict=True):
+            overlap[i, j] = overlap[j, i] = x or 0.0
     mixer.totals = overlap.sum(axis=1).tolist()
     mixer.targets = [targets.get(n, 0.0) for n in mixer.names] if targets else tempered(mixer.totals, power)
     overlap += np.eye(count) * max(1e-9 * np.trace(overlap) / count, 1e-9)
