@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, counts, exact, frames, lm, mixing, packing, quality, shards, simhash
+from runlens.llm import chat, counts, exact, frames, lm, mixing, packing, pieces, quality, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -62,8 +62,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest(F.col("ids")).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_chat, op4_lm_scores, op5_exact_dedup, op6_quality_rules, op7_token_files, op8_sharding, op9_best_fit_packing,
-                                  op10_simhash)}
+                                  op10_simhash, op11_sentencepiece)}
 
 SQL = {
     "op3_chat": r"""
