@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, counts, exact, frames, lm, mixing, packing, pieces, quality, shards, simhash
+from runlens.llm import chat, counts, divergence, exact, frames, lm, mixing, packing, pieces, quality, search, shards, simhash
 from runlens.llm.shared import table
 from runlens.llm.tokens import WORD_BPE
 
@@ -68,8 +68,16 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_source_mixing, op3_chat, op4_lm_scores, op5_exact_dedup, op6_quality_rules, op7_token_files, op8_sharding, op9_best_fit_packing,
-                                  op10_simhash, op11_sentencepiece)}
+                                  op10_simhash, op11_sentencepiece, op12_source_divergence, op13_lexical_search)}
 
 SQL = {
     "op3_chat": r"""
@@ -90,4 +98,44 @@ SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1 AS kept, sha256(norm) AS text_sha256
         FROM n""",
+    "op12_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT rid, lang, source,
+                     unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM t GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS lang_n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+        v AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+        g AS (SELECT lang, source, coalesce(sum(n) FILTER (k.term IS NOT NULL), 0) AS total
+              FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN k USING (lang, term) GROUP BY ALL),
+        s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                     1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + v.terms) AS p,
+                     1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (v.lang_total + v.terms) AS q
+              FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+                  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+        marked AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM s WHERE n > 0 AND p > q),
+        ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM every
+                   UNION ALL
+                   SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+                                         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM marked) WHERE rank <= 200)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM ranked""",
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM len),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, c),
+        m AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // total AS m FROM len, c),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+        SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+                       FROM s WHERE score > 0) WHERE rank <= 10""",
 }
