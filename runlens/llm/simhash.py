@@ -113,19 +113,3 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def unique(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each component, whole, in the columns of ``docs``: the one with the smallest id.
-
-    Of rows that tie on that id, the one with the least hash of the text stays,
-    and of equal texts any one. Rows without an id belong to nobody and stay."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    heads = (groups(docs, words).where(F.col("doc_id") == F.col("component_id")).groupBy("component_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
-             .groupBy("component_id").agg(F.min(F.struct("text_hash", "rows")).alias("head")).select("component_id", "head.*"))
-    heads = written(heads)
-    cells = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole(F.col("text"))).alias("hash"))
-    kept = cells.join(heads, (F.col("id") == F.col("component_id")) & (F.col("hash") == F.col("text_hash")))
-    single = kept.where("rows = 1").select("row")
-    tied = kept.where("rows > 1").groupBy("id").agg(F.any_value("row").alias("row")).select("row")
-    return single.union(tied).union(cells.where("id is null").select("row")).select("row.*")

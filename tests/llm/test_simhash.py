@@ -51,9 +51,6 @@ def test_fingerprints_and_groups_equal_brute_force(spark):
     want = sorted(zip([r[0] for r in rows], prints, least_reachable([r[0] for r in rows], prints)), key=str)
     got = simhash.groups(docs).collect()
     assert sorted([(r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got], key=str) == want
-    kept = simhash.unique(docs)
-    assert kept.columns == docs.columns
-    assert sorted([r[0] for r in kept.collect()], key=str) == sorted([*{w[2] for w in want if w[2] is not None}, None], key=str)
 
 
 def test_links_lose_none(spark):
