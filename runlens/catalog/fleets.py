@@ -183,11 +183,11 @@ def sweep_alerts(spark, sf):
 
 
 @query("memory_pressure_edges", with_ctes(EVENTS, """
-l AS (SELECT run % 10 AS host, seq, CASE WHEN k < 60 THEN 1 WHEN k < 85 THEN 2 ELSE 4 END AS level FROM ev),
+l AS (SELECT run // 16 AS host, seq, CASE WHEN k < 60 THEN 1 WHEN k < 85 THEN 2 ELSE 4 END AS level FROM ev),
 p AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY host ORDER BY seq), 0) AS was FROM l)""",
     "SELECT host, seq, level, CASE WHEN level >= 2 THEN 'pressure' ELSE 'normal' END AS edge FROM p WHERE (level >= 2 AND level <> was) OR (level < 2 AND was >= 2)"))
 def memory_pressure_edges(spark, sf):
-    e = tables.events(spark, sf).select((F.col("run") % 10).alias("host"), "seq", "chunk", F.when(F.col("k") < 60, 1).when(F.col("k") < 85, 2).otherwise(4).alias("level"))
+    e = tables.events(spark, sf).select(tables.host_of("run").alias("host"), "seq", "chunk", F.when(F.col("k") < 60, 1).when(F.col("k") < 85, 2).otherwise(4).alias("level"))
     return fleet.memory_edges(e)
 
 

@@ -81,7 +81,7 @@ trace AS (
 
 SAMPLES = EVENTS + """,
 samples AS (
-  SELECT floor(ts / 3600) * 3600 AS ts,
+  SELECT run // 16 AS host, floor(ts / 3600) * 3600 AS ts,
     CASE WHEN kind = 'signup' THEN 'host' ELSE 'container' END AS scope,
     CASE WHEN kind = 'signup' THEN CASE k % 3 WHEN 0 THEN 'cpu_idle' WHEN 1 THEN 'load1' ELSE 'mem_used_gb' END
          ELSE 'box-' || CAST(run AS VARCHAR) END AS name,
@@ -89,7 +89,7 @@ samples AS (
     CASE WHEN kind = 'signup' THEN '' ELSE kind END AS role,
     max(CASE WHEN k <> 17 THEN floor(value) END) AS cpu_pct,
     max(CASE WHEN k % 5 <> 0 THEN CAST(k * 4 AS DOUBLE) END) AS mem_mb
-  FROM ev GROUP BY 1, 2, 3, 4, 5)"""
+  FROM ev GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 RESOURCES = EVENTS + """,
 res AS (

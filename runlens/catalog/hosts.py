@@ -65,12 +65,12 @@ def footprint_reliability(spark, sf):
 
 @query("first_findings", with_ctes(CHECKS, """
 f AS (SELECT cell, CASE WHEN disagree > 1 THEN 'many disagree' WHEN disagree = 1 THEN 'one disagrees' ELSE 'unchecked ' || unchecked END AS finding, min(ts) AS ts FROM chk WHERE disagree + unchecked > 0 GROUP BY 1, 2),
-n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY ts, finding) AS n FROM f)""", "SELECT cell, ts, finding FROM n WHERE n <= 2"))
+n AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY ts, finding) AS n FROM f)""", "SELECT cell, ts, finding FROM n WHERE n <= 20"))
 def first_findings(spark, sf):
     c = samples.cross_check(tables.resource_samples(spark, sf)).where(F.col("disagree") + F.col("unchecked") > 0)
     text = (F.when(F.col("disagree") > 1, "many disagree").when(F.col("disagree") == 1, "one disagrees")
             .otherwise(F.concat(F.lit("unchecked "), F.col("unchecked").cast("string"))))
-    return samples.first_findings(c.select("cell", "ts", text.alias("finding")), keep=2)
+    return samples.first_findings(c.select("cell", "ts", text.alias("finding")), keep=20)
 
 
 @query("plane_union", with_ctes(RESOURCES, "SELECT plane, count(*) AS n, sum(mem_mb) AS mem_mb FROM res GROUP BY plane"))
@@ -89,18 +89,18 @@ def generator_union(spark, sf):
 
 
 LIMITED = SAMPLES + """,
-sl AS (SELECT ts, scope, name, owner, cpu_pct, mem_mb FROM samples UNION ALL SELECT DISTINCT ts, 'host', 'docker_cpus', '', 8.0::DOUBLE, NULL FROM samples WHERE ts % 7200 = 0
-  UNION ALL SELECT DISTINCT ts, 'host', 'docker_mem_mb', '', NULL, 4096.0::DOUBLE FROM samples WHERE ts % 10800 = 0),
-dl AS (SELECT ts, coalesce(sum(cpu_pct) FILTER (scope = 'container'), 0) AS cpu, coalesce(sum(mem_mb) FILTER (scope = 'container'), 0) AS mem,
-    max(cpu_pct) FILTER (name = 'docker_cpus') AS cpus, max(mem_mb) FILTER (name = 'docker_mem_mb') AS mib FROM sl GROUP BY ts)"""
+sl AS (SELECT host, ts, scope, name, owner, cpu_pct, mem_mb FROM samples UNION ALL SELECT DISTINCT host, ts, 'host', 'docker_cpus', '', 8.0::DOUBLE, NULL FROM samples WHERE ts % 7200 = 0
+  UNION ALL SELECT DISTINCT host, ts, 'host', 'docker_mem_mb', '', NULL, 4096.0::DOUBLE FROM samples WHERE ts % 10800 = 0),
+dl AS (SELECT host, ts, coalesce(sum(cpu_pct) FILTER (scope = 'container'), 0) AS cpu, coalesce(sum(mem_mb) FILTER (scope = 'container'), 0) AS mem,
+    max(cpu_pct) FILTER (name = 'docker_cpus') AS cpus, max(mem_mb) FILTER (name = 'docker_mem_mb') AS mib FROM sl GROUP BY host, ts)"""
 
 
-@query("docker_load", with_ctes(LIMITED, "SELECT ts, 'cpu' AS resource, round(cpu / cpus, 1) AS pct, cpus AS has FROM dl WHERE cpus IS NOT NULL "
-       "UNION ALL SELECT ts, 'mem', round(100.0::DOUBLE * mem / mib, 1), mib FROM dl WHERE mib IS NOT NULL"))
+@query("docker_load", with_ctes(LIMITED, "SELECT host, ts, 'cpu' AS resource, round(cpu / cpus, 1) AS pct, cpus AS has FROM dl WHERE cpus IS NOT NULL "
+       "UNION ALL SELECT host, ts, 'mem', round(100.0::DOUBLE * mem / mib, 1), mib FROM dl WHERE mib IS NOT NULL"))
 def docker_load(spark, sf):
-    s = tables.samples(spark, sf).select("ts", "scope", "name", "owner", "cpu_pct", "mem_mb")
-    at = s.select("ts").distinct()
-    row = lambda df, name, cpu, mem: df.select("ts", F.lit("host").alias("scope"), F.lit(name).alias("name"), F.lit("").alias("owner"),
+    s = tables.samples(spark, sf).select("host", "ts", "scope", "name", "owner", "cpu_pct", "mem_mb")
+    at = s.select("host", "ts").distinct()
+    row = lambda df, name, cpu, mem: df.select("host", "ts", F.lit("host").alias("scope"), F.lit(name).alias("name"), F.lit("").alias("owner"),
                                                F.lit(cpu).cast("double").alias("cpu_pct"), F.lit(mem).cast("double").alias("mem_mb"))
     return samples.docker_load(s.unionByName(row(at.where("ts % 7200 = 0"), "docker_cpus", 8.0, None))
                                .unionByName(row(at.where("ts % 10800 = 0"), "docker_mem_mb", None, 4096.0)))
@@ -121,19 +121,21 @@ SAMPLES_ONLY = SAMPLES[len(EVENTS) + 2:]
 
 
 @query("host_load_summary", with_ctes(WINDOWS, SAMPLES_ONLY, """
-per AS (SELECT ts, coalesce(sum(cpu_pct) FILTER (scope = 'container'), 0) AS al, coalesce(sum(cpu_pct) FILTER (scope = 'container' AND owner = ''), 0) AS fr,
-    max(cpu_pct) FILTER (name = 'cpu_idle') AS idle, max(cpu_pct) FILTER (name = 'load1') AS load1, max(cpu_pct) FILTER (name = 'mem_used_gb') AS mem FROM samples GROUP BY ts),
-w AS (SELECT * FROM vw WHERE closed >= (SELECT min(ts) FROM per) AND ready <= (SELECT max(ts) FROM per)),
-own AS (SELECT ts, owner, sum(cpu_pct) AS c FROM samples WHERE scope = 'container' AND owner <> '' AND cpu_pct IS NOT NULL GROUP BY 1, 2),
-ins AS (SELECT w.cell, w.line_no, per.*, coalesce(own.c, 0) AS ow FROM w JOIN per ON per.ts BETWEEN ready AND closed LEFT JOIN own ON own.ts = per.ts AND own.owner = w.cell),
+per AS (SELECT host, ts, coalesce(sum(cpu_pct) FILTER (scope = 'container'), 0) AS al, coalesce(sum(cpu_pct) FILTER (scope = 'container' AND owner = ''), 0) AS fr,
+    max(cpu_pct) FILTER (name = 'cpu_idle') AS idle, max(cpu_pct) FILTER (name = 'load1') AS load1, max(cpu_pct) FILTER (name = 'mem_used_gb') AS mem FROM samples GROUP BY host, ts),
+sp AS (SELECT host, min(ts) AS f, max(ts) AS l FROM per GROUP BY host),
+w AS (SELECT vw.* FROM (SELECT *, CAST(cell AS BIGINT) // 16 AS host FROM vw) vw JOIN sp USING (host) WHERE closed >= f AND ready <= l),
+own AS (SELECT host, ts, owner, sum(cpu_pct) AS c FROM samples WHERE scope = 'container' AND owner <> '' AND cpu_pct IS NOT NULL GROUP BY 1, 2, 3),
+ins AS (SELECT w.cell, w.line_no, per.*, coalesce(own.c, 0) AS ow FROM w JOIN per ON per.host = w.host AND per.ts BETWEEN ready AND closed LEFT JOIN own ON own.host = w.host AND own.ts = per.ts AND own.owner = w.cell),
 g AS (SELECT cell, line_no, count(*) AS samples, min(idle) AS idle_min, round(median(idle), 1) AS idle_median, max(load1) AS load1_max, max(mem) AS mem_used_gb_max,
     round(median(ow), 1) AS own_cpu_median, round(median(al - ow - fr), 1) AS other_cells_cpu_median, round(median(fr), 1) AS unowned_cpu_median FROM ins GROUP BY 1, 2),
-ot AS (SELECT w.cell, w.line_no, s.role, s.owner, sum(cpu_pct) AS c FROM w JOIN samples s ON s.ts BETWEEN ready AND closed AND scope = 'container' AND owner <> '' AND owner <> w.cell AND cpu_pct IS NOT NULL GROUP BY 1, 2, 3, 4),
+ot AS (SELECT w.cell, w.line_no, s.role, s.owner, sum(cpu_pct) AS c FROM w JOIN samples s ON s.host = w.host AND s.ts BETWEEN ready AND closed AND scope = 'container' AND owner <> '' AND owner <> w.cell AND cpu_pct IS NOT NULL GROUP BY 1, 2, 3, 4),
 tp AS (SELECT cell, line_no, arg_max(role || ':' || owner, (c, role, owner)) AS nm, max(c) AS c FROM ot GROUP BY 1, 2)""", """
     SELECT w.*, coalesce(samples, 0) AS samples, idle_min, idle_median, load1_max, mem_used_gb_max, own_cpu_median, other_cells_cpu_median, unowned_cpu_median,
       nm || '=' || printf('%.0f', c / samples) AS top_other FROM w LEFT JOIN g USING (cell, line_no) LEFT JOIN tp USING (cell, line_no)"""))
 def host_load_summary(spark, sf):
-    return samples.host_summary(samples.verify_windows(tables.ledger(spark, sf)), tables.samples(spark, sf), DAY)
+    windows = samples.verify_windows(tables.ledger(spark, sf)).withColumn("host", tables.host_of("cell"))
+    return samples.host_summary(windows, tables.samples(spark, sf), DAY)
 
 
 @query("container_owners", """WITH n AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'agent-' || c_custkey || '-box' WHEN 1 THEN 'dind-' || c_custkey WHEN 2 THEN 'grid' || c_nationkey || '-worker2'
@@ -219,11 +221,11 @@ def _clock(spark, sf):
     """One host's two clocks: the monotonic one advances by half, in steps."""
     e = tables.events(spark, sf)
     mono = (F.floor(F.col("ts") / 7200) * 3600).cast("double")
-    return e.select((F.col("run") % 10).alias("host"), "seq", "chunk", F.col("ts").alias("wall"), mono.alias("mono"))
+    return e.select(tables.host_of("run").alias("host"), "seq", "chunk", F.col("ts").alias("wall"), mono.alias("mono"))
 
 
 CLOCK = EVENTS + """,
-rd AS (SELECT run % 10 AS host, seq, ts AS wall, floor(ts / 7200) * 3600 AS mono FROM ev),
+rd AS (SELECT run // 16 AS host, seq, ts AS wall, floor(ts / 7200) * 3600 AS mono FROM ev),
 pr AS (SELECT *, lag(wall) OVER w AS pw, lag(mono) OVER w AS pm FROM rd WINDOW w AS (PARTITION BY host ORDER BY seq)),
 gp AS (SELECT host, pw AS start, (wall - pw) - (mono - pm) AS s FROM pr WHERE (wall - pw) - (mono - pm) > 30)"""
 
@@ -233,11 +235,11 @@ def sleep_gaps(spark, sf):
     return samples.sleep_gaps(_clock(spark, sf), 864000.0).withColumn("s", F.round("s", 3))
 
 
-@query("awake_ages", with_ctes(CLOCK, "ag AS (SELECT run % 10 AS host, seq, ts AS since, ts + k * 3600 AS now FROM ev)",
+@query("awake_ages", with_ctes(CLOCK, "ag AS (SELECT run // 16 AS host, seq, ts AS since, ts + k * 3600 AS now FROM ev)",
        """SELECT ag.host, seq, round(max(now - since) - coalesce(sum(greatest(least(start + s, now) - greatest(start, since), 0)) FILTER (start IS NOT NULL), 0), 2) AS age
        FROM ag LEFT JOIN gp ON gp.host = ag.host AND start < now AND start + s > since GROUP BY 1, 2"""))
 def awake_ages(spark, sf):
-    ages = tables.events(spark, sf).select((F.col("run") % 10).alias("host"), "seq", F.col("ts").alias("since"), (F.col("ts") + F.col("k") * 3600).alias("now"))
+    ages = tables.events(spark, sf).select(tables.host_of("run").alias("host"), "seq", F.col("ts").alias("since"), (F.col("ts") + F.col("k") * 3600).alias("now"))
     a = samples.awake_age(ages, samples.sleep_gaps(_clock(spark, sf)), 4 * DAY)
     return a.select("host", "seq", F.round("age", 2).alias("age"))
 
@@ -251,20 +253,20 @@ def cpu_busy_shares(spark, sf):
     return samples.cpu_busy(c).select("host", "seq", F.round("busy", 6).alias("busy"))
 
 
-@query("top_other_owners", with_ctes(SAMPLES, "o AS (SELECT ts, role, owner, sum(cpu_pct) AS c FROM samples WHERE scope = 'container' AND owner <> '' AND cpu_pct IS NOT NULL GROUP BY 1, 2, 3)",
-       "SELECT ts, arg_max(role || ':' || owner, (c, role, owner)) AS top_other FROM o GROUP BY ts"))
+@query("top_other_owners", with_ctes(SAMPLES, "o AS (SELECT host, ts, role, owner, sum(cpu_pct) AS c FROM samples WHERE scope = 'container' AND owner <> '' AND cpu_pct IS NOT NULL GROUP BY 1, 2, 3, 4)",
+       "SELECT host, ts, arg_max(role || ':' || owner, (c, role, owner)) AS top_other FROM o GROUP BY host, ts"))
 def top_other_owners(spark, sf):
     s = tables.samples(spark, sf).where("scope = 'container' AND owner <> '' AND cpu_pct IS NOT NULL")
-    o = s.groupBy("ts", "role", "owner").agg(F.sum("cpu_pct").alias("c"))
-    return o.groupBy("ts").agg(F.max_by(F.concat("role", F.lit(":"), "owner"), F.struct("c", "role", "owner")).alias("top_other"))
+    o = s.groupBy("host", "ts", "role", "owner").agg(F.sum("cpu_pct").alias("c"))
+    return o.groupBy("host", "ts").agg(F.max_by(F.concat("role", F.lit(":"), "owner"), F.struct("c", "role", "owner")).alias("top_other"))
 
 
 @query("regimes_of_cells", with_ctes(EVENTS, """
-rg AS (SELECT run % 10 AS host, seq, ts, 'cap' || k AS regime FROM ev WHERE kind = 'signup'),
-st AS (SELECT run % 10 AS host, seq AS cell, ts AS started FROM ev WHERE kind = 'purchase')""",
+rg AS (SELECT run // 16 AS host, seq, ts, 'cap' || k AS regime FROM ev WHERE kind = 'signup'),
+st AS (SELECT run // 16 AS host, seq AS cell, ts AS started FROM ev WHERE kind = 'purchase')""",
     "SELECT st.host, cell, (SELECT arg_max(regime, (ts, seq)) FROM rg WHERE rg.host = st.host AND ts <= started) AS regime FROM st"))
 def regimes_of_cells(spark, sf):
-    e = tables.events(spark, sf).withColumn("host", F.col("run") % 10)
+    e = tables.events(spark, sf).withColumn("host", tables.host_of("run"))
     regimes = e.where("kind = 'signup'").select("host", "seq", "ts", F.concat(F.lit("cap"), F.col("k").cast("string")).alias("regime"))
     cells = e.where("kind = 'purchase'").select("host", F.col("seq").alias("cell"), F.col("ts").alias("started"))
     return asof(cells, regimes, ["host"], "started", "ts", ["regime"], 4 * DAY, tie="seq").select("host", "cell", "regime")

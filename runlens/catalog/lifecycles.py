@@ -11,7 +11,7 @@ from runlens.sources import lines, tables
 from runlens.sources.tables import ACTION_OF
 
 LOG = EVENTS + """,
-tr AS (SELECT CAST(run AS VARCHAR) AS cid, run % 10 AS log, seq, ts, k % 4 = 0 AS void, CASE WHEN k % 2 = 0 THEN 'loop=none' ELSE 'loop=agent' END AS note,
+tr AS (SELECT CAST(run AS VARCHAR) AS cid, run // 16 AS log, seq, ts, k % 4 = 0 AS void, CASE WHEN k % 2 = 0 THEN 'loop=none' ELSE 'loop=agent' END AS note,
     CASE kind """ + " ".join(f"WHEN '{k}' THEN {list(v)}[k % 10 + 1]" for k, v in ACTION_OF.items()) + """ END AS action FROM ev)"""
 
 

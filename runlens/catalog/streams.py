@@ -18,13 +18,13 @@ def _events(spark, sf):
 
 
 @query("stream_trace_windows", with_ctes(EVENTS, """
-w AS (SELECT run % 10 AS run, floor(ts / 3600) * 3600 AS hr, kind, value, k FROM ev),
+w AS (SELECT run, floor(ts / 3600) * 3600 AS hr, kind, value, k FROM ev),
 lim AS (SELECT max(ts) - 3600 AS wm FROM ev)""", """SELECT run, CAST(hr AS BIGINT) AS hour_s, coalesce(sum(floor(value)) FILTER (kind = 'view'), 0) AS fired,
     count(*) FILTER (kind = 'click' AND k % 3 = 0) AS http_2xx, count(*) FILTER (kind = 'click' AND k % 3 = 1) AS http_404, count(*) FILTER (kind = 'click' AND k % 3 = 2) AS err
     FROM w, lim WHERE hr + 3600 <= wm GROUP BY run, hr"""))
 def stream_trace_windows(spark, sf):
     k = F.col("k")
-    p = _events(spark, sf).select((F.col("run") % 10).alias("run"), "time", F.when(F.col("kind") == "view", "fired").when(F.col("kind") == "click", "http_reqs").otherwise("http_req_duration").alias("metric"),
+    p = _events(spark, sf).select("run", "time", F.when(F.col("kind") == "view", "fired").when(F.col("kind") == "click", "http_reqs").otherwise("http_req_duration").alias("metric"),
                                   F.when(F.col("kind") == "view", F.floor("value")).otherwise(F.col("value")).cast("double").alias("value"),
                                   F.when(k % 3 == 0, "200").when(k % 3 == 1, "404").otherwise("0").alias("status"))
     s = run.to_end(live.trace_seconds(p, late="1 hour", window="1 hour"))

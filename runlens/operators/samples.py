@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.units import sleep_gap
 from runlens.operators import scan as S
 from runlens.operators.asof import asof
-from runlens.operators.intervals import bucket, points_in_intervals
+from runlens.operators.intervals import bucket, spread, sums_in_intervals
 
 # Fixed pattern: the containers that are cluster nodes.
 NODE = r"(control-plane|worker)"
@@ -84,16 +84,16 @@ def reliability(checks: DataFrame, scoped: bool = True, checked: bool = True, ma
 
 def docker_load(rows: DataFrame) -> DataFrame:
     """Containers' CPU and memory as a percent of what the engine has, per
-    sample; a sample without that figure has no row for it."""
+    sample of a host; a sample without that figure has no row for it."""
     box = F.col("scope") == "container"
     limit = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
-    g = rows.groupBy("ts").agg(
+    g = rows.groupBy("host", "ts").agg(
         F.sum(F.when(box, F.col("cpu_pct"))).alias("cpu"), F.sum(F.when(box, F.coalesce("mem_mb", F.lit(0.0)))).alias("mem"),
         limit("docker_cpus", "cpu_pct").alias("cpus"), limit("docker_mem_mb", "mem_mb").alias("mib"))
     pct = lambda used, has, scale: F.when(F.col(has) != 0, F.round(scale * F.coalesce(used, F.lit(0.0)) / F.col(has), 1))
     both = F.array(F.struct(F.lit("cpu").alias("resource"), pct("cpu", "cpus", 1.0).alias("pct"), F.col("cpus").alias("has")),
                    F.struct(F.lit("mem").alias("resource"), pct("mem", "mib", 100.0).alias("pct"), F.col("mib").alias("has")))
-    return g.select("ts", F.inline(both)).where("pct IS NOT NULL")
+    return g.select("host", "ts", F.inline(both)).where("pct IS NOT NULL")
 
 
 def verify_windows(ledger: DataFrame) -> DataFrame:
@@ -108,40 +108,56 @@ def verify_windows(ledger: DataFrame) -> DataFrame:
         "cell", "line_no", F.col("_before.ts").alias("ready"), F.col("ts").alias("closed"), arrangement.alias("arrangement"), outcome.alias("outcome"))
 
 
+def _middle(xs: Column) -> Column:
+    """The median of a list, to a tenth; null values are left out."""
+    s = F.sort_array(F.filter(xs, lambda x: x.isNotNull()))
+    n = F.size(s)
+    both = F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))
+    return F.round(both / 2.0, 1)
+
+
 def host_summary(windows: DataFrame, rows: DataFrame, width: float) -> DataFrame:
-    """One row per verify window over the host samples inside it. Samples are
-    summed once per sample and owner before any window meets them; what a
-    window then holds is one row per sample, which its length bounds."""
-    box, at = F.col("scope") == "container", F.col("ts")
-    cpu = F.col("cpu_pct")
+    """One row per verify window over the samples of its host inside it.
+
+    Both have ``host``; a cell's windows are judged against what their own machine
+    did. A host's samples become one run per ``width`` seconds, and a window meets
+    runs, not samples: as many rows as time spans it touches. What a window then
+    holds is its samples, which its length bounds. What other owners used is summed
+    by running sums, for the owners that a run of the window saw at all."""
+    box, cpu = F.col("scope") == "container", F.col("cpu_pct")
     host = lambda n: F.max(F.when((F.col("scope") == "host") & (F.col("name") == n), cpu))
-    per = rows.groupBy("ts").agg(
+    per = rows.groupBy("host", "ts").agg(
         F.coalesce(F.sum(F.when(box, cpu)), F.lit(0.0)).alias("all_cpu"),
         F.coalesce(F.sum(F.when(box & (F.col("owner") == ""), cpu)), F.lit(0.0)).alias("free_cpu"),
         host("cpu_idle").alias("idle"), host("load1").alias("load1"), host("mem_used_gb").alias("mem"))
-    span = per.agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
-    # ``span`` is one row
-    w = windows.join(F.broadcast(span), (F.col("closed") >= F.col("_first")) & (F.col("ready") <= F.col("_last"))).drop("_first", "_last")
-    owned = rows.where(box & (F.col("owner") != "") & cpu.isNotNull())
-    by_owner = owned.groupBy("ts", "owner").agg(F.sum(cpu).alias("own_cpu"))
-    by_role = owned.groupBy("ts", "owner", "role").agg(F.sum(cpu).alias("cpu"))
-    key = ["cell", "line_no"]
-    inside = points_in_intervals(per, w.select(*key, "ready", "closed"), [], "ts", "ready", "closed", width)
-    mine = by_owner.select(F.col("owner").alias("cell"), "ts", "own_cpu")
-    j = (inside.withColumn("cell", F.col("cell").cast("string")).join(mine, ["cell", "ts"], "left")
-         .withColumn("own_cpu", F.coalesce("own_cpu", F.lit(0.0))))
-    med = lambda c: F.round(F.median(c), 1)
-    g = j.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("samples"), F.min("idle").alias("idle_min"), med("idle").alias("idle_median"),
-        F.max("load1").alias("load1_max"), F.max("mem").alias("mem_used_gb_max"), med("own_cpu").alias("own_cpu_median"),
-        med(F.col("all_cpu") - F.col("own_cpu") - F.col("free_cpu")).alias("other_cells_cpu_median"), med("free_cpu").alias("unowned_cpu_median"))
-    hits = points_in_intervals(by_role, w.select(*key, "ready", "closed"), [], "ts", "ready", "closed", width)
-    others = (hits.where(F.col("owner") != F.col("cell").cast("string")).groupBy(*key, "role", "owner").agg(F.sum("cpu").alias("cpu"))
-              .groupBy(*key).agg(F.max_by(F.struct("role", "owner", "cpu"), F.struct("cpu", "role", "owner")).alias("top")))
-    others = others.withColumn("cell", F.col("cell").cast("string"))
-    out = w.withColumn("cell", F.col("cell").cast("string")).join(g, key, "left").join(others, key, "left")
+    key, at = ["cell", "line_no"], bucket(F.col("ts"), width).alias("bucket")
+    runs = per.groupBy("host", at).agg(F.collect_list(F.struct("ts", "all_cpu", "free_cpu", "idle", "load1", "mem")).alias("run"))
+    span = per.groupBy("host").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    w = (windows.withColumn("cell", F.col("cell").cast("string")).join(span, "host")
+         .where((F.col("closed") >= F.col("_first")) & (F.col("ready") <= F.col("_last"))).drop("_first", "_last"))
+    by_role = (rows.where(box & (F.col("owner") != "") & cpu.isNotNull()).groupBy("host", "ts", "owner", "role")
+               .agg(F.sum(cpu).alias("cpu"), F.count(F.lit(1)).alias("n")))
+    own = (by_role.groupBy("host", F.col("owner").alias("cell"), "ts").agg(F.sum("cpu").alias("cpu"))
+           .groupBy("host", "cell", at).agg(F.map_from_entries(F.collect_list(F.struct("ts", "cpu"))).alias("own")))
+
+    met = spread(w.select("host", *key, "ready", "closed"), "ready", "closed", width)
+    j = met.join(runs, ["host", "bucket"]).join(own, ["host", "bucket", "cell"], "left")
+    mine = lambda x: F.coalesce(F.element_at("own", x["ts"]), F.lit(0.0))
+    inside = F.transform(F.filter("run", lambda x: x["ts"].between(F.col("ready"), F.col("closed"))), lambda x: F.struct(
+        mine(x).alias("own"), x["free_cpu"].alias("free"), (x["all_cpu"] - mine(x) - x["free_cpu"]).alias("other"), x["idle"].alias("idle"),
+        x["load1"].alias("load1"), x["mem"].alias("mem")))
+    g = j.select(*key, inside.alias("_in")).groupBy(*key).agg(F.flatten(F.collect_list("_in")).alias("_in"))
+    g = g.select(*key, F.size("_in").alias("samples"), F.array_min("_in.idle").alias("idle_min"), _middle(F.col("_in.idle")).alias("idle_median"),
+                 F.array_max("_in.load1").alias("load1_max"), F.array_max("_in.mem").alias("mem_used_gb_max"), _middle(F.col("_in.own")).alias("own_cpu_median"),
+                 _middle(F.col("_in.other")).alias("other_cells_cpu_median"), _middle(F.col("_in.free")).alias("unowned_cpu_median"))
+
+    seen = by_role.select("host", at, "owner", "role").distinct()
+    pairs = (met.join(seen, ["host", "bucket"]).where(F.col("owner") != F.col("cell")).select("host", "owner", "role", *key, "ready", "closed").distinct())
+    used = sums_in_intervals(by_role, pairs, ["host", "owner", "role"], [*key, "role", "owner"], "ts", "ready", "closed", ["cpu", "n"], width).where("n > 0")
+    top = used.groupBy(*key).agg(F.max_by(F.struct("role", "owner", "cpu"), F.struct("cpu", "role", "owner")).alias("top"))
+    out = w.join(g.where("samples > 0"), key, "left").join(top, key, "left")
     name = F.concat("top.role", F.lit(":"), "top.owner", F.lit("="), F.format_string("%.0f", F.bround(F.col("top.cpu") / F.col("samples"), 0)))
-    return out.withColumn("samples", F.coalesce("samples", F.lit(0))).withColumn("top_other", name).drop("top")
+    return out.withColumn("samples", F.coalesce(F.col("samples").cast("long"), F.lit(0).cast("long"))).withColumn("top_other", name).drop("top")
 
 
 def container_owners(names: DataFrame, cells: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -163,10 +163,19 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
         (kind == "error").alias("failed"), F.col("k").alias("offered_rps"), F.col("kind"))
 
 
+#: Runs that share a host; hosts grow in number with the runs.
+RUNS_PER_HOST = 16
+
+
+def host_of(run: Column | str) -> Column:
+    return F.floor((F.col(run) if isinstance(run, str) else run) / RUNS_PER_HOST)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host samples: one sample per hour, one row per name and role in it."""
+    """Host samples: one sample per host and hour, one row per name and role in it."""
     host = F.col("kind") == "signup"
     rows = events(spark, sf_dir).select(
+        host_of("run").alias("host"),
         (F.floor(F.col("ts") / 3600) * 3600).cast("double").alias("ts"),
         F.when(host, "host").otherwise("container").alias("scope"),
         F.when(host, F.when(F.col("k") % 3 == 0, "cpu_idle").when(F.col("k") % 3 == 1, "load1").otherwise("mem_used_gb"))
@@ -175,7 +184,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(host, F.lit("")).otherwise(F.col("kind")).alias("role"),
         F.when(F.col("k") != 17, F.floor("value")).cast("double").alias("cpu_pct"),
         F.when(F.col("k") % 5 != 0, F.col("k") * 4).cast("double").alias("mem_mb"))
-    return rows.groupBy("ts", "scope", "name", "owner", "role").agg(F.max("cpu_pct").alias("cpu_pct"), F.max("mem_mb").alias("mem_mb"))
+    return rows.groupBy("host", "ts", "scope", "name", "owner", "role").agg(F.max("cpu_pct").alias("cpu_pct"), F.max("mem_mb").alias("mem_mb"))
 
 
 def resource_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,12 +306,12 @@ ACTION_OF = {
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One lifecycle event per event; ten cells' logs are one host's log."""
+    """One lifecycle event per event; the cells of one host share its log."""
     e = events(spark, sf_dir)
     action = F.lit(None).cast("string")
     for kind, names in ACTION_OF.items():
         action = F.when(F.col("kind") == kind, F.array(*[F.lit(n) for n in names])[(F.col("k") % 10).cast("int")]).otherwise(action)
-    return e.select(F.col("run").cast("string").alias("cid"), (F.col("run") % 10).alias("log"), "seq", "ts", "chunk", action.alias("action"),
+    return e.select(F.col("run").cast("string").alias("cid"), host_of("run").alias("log"), "seq", "ts", "chunk", action.alias("action"),
                     (F.col("k") % 4 == 0).alias("void"), F.when(F.col("k") % 2 == 0, "loop=none").otherwise("loop=agent").alias("note"))
 
 

@@ -35,25 +35,84 @@ def test_second_reading(spark):
 
 
 def test_docker_load_pin(spark):
-    df = spark.createDataFrame([(0.0, "host", "docker_cpus", 5.0, None), (0.0, "host", "docker_mem_mb", None, 5924.7), (0.0, "container", "a", 150.0, 2000.0), (0.0, "container", "b", 49.0, 956.4),
-                                (1.0, "container", "a", 1.0, 1.0)], "ts double, scope string, name string, cpu_pct double, mem_mb double")
+    df = spark.createDataFrame([(1, 0.0, "host", "docker_cpus", 5.0, None), (1, 0.0, "host", "docker_mem_mb", None, 5924.7), (1, 0.0, "container", "a", 150.0, 2000.0),
+                                (1, 0.0, "container", "b", 49.0, 956.4), (1, 1.0, "container", "a", 1.0, 1.0), (2, 0.0, "container", "a", 9.0, 9.0)], "host long, ts double, scope string, name string, cpu_pct double, mem_mb double")
     assert {r.resource: r.pct for r in samples.docker_load(df).collect()} == {"cpu": 39.8, "mem": 49.9}
 
 
 def test_host_summary_pins(spark):
     led = spark.createDataFrame([("7", 1, 0.0, "VERIFY_READY", ["7"]), ("7", 2, 20.0, "SHAPE", ["7", "attempt=1", "BBS pass"]), ("7", 3, 30.0, "SHAPE", ["7", "attempt=1", "BSB pass"])],
                                 "cell string, line_no long, ts double, event string, fields array<string>").withColumn("chunk", chunk_of("line_no", 1))
-    s = lambda ts, scope, name, owner, cpu: (ts, scope, name, owner, "agent" if owner else "", cpu, None)
+    s = lambda ts, scope, name, owner, cpu, host=1: (host, ts, scope, name, owner, "agent" if owner else "", cpu, None)
     rows = [s(5.0, "host", "cpu_idle", "", 70.0), s(15.0, "host", "cpu_idle", "", 80.0), s(5.0, "host", "load1", "", 4.0), s(5.0, "container", "a", "7", 100.0), s(15.0, "container", "a", "7", 100.0),
-            s(5.0, "container", "b", "8", 160.0), s(15.0, "container", "b", "8", 160.0), s(5.0, "container", "c", "", 50.0), s(15.0, "container", "c", "", 50.0), s(25.0, "host", "cpu_idle", "", 1.0)]
-    df = spark.createDataFrame(rows, "ts double, scope string, name string, owner string, role string, cpu_pct double, mem_mb double")
-    out = samples.host_summary(samples.verify_windows(led), df, 10.0).collect()
+            s(5.0, "container", "b", "8", 160.0), s(15.0, "container", "b", "8", 160.0), s(5.0, "container", "c", "", 50.0), s(15.0, "container", "c", "", 50.0), s(25.0, "host", "cpu_idle", "", 1.0), s(6.0, "container", "b", "8", 999.0, 2), s(7.0, "host", "cpu_idle", "", 3.0, 2)]
+    df = spark.createDataFrame(rows, "host long, ts double, scope string, name string, owner string, role string, cpu_pct double, mem_mb double")
+    out = samples.host_summary(samples.verify_windows(led).withColumn("host", F.lit(1).cast("long")), df, 10.0).collect()
     assert len(out) == 1
     r = out[0]
     assert (r.arrangement, r.outcome, r.samples, r.idle_min, r.idle_median, r.load1_max) == ("BBS", "pass", 2, 70.0, 75.0, 4.0)
     assert (r.own_cpu_median, r.other_cells_cpu_median, r.unowned_cpu_median, r.top_other) == (100.0, 160.0, 50.0, "agent:8=160")
 
 
+def test_host_summary_equals_every_sample_of_every_window(spark):
+    """Random windows and samples of several hosts, one of them busy, against plain lists."""
+    import random
+    import statistics
+    r = random.Random(3)
+    samples_, windows = {}, []
+    for _ in range(1500):
+        host = 0 if r.random() < 0.5 else r.randrange(1, 4)
+        ts = float(r.randrange(300))
+        kind = r.random()
+        if kind < 0.3:
+            key = (host, ts, "host", r.choice(["cpu_idle", "load1", "mem_used_gb"]), "", "")
+        else:
+            owner = r.choice(["", *[str(c) for c in range(6)]])
+            key = (host, ts, "container", f"box{r.randrange(4)}", owner, r.choice(["agent", "sut"]) if owner else "other")
+        samples_[key] = None if r.random() < 0.1 else float(r.randrange(100))
+    for n in range(80):
+        a = float(r.randrange(320))
+        windows.append((str(n % 6), n, r.randrange(5), a, a + r.choice([0, 3, 40, 200]), "BBS", "pass"))
+    df = spark.createDataFrame([(*k, v, None) for k, v in samples_.items()], "host long, ts double, scope string, name string, owner string, role string, cpu_pct double, mem_mb double")
+    w = spark.createDataFrame(windows, "cell string, line_no long, host long, ready double, closed double, arrangement string, outcome string")
+    got = {x.line_no: x for x in samples.host_summary(w, df, 16.0).collect()}
+    mid = lambda xs: round(statistics.median(xs) + 1e-9, 1) if xs else None
+    for cell, n, host, ready, closed, _, _ in windows:
+        own = {k: v for k, v in samples_.items() if k[0] == host}
+        times = [k[1] for k in own]
+        if not times or closed < min(times) or ready > max(times):
+            assert n not in got
+            continue
+        inside = sorted({t for t in times if ready <= t <= closed})
+        read = lambda name: [v for k, v in own.items() if k[3] == name and k[1] in inside and v is not None]
+        total = lambda pick, t: sum(v for k, v in own.items() if k[1] == t and k[2] == "container" and v is not None and pick(k[4]))
+        per = lambda pick: mid([total(pick, t) for t in inside])
+        used = {}
+        for k, v in own.items():
+            if k[2] == "container" and k[1] in inside and v is not None and k[4] not in ("", cell):
+                used[k[5], k[4]] = used.get((k[5], k[4]), 0.0) + v
+        x = got[n]
+        assert (x.samples, x.idle_min, x.load1_max, x.mem_used_gb_max) == (len(inside), min(read("cpu_idle"), default=None), max(read("load1"), default=None), max(read("mem_used_gb"), default=None))
+        assert (x.idle_median, x.own_cpu_median, x.unowned_cpu_median) == (mid(read("cpu_idle")), per(lambda o, c=cell: o == c), per(lambda o: o == ""))
+        assert x.other_cells_cpu_median == per(lambda o, c=cell: o not in ("", c))
+        if used:
+            (role, owner), most = max(used.items(), key=lambda kv: (kv[1], kv[0]))
+            assert x.top_other == f"{role}:{owner}={most / len(inside):.0f}"
+        else:
+            assert x.top_other is None
+
+
+def test_a_window_meets_spans_of_time_not_samples(spark):
+    """Twice the samples of a host make no more rows before the aggregate, and every join has a key."""
+    df = spark.range(4000).selectExpr("id % 2 AS host", "cast(id div 2 AS double) AS ts", "'container' AS scope", "concat('b', id % 3) AS name", "cast(id % 3 AS string) AS owner",
+                                      "'agent' AS role", "cast(id % 7 AS double) AS cpu_pct", "cast(null AS double) AS mem_mb")
+    w = spark.range(20).selectExpr("cast(id % 3 AS string) AS cell", "id AS line_no", "id % 2 AS host", "cast(id * 10 AS double) AS ready", "cast(id * 10 + 1000 AS double) AS closed", "'BBS' AS arrangement", "'pass' AS outcome")
+    out = samples.host_summary(w, df, 500.0)
+    assert out.where("samples = 1001").count() == 20
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_footprint_integrates_real_time(spark):
     row = lambda ts, plane, name, cpu, mem, tag="app": ("c", ts, plane, name, tag, cpu, mem)
     df = spark.createDataFrame([row(0.0, "docker", "n-control-plane", 100.0, 1000.0), row(0.0, "k8s", "p", 50.0, 400.0), row(0.0, "host", "h", 20.0, 100.0), row(7.0, "docker", "n-control-plane", 200.0, 1000.0), row(7.0, "host", "h", 0.0, 100.0)],
