@@ -173,6 +173,23 @@ def alerts(cells: DataFrame) -> DataFrame:
     return cells.select("cell", F.inline(raised))
 
 
+def alert_edges(readings: DataFrame) -> DataFrame:
+    """Each alert episode of a cell and rule, as an ``opened`` row and, once lifted, a
+    ``lifted`` row (seq, episode, key). An episode opens at a reading that is on after
+    one that was not, that has another key (another verify, phase or attempt), or that
+    a reset (a lifted stand-down) precedes; so an alert that lifts and returns is told
+    twice, and one that stays is told once. Readings have cell, rule, seq, chunk, on,
+    key, reset."""
+    s = S.scan(readings.select("cell", "rule", "seq", "chunk", "on", "key", "reset"), ["cell", "rule"], ["seq"], {"_was": S.prev(F.struct("on", "key"))})
+    was = F.coalesce("_was.on", F.lit(False))
+    s = s.withColumn("_opens", F.col("on") & (~was | F.col("reset") | ~F.col("_was.key").eqNullSafe(F.col("key")))).withColumn("_ends", was & (F.col("_opens") | ~F.col("on")))
+    s = S.scan(s.withColumn("_old", F.col("_was.key")).drop("_was"), ["cell", "rule"], ["seq"], {"_n": S.total(F.col("_opens").cast("long"))})
+    opened, lifted = F.col("_opens"), F.col("_ends")
+    edges = F.array(F.when(lifted, F.struct((F.col("_n") - opened.cast("long")).alias("episode"), F.col("_old").alias("key"), F.lit("lifted").alias("edge"))),
+                    F.when(opened, F.struct(F.col("_n").alias("episode"), F.col("key").alias("key"), F.lit("opened").alias("edge"))))
+    return s.select("cell", "rule", "seq", F.inline(F.filter(edges, lambda x: x.isNotNull())))
+
+
 def memory_edges(levels: DataFrame) -> DataFrame:
     """Rising edges of a host's memory pressure, and its return to normal.
     Levels have host, seq, chunk, level."""

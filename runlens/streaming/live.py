@@ -8,17 +8,14 @@ the batch jobs stay authoritative.
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from runlens.operators.traces import status_bucket
+from runlens.streaming.ordered import in_event_order
 
 LATE = "5 seconds"
+UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 ACCURACY = 10000
 
 
@@ -38,6 +35,12 @@ def trace_seconds(points: DataFrame, late: str = LATE, window: str = "1 second")
     return w.select("run", F.col("w.start").alias("second"), *[c for c in w.columns if c not in ("run", "w")])
 
 
+def seconds_of(late: str) -> float:
+    """Seconds of a delay such as ``5 seconds``."""
+    n, unit = late.split()
+    return float(n) * UNITS[unit.removesuffix("s")]
+
+
 def sliding_latency(points: DataFrame, late: str = LATE, window: str = "1 second", slide: str = "500 milliseconds") -> DataFrame:
     """The trailing latency percentile, on event time."""
     p = points.where("metric = 'http_req_duration'").withWatermark("time", late)
@@ -45,61 +48,14 @@ def sliding_latency(points: DataFrame, late: str = LATE, window: str = "1 second
     return w.select("run", F.col("w.end").alias("at"), "p99")
 
 
-def _in_event_order(rows: DataFrame, key: str, time: Column, order: str, late: str, forget_s: float, step: Callable[[dict, dict], list[tuple]],
-                    out: str, mode: str = "append", due: Callable[[dict], float | None] | None = None,
-                    ring: Callable[[dict], list[tuple]] | None = None) -> DataFrame:
-    """``step(own, row)`` over the rows of each key in event order, whatever the
-    order of arrival: a row waits in the state until the watermark has passed it,
-    so the state holds the rows of ``late`` and what ``step`` keeps in ``own``.
-
-    ``due(own)`` names an event time (seconds) at which ``ring(own)`` is called if
-    it still lies ahead; no further row is needed for that. A key without rows for
-    ``forget_s`` of event time leaves the state. What is told per row is a tuple
-    of ``out`` after the key."""
-    kind = rows.schema[key].dataType.simpleString()
-    names = [f"{key}", *[c.strip().split(" ")[0] for c in out.split(",")]]
-
-    def call(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own, waiting = pickle.loads(state.get[0]) if state.exists else ({}, [])
-        for pdf in batches:
-            waiting += pdf.drop(columns=[key]).to_dict("records")
-        mark, told = state.getCurrentWatermarkMs(), []
-        at = lambda row: row["_time"].value // 1_000_000
-        ready = sorted((r for r in waiting if at(r) < mark), key=lambda r: (at(r), r[order]))
-        waiting = [r for r in waiting if at(r) >= mark]
-
-        def alarm(until_ms: float) -> None:
-            if due and (t := due(own)) is not None and t * 1000 < until_ms:
-                told.extend(ring(own))
-
-        for row in ready:
-            alarm(at(row))
-            own["_seen"] = at(row)
-            told.extend(step(own, row))
-        alarm(mark)
-        last = own.get("_seen", mark) + forget_s * 1000
-        if not waiting and last < mark:
-            state.remove()
-        else:
-            later = [min((at(r) for r in waiting), default=last)]
-            if due and (t := due(own)) is not None:
-                later.append(t * 1000)
-            state.update((pickle.dumps((own, waiting)),))
-            state.setTimeoutTimestamp(max(int(min(later)), mark + 1))
-        yield pd.DataFrame([(group[0], *t) for t in told], columns=names)
-
-    marked = rows.withColumn("_time", time).withWatermark("_time", late)
-    return marked.groupBy(key).applyInPandasWithState(call, f"{key} {kind}, {out}", "kept binary", mode, GroupStateTimeout.EventTimeTimeout)
-
-
 def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
     """Per run, each one-shot moment when it is first known: decision, mount,
     release, saturation, and ``over`` at the end of the traffic window:
     ``duration_s`` after the first request, or after the first tick of a run that
-    never sends. The end is told when the watermark passes it, ticks or not. Ticks
+    has not sent by then. The end is told when the watermark passes it, ticks or not. Ticks
     have run, ts (seconds), fired, decided, claimed, probed, p99."""
     def step(own: dict, t: dict) -> list[tuple]:
-        begin = own.setdefault("seen", t["ts"])
+        own.setdefault("begun", t["ts"])
         if t["fired"] > 0:
             own.setdefault("started", t["ts"])
         both, gone = t["claimed"] and t["probed"], not t["claimed"] and not t["probed"]
@@ -109,27 +65,28 @@ def first_moments(ticks: DataFrame, sat_p99: float, duration_s: float, late: str
         return [(m, float(t["ts"])) for m in fresh]
 
     def due(own: dict) -> float | None:
-        return None if "over" in own or "seen" not in own else own.get("started", own["seen"]) + duration_s
+        return None if "over" in own or "begun" not in own else own.get("started", own["begun"]) + duration_s
 
     def ring(own: dict) -> list[tuple]:
         own["over"] = due(own)
         return [("over", float(own["over"]))]
 
-    return _in_event_order(ticks, "run", F.timestamp_micros((F.col("ts") * 1e6).cast("long")), "ts", late, forget_s, step,
-                           "moment string, ts double", due=due, ring=ring)
+    own = ", ".join(f"{m} double" for m in ("begun", "started", "decision", "mount", "release", "saturation", "over"))
+    return in_event_order(ticks, ["run"], F.timestamp_micros((F.col("ts") * 1e6).cast("long")), "ts", late, seconds_of(late), forget_s, step,
+                          own, "moment string, ts double", due, ring)
 
 
 def sleep_seconds(ticks: DataFrame, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
     """Running host sleep per run: wall less monotonic over successive ticks
-    (run, seq, wall, mono), jitter left out. Told for each tick, in update mode."""
+    (run, seq, wall, mono), jitter left out. Told for each tick."""
     def step(own: dict, t: dict) -> list[tuple]:
         if "wall" in own and (gap := (t["wall"] - own["wall"]) - (t["mono"] - own["mono"])) > 30.0:
             own["slept"] = own.get("slept", 0.0) + gap
         own.update(wall=float(t["wall"]), mono=float(t["mono"]))
         return [(int(t["seq"]), own.get("slept", 0.0))]
 
-    return _in_event_order(ticks, "run", F.timestamp_micros((F.col("wall") * 1e6).cast("long")), "seq", late, forget_s, step,
-                           "seq long, slept double", "update")
+    return in_event_order(ticks, ["run"], F.timestamp_micros((F.col("wall") * 1e6).cast("long")), "seq", late, seconds_of(late), forget_s, step,
+                          "slept double, wall double, mono double", "seq long, slept double")
 
 
 def verify_sessions(samples: DataFrame, gap: str = "1 minute", late: str = LATE) -> DataFrame:
@@ -171,7 +128,29 @@ def two_sweeps(readings: DataFrame, late: str = LATE, forget_s: float = 86400.0)
         own.update(rx=int(r["rx"]), flat=0 if moving else own.get("flat", 0) + 1)
         return [(int(r["seq"]),)] if own["flat"] == 2 else []
 
-    return _in_event_order(readings, "cell", F.col("time"), "seq", late, forget_s, step, "seq long")
+    return in_event_order(readings, ["cell"], F.col("time"), "seq", late, seconds_of(late), forget_s, step, "rx long, flat int", "seq long")
+
+
+def alert_edges(readings: DataFrame, late: str = LATE, forget_s: float = 86400.0) -> DataFrame:
+    """Each alert episode of a cell and rule told once when it opens and once when it is
+    lifted; ``plans.fleet.alert_edges`` says the same of a table. Readings have cell,
+    rule, seq, time, on, key, reset; they are kept by (cell, rule)."""
+    def step(own: dict, r: dict) -> list[tuple]:
+        was, told = own.get("on", False), []
+        opens = r["on"] and (not was or r["reset"] or own.get("key") != r["key"])
+        if was and (opens or not r["on"]):
+            told.append((int(r["seq"]), own["episode"], own.get("key"), "lifted"))
+        if opens:
+            own["episode"] = own.get("episode", 0) + 1
+            told.append((int(r["seq"]), own["episode"], r["key"], "opened"))
+        own["on"] = bool(r["on"])
+        own.pop("key", None)
+        if r["on"] and r["key"] is not None:
+            own["key"] = r["key"]
+        return told
+
+    return in_event_order(readings, ["cell", "rule"], F.col("time"), "seq", late, seconds_of(late), forget_s, step,
+                          "on boolean, key string, episode long", "seq long, episode long, key string, edge string")
 
 
 def gate_progress(ledger: DataFrame) -> DataFrame:

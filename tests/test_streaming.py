@@ -51,7 +51,7 @@ def test_many_batches_without_order_give_the_ordered_result(spark, tmp_path):
 
 def test_sleep_sessions_and_alerts(spark, tmp_path):
     clocks = spark.createDataFrame([("r", 3, 1120.0, 29.0), ("r", 1, 1000.0, 0.0), ("r", 2, 1100.0, 10.0), ("z", 1, 1900.0, 0.0)], "run string, seq long, wall double, mono double")
-    out = run.to_end(live.sleep_seconds(stream(spark, tmp_path, clocks, "c")), "update")
+    out = run.to_end(live.sleep_seconds(stream(spark, tmp_path, clocks, "c")))
     assert sorted((r.seq, r.slept) for r in out.where("run = 'r'").collect()) == [(1, 0.0), (2, 90.0), (3, 90.0)]
     at = lambda df: df.withColumn("time", F.timestamp_seconds("s")).drop("s")
     smp = at(spark.createDataFrame([("c", 1, 0, 50.0, 1.0), ("c", 1, 10, 70.0, 1.0), ("c", 1, 500, 5.0, 1.0), ("d", 1, 9000, 1.0, 1.0)], "cell string, attempt int, s long, cpu_pct double, mem_mb double"))
@@ -94,3 +94,43 @@ def test_hooks(spark):
     x.register_text("report", spark.range(1))
     assert set(x.clients) == {"A", "B", "mine"} and set(x.evidence(ledger=1)) == {"ledger", "report"}
     assert x.report(spark.range(3), lambda s: s.count()) == {"gap": 3} and len(x.rules) == 1 and list(x.values) == ["base"]
+
+
+def readings(spark, n=400):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["c", "c", "d"]), rnd.choice(["quiet", "stuck"]), i, rnd.random() < 0.5, rnd.choice([None, "a1", "a2"]), rnd.random() < 0.1) for i in range(n)]
+    df = spark.createDataFrame(rows, "cell string, rule string, seq long, on boolean, key string, reset boolean")
+    return rows, df.withColumn("time", F.timestamp_seconds("seq")).withColumn("chunk", F.floor(F.col("seq") / 37))
+
+
+def test_an_alert_that_lifts_and_returns_is_told_twice_in_table_and_stream(spark, tmp_path):
+    from runlens.plans import fleet
+    rows, df = readings(spark)
+    want, state = [], {}
+    for cell, rule, seq, on, key, reset in rows:
+        was, old, n = state.get((cell, rule), (False, None, 0))
+        opens = on and (not was or reset or old != key)
+        if was and (opens or not on):
+            want.append((cell, rule, seq, n, old, "lifted"))
+        if opens:
+            n += 1
+            want.append((cell, rule, seq, n, key, "opened"))
+        state[cell, rule] = (on, key, n)
+    pick = lambda df: sorted(tuple(r) for r in df.select("cell", "rule", "seq", "episode", "key", "edge").fillna("-").collect())
+    want = sorted(tuple("-" if x is None else x for x in w) for w in want)
+    assert pick(fleet.alert_edges(df.drop("time"))) == want
+    path = str(tmp_path / "alerts")
+    df.drop("chunk").repartition(4).write.parquet(path)
+    table = spark.read.parquet(path)
+    source = run.Bounded(table, spark.readStream.schema(table.schema).parquet(path), "time")
+    assert pick(run.to_end(live.alert_edges(source.frame), source=source)) == want
+
+
+def test_a_closed_input_tells_what_still_waits(spark, tmp_path):
+    df = spark.createDataFrame([("c", i, 1, 0.0) for i in range(6)], "cell string, seq long, rx long, cpu double").withColumn("time", F.timestamp_seconds(F.col("seq") + 100))
+    path = str(tmp_path / "tail")
+    df.write.parquet(path)
+    open_end = run.to_end(live.two_sweeps(spark.readStream.schema(df.schema).parquet(path), late="1 hour"))
+    assert open_end.count() == 0
+    source = run.Bounded(df, spark.readStream.schema(df.schema).parquet(path), "time")
+    assert [r.seq for r in run.to_end(live.two_sweeps(source.frame, late="1 hour"), source=source).collect()] == [2]
