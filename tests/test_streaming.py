@@ -100,7 +100,7 @@ def readings(spark, n=400):
     rnd = random.Random(4)
     rows = [(rnd.choice(["c", "c", "d"]), rnd.choice(["quiet", "stuck"]), i, rnd.random() < 0.5, rnd.choice([None, "a1", "a2"]), rnd.random() < 0.1) for i in range(n)]
     df = spark.createDataFrame(rows, "cell string, rule string, seq long, on boolean, key string, reset boolean")
-    return rows, df.withColumn("time", F.timestamp_seconds("seq")).withColumn("chunk", F.floor(F.col("seq") / 37))
+    return rows, df.withColumn("time", F.timestamp_seconds(F.col("seq") + 100)).withColumn("chunk", F.floor(F.col("seq") / 37))
 
 
 def test_an_alert_that_lifts_and_returns_is_told_twice_in_table_and_stream(spark, tmp_path):
