@@ -67,15 +67,15 @@ def triage_list(spark, sf):
     return fleet.triage(status(spark, sf))
 
 
-SPECS = """sp AS (SELECT o_orderkey AS seq, o_custkey % 700 AS cell, 'lane' || (o_custkey % 5) AS lane FROM orders WHERE o_orderkey % 4 = 0),
+SPECS = """sp AS (SELECT o_orderkey AS seq, o_custkey AS cell, 'lane' || (o_custkey % 5) AS lane FROM orders),
 fg AS (SELECT c_custkey AS cell, c_custkey % 8 = 3 AS flagged FROM customer WHERE c_custkey % 9 <> 0),
 pk AS (SELECT sp.*, CASE WHEN fg.cell IS NULL THEN 'fresh' WHEN flagged THEN 'flagged' WHEN coalesce(paused, false) THEN 'paused' WHEN coalesce(looping, false) THEN 'running'
     WHEN state = 'DONE' THEN 'done' WHEN coalesce(never_started, false) THEN 'prepared' ELSE 'interrupted' END AS kind FROM sp LEFT JOIN fg USING (cell) LEFT JOIN stt USING (cell))"""
 
 
 def _specs(spark, sf):
-    o = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(
-        F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 700).alias("cell"), F.concat(F.lit("lane"), (F.col("o_custkey") % 5).cast("string")).alias("lane"))
+    o = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("cell"), F.concat(F.lit("lane"), (F.col("o_custkey") % 5).cast("string")).alias("lane"))
     flags = table(spark, sf, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").alias("cell"), (F.col("c_custkey") % 8 == 3).alias("flagged"))
     return fleet.pending_kind(o, status(spark, sf), flags)
 

@@ -112,11 +112,11 @@ def last_loop_actions(spark, sf):
 
 
 @query("transition_lines", r"""WITH l AS (SELECT doc_id, unnest(string_split(translate(text, '. ', chr(9) || chr(9)), chr(10))) AS line,
-    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE lang <> 'en')
+    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no, split_part(line, chr(9), 1) AS ts, split_part(line, chr(9), 2) AS action, split_part(line, chr(9), 3) AS cid, split_part(line, chr(9), 4) AS note
 FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND len(string_split(line, chr(9))) >= 3""")
 def transition_lines(spark, sf):
-    d = table(spark, sf, "documents").where("lang <> 'en'").select("doc_id", F.translate("text", ". ", "\t\t").alias("text"))
+    d = table(spark, sf, "documents").select("doc_id", F.translate("text", ". ", "\t\t").alias("text"))
     rows = lines.numbered(d, "text", "doc_id")
     # a log per document: its number rides along through the line number
     keyed = rows.withColumn("line_no", F.struct("doc_id", "line_no"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from runlens.catalog.base import query, table, with_ctes
 from runlens.catalog.frames import SCORES
@@ -191,10 +190,9 @@ def _ordered(order_sql):
 
 
 def _positions(spark, sf, by_discrepancy, by_significance):
-    # one row per (model, variant): the comparison table itself, already aggregated
     c = compared(spark, sf).withColumn("fisher_p", F.round("fisher_p", 8)).withColumn("gap", board.discrepancy())
     order = board.comparison_order(by_discrepancy, by_significance)
-    return c.select("model", "variant", "gap", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("pos"))
+    return ranks.positions(c, order, "pos").select("model", "variant", "gap", F.col("pos").cast("int").alias("pos"))
 
 
 @query("rows_by_discrepancy", _ordered("gap IS NULL, coalesce(gap, 0) DESC, "))

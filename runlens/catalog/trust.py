@@ -22,7 +22,7 @@ from runlens.session import cut_lineage, shared_folder
 from runlens.sources import lines, tables
 
 RUNS = r"""ar0 AS (SELECT run AS cell, seq, CASE WHEN k % 5 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'deploy' ELSE 'load' END END AS stage, k,
-    lpad(CAST(seq % 100 AS VARCHAR), 2, '0') AS nn, ['BBS', 'BSB', 'SSB'][k % 3 + 1] AS sh FROM ev WHERE kind = 'click'),
+    lpad(CAST(seq % 100 AS VARCHAR), 2, '0') AS nn, ['BBS', 'BSB', 'SSB'][k % 3 + 1] AS sh FROM ev),
 ar AS (SELECT cell, seq, stage, sh AS shape, CASE WHEN k % 13 <> 0 THEN k // 25 + 1 END AS attempt,
     CASE WHEN k % 13 <> 0 THEN ['green', 'charged', 'refunded', 'interrupted'][k % 4 + 1] END AS end_state FROM ar0 WHERE k % 13 = 0 OR k % 29 <> 0)"""
 
@@ -70,12 +70,12 @@ def archive_mismatches(spark, sf):
 def attempt_logs(spark, sf):
     """Log lines per cell and attempt."""
     d = F.col("doc_id")
-    return lines.numbered(tables.logs(spark, sf).select((d % 150).alias("cell"), (F.floor(d / 150) % 4 + 1).alias("attempt"), "doc_id", "log"),
+    return lines.numbered(tables.logs(spark, sf).select(F.floor(d / 4).alias("cell"), (d % 4 + 1).alias("attempt"), "doc_id", "log"),
                           "log", "cell", "attempt", "doc_id").withColumn("line_no", F.col("doc_id") * 100000000 + F.col("line_no")).drop("doc_id")
 
 
 _DQ = lambda p: p.replace("'", "''")
-WALLS = rf"""wl AS (SELECT doc_id % 150 AS cell, doc_id // 150 % 4 + 1 AS attempt, unnest(string_split(text || chr(10) || tail || chr(10) || '  ' || chr(10), chr(10))) AS line,
+WALLS = rf"""wl AS (SELECT doc_id // 4 AS cell, doc_id % 4 + 1 AS attempt, unnest(string_split(text || chr(10) || tail || chr(10) || '  ' || chr(10), chr(10))) AS line,
     doc_id * 100000000 + generate_subscripts(string_split(text || chr(10) || tail || chr(10) || '  ' || chr(10), chr(10)), 1) AS line_no FROM tails),
 wf AS (SELECT *, regexp_matches(line, '(?i){_DQ(faults.AUTH)}') AS au, regexp_matches(line, '(?i){_DQ(faults.PLAIN_LIMIT)}') AS li,
     CASE WHEN contains(line, '"type"') AND contains(line, '"result"') AND json_valid(line) THEN line END AS js FROM wl),

@@ -44,6 +44,11 @@ def cell_id(agent: Column, variant: Column, task: Column, rep: Column,
     return F.concat_ws("_", *parts, variant, task, F.concat(F.lit("r"), rep.cast("string")))
 
 
+def shaped(cid: Column) -> Column:
+    """Whether a name has the parts of a cell id: agent, effort, variant, task, repeat."""
+    return cid.rlike(r"^[a-zA-Z0-9-]+_[^_]*_(.+_)?[^_]+_T\d_r\d+$")
+
+
 def parse_cell_id(df: DataFrame, variants: DataFrame, cid: str = "cid") -> DataFrame:
     """The ids of ``df`` that are cells: agent, variant, task and rep beside
     the id. The variant may hold underscores and must be one of ``variants``

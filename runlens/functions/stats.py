@@ -78,25 +78,27 @@ def fisher(df: DataFrame, keys: Sequence[str], a: str, b: str, c: str, d: str,
     """Two-sided exact test of the table [[a, b], [c, d]] of each row: the sum
     of the tables no likelier than the one seen. Null on a zero margin.
 
-    Tables further from the mode than 40 deviations and 200 counts have a
-    probability below the smallest double, so leaving them out of the sum does
-    not change it; the explode then grows with the root of the counts."""
+    The sum runs over all tables in blocks. Their probabilities fall on either side
+    of the mode, so the table of a block that is nearest to the mode bounds the
+    block: where even that is zero as a double, the block adds nothing and its
+    tables are not written out, which leaves about the root of the counts."""
     row1, row2 = F.col(a) + F.col(b), F.col(c) + F.col(d)
     col1, col2 = F.col(a) + F.col(c), F.col(b) + F.col(d)
     t = (df.select(*keys, row1.cast("long").alias("_r1"), row2.cast("long").alias("_r2"),
                    col1.cast("long").alias("_c1"), col2.cast("long").alias("_c2"), F.col(a).cast("long").alias("_a"))
          .where("_r1 > 0 AND _r2 > 0 AND _c1 > 0 AND _c2 > 0"))
-    n = (F.col("_r1") + F.col("_r2")).cast("double")
-    mid = F.col("_r1") / n * F.col("_c1")
-    sd = F.sqrt(mid * (F.col("_r2") / n) * (F.col("_c2") / n))
-    reach = sd * 40 + 200
-    lo = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2"), F.floor(mid - reach)).cast("long")
-    hi = F.least(F.col("_r1"), F.col("_c1"), F.ceil(mid + reach)).cast("long")
+    lo = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2")).cast("long")
+    hi = F.least(F.col("_r1"), F.col("_c1")).cast("long")
+    mode = F.floor((F.col("_r1") + 1).cast("double") * (F.col("_c1") + 1) / (F.col("_r1") + F.col("_r2") + 2)).cast("long")
     blocks = (t.select("*", lo.alias("_lo"), hi.alias("_hi"), _log_margins().alias("_margins"))
               .withColumn("_seen", F.exp(F.col("_margins") + _log_weight(F.col("_a"))))
-              .withColumn("_b", F.explode(F.sequence("_lo", "_hi", F.lit(BLOCK).cast("long")))))
-    tables = blocks.withColumn(
-        "_k", F.explode(F.sequence(F.col("_b"), F.least(F.col("_hi"), F.col("_b") + F.lit(BLOCK - 1)))))
+              .withColumn("_b", F.explode(F.sequence("_lo", "_hi", F.lit(BLOCK).cast("long"))))
+              .withColumn("_e", F.least(F.col("_hi"), F.col("_b") + F.lit(BLOCK - 1))))
+    # the mode is known to a rounding, so a block beside it is never left out
+    nearest = F.greatest(F.col("_b"), F.least(F.col("_e"), mode))
+    beside = (F.col("_b") - 2 <= mode) & (mode <= F.col("_e") + 2)
+    tables = (blocks.where(beside | (F.exp(F.col("_margins") + _log_weight(nearest)) > 0))
+              .withColumn("_k", F.explode(F.sequence("_b", "_e"))))
     p = F.exp(F.col("_margins") + _log_weight(F.col("_k")))
     total = (tables.select(*keys, "_seen", p.alias("_p"))
              .where(F.col("_p") <= F.col("_seen") * (1 + 1e-7))

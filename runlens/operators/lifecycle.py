@@ -2,41 +2,69 @@
 
 A transition frame has cid, seq (log order), ts, action and chunk.
 
-A disabled event changes nothing, so the replay is a fold. One event maps the
-finite set of states to itself, and so does a chunk of events: each chunk's map
-is computed on its own, the maps of a cell's chunks are composed in order, and
-every chunk is then replayed from the state it really starts in. A cell of any
-length spreads over its chunks. The step itself is a table lookup per event,
-run over Arrow batches of sorted chunks.
+A disabled event changes nothing, so the replay is a fold. Where a cell stands is one
+number: attempts, whether an event was refused, and the state. An event adds what a
+table holds for its action and the state, so the replay is SQL over arrays of events:
+a short block is folded event by event, a chunk is its blocks, and where a cell has
+several chunks, each but the last is also folded from every state it may start in;
+those maps are composed in order, and each chunk starts where they lead. A cell of any
+length spreads over its chunks, and no table of events is written.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import lifecycle as M
 from runlens.operators import scan as S
-from runlens.session import cut_lineage
+
+#: Events of a block; a fold copies its results so far at each event.
+BLOCK = 64
+#: A standing: attempts * TRIED + refused * REFUSED + state.
+STATES, REFUSED, TRIED = 256, 256, 512
+NEVER = 1 << 40
 
 
 @lru_cache(maxsize=1)
-def machine() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[M.State, int]]:
-    """The state machine as arrays [action, state]: next state, whether the
-    action is enabled, and the change of attempts."""
+def machine() -> tuple[list[int], list[int]]:
+    """What each action (row) adds to a standing in each state, NEVER where the
+    action may not happen; and the states that the initial one leads to, it first."""
     all_states = M.states()
     index = {s: i for i, s in enumerate(all_states)}
-    n = len(all_states)
-    step, ok, gain = (np.zeros((len(M.ACTIONS), n), dtype=np.int32) for _ in range(3))
-    for a, action in enumerate(M.ACTIONS):
-        for i, s in enumerate(all_states):
-            to = M.step(s, action)
-            step[a, i], ok[a, i], gain[a, i] = (index[to[0]], 1, to[1]) if to else (i, 0, 0)
-    return step, ok, gain, index
+    adds: list[int] = []
+    for action in M.ACTIONS:
+        to = [M.step(s, action) for s in all_states]
+        adds += [index[t[0]] - i + TRIED * t[1] if t else NEVER for i, t in enumerate(to)] + [NEVER] * (STATES - len(all_states))
+    reached = [0]
+    for i in reached:  # grows as it goes
+        leads = [index[t[0]] for action in M.ACTIONS if (t := M.step(all_states[i], action))]
+        reached += [j for j in dict.fromkeys(leads) if j not in reached]
+    return adds, reached
+
+
+def _numbers(values: list[int]) -> Column:
+    """A list as one constant of the plan, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _fold(codes: Column, start: Column) -> Column:
+    """The standing after all of ``codes``."""
+    return F.aggregate(codes, start, _after)
+
+
+def _after(x: Column, code: Column) -> Column:
+    adds = F.get(_numbers(machine()[0]), (code * STATES + x.bitwiseAND(STATES - 1)).cast("int"))
+    return F.when(adds == NEVER, x.bitwiseOR(REFUSED)).otherwise(x + adds)
+
+
+def _then(x: Column, leads: Column, place: Column) -> Column:
+    """The standing that ``x`` becomes by a map: where each state of the domain leads."""
+    m = F.get(leads, F.get(place, x.bitwiseAND(STATES - 1).cast("int")).cast("int"))
+    both = lambda v: v - v.bitwiseAND(TRIED - 1)
+    return both(x) + both(m) + x.bitwiseOR(m).bitwiseAND(REFUSED) + m.bitwiseAND(STATES - 1)
 
 
 def _action_code() -> Column:
@@ -58,80 +86,53 @@ def replay(transitions: DataFrame, start: DataFrame | None = None, since: Column
     applied, attempts after it, and whether an earlier event of the cell was
     already refused. ``start`` may give cells a recorded state (cid, state,
     attempts); ``since`` marks the events to judge."""
-    events = transitions.withColumn("_a", _action_code()).where("_a IS NOT NULL")
-
+    events = transitions.withColumn("_a", _action_code().cast("long")).where("_a IS NOT NULL")
+    keep = [c for c in events.columns if c != "_a"]
     by_chunk = ["cid", "chunk"]
-
-    def chunk_maps(batches):
-        step, _, gain, index = machine()
-        fresh = np.arange(len(index), dtype=np.int32)
-        key, at, total = None, None, None
-        for pdf in batches:
-            out = []
-            for cid, chunk, a in zip(pdf["cid"], pdf["chunk"], pdf["_a"]):
-                if key != (cid, chunk):
-                    if key is not None:
-                        out.append((*key, at.tolist(), total.tolist()))
-                    key, at, total = (cid, chunk), fresh, np.zeros(len(index), dtype=np.int64)
-                total = total + gain[a, at]
-                at = step[a, at]
-            yield pd.DataFrame(out, columns=["cid", "chunk", "to", "more"])
-        if key is not None:
-            yield pd.DataFrame([(*key, at.tolist(), total.tolist())], columns=["cid", "chunk", "to", "more"])
-
-    # Only a chunk with a later one of its cell has to be known as a map.
-    last = events.groupBy("cid").agg(F.max("chunk").alias("_last"))
-    begin = last.select("cid", "_last", F.lit(0).alias("_s0"), F.lit(0).cast("long").alias("_n0"))
+    # rows travel whole, in an array of one, so that both readings below keep one shuffle
+    dealt = events.select(*by_chunk, F.array(F.struct("seq", "_a", F.struct(*keep).alias("row"))).alias("_e")).repartition(*by_chunk)
+    dealt = dealt.select(*by_chunk, F.element_at("_e", 1).alias("_e"))
+    at = F.row_number().over(Window.partitionBy(*by_chunk).orderBy("_e.seq")) - 1
+    blocks = dealt.withColumn("_b", F.floor(at / BLOCK)).groupBy(*by_chunk, "_b").agg(F.sort_array(F.collect_list("_e")).alias("_es"))
+    whole = blocks.groupBy(*by_chunk).agg(F.sort_array(F.collect_list(F.struct("_b", "_es"))).alias("_bs"))
+
+    # where each chunk with a later one leads from every state it may start in
+    many = dealt.select(*by_chunk).distinct().groupBy("cid").agg(F.max("chunk").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    domain = machine()[1] if start is None else list(range(len(M.states())))
+    place = _numbers([domain.index(i) if i in domain else 0 for i in range(STATES)])
+    same = _numbers(domain)
+    codes = F.flatten(F.transform("_bs", lambda b: b["_es"]["_a"]))
+    maps = (whole.join(many, "cid").where("chunk < _last").select(*by_chunk, F.transform(same, lambda s: _fold(codes, s)).alias("_to")))
+    leads = maps.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("chunk", "_to"))).alias("_maps"))
+
+    first = F.lit(0).cast("long")
+    cells = many.select("cid").join(leads, "cid")
     if start is not None:
-        begin = last.join(start.select("cid", "state", "attempts"), "cid", "left").select(
-            "cid", "_last", F.coalesce("state", F.lit(0)).cast("int").alias("_s0"), F.coalesce("attempts", F.lit(0)).cast("long").alias("_n0"))
-    early = events.select(*by_chunk, "seq", "_a").join(last, "cid").where("chunk < _last").drop("_last")
-    maps = (early.repartition(*by_chunk).sortWithinPartitions(*by_chunk, "seq")
-            .mapInPandas(chunk_maps, "cid string, chunk long, to array<int>, more array<long>"))
-
-    def compose(batches):
-        cid, s, n = None, 0, 0
-        for pdf in batches:
-            out = []
-            for c, chunk, to, more, s0, n0 in zip(pdf["cid"], pdf["chunk"], pdf["to"], pdf["more"], pdf["_s0"], pdf["_n0"]):
-                if c != cid:
-                    cid, s, n = c, int(s0), int(n0)
-                n += int(more[s])
-                s = int(to[s])
-                out.append((cid, int(chunk), s, n))
-            yield pd.DataFrame(out, columns=["cid", "_chunk", "_s1", "_n1"])
-
-    # One row per chunk, so even the longest cell is a short table here.
-    ends = (maps.join(begin.drop("_last"), "cid").repartition("cid").sortWithinPartitions(*by_chunk)
-            .mapInPandas(compose, "cid string, _chunk long, _s1 int, _n1 long"))
-    present = events.select(*by_chunk).distinct()
-    before = Window.partitionBy("cid").orderBy("chunk")
-    starts = (present.withColumn("_chunk", F.lag("chunk").over(before)).join(ends, ["cid", "_chunk"], "left").join(begin, "cid")
-              .select(*by_chunk, F.coalesce("_s1", "_s0").alias("_s"), F.coalesce("_n1", "_n0").alias("_n")))
-    keep = [c for c in events.columns if c != "_a"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*keep).schema.fields)
-
-    def run(batches):
-        step, ok, gain, _ = (x.tolist() if isinstance(x, np.ndarray) else x for x in machine())
-        key, s, n = None, 0, 0
-        for pdf in batches:
-            out = []
-            for cid, chunk, a, s0, n0 in zip(pdf["cid"], pdf["chunk"], pdf["_a"], pdf["_s"], pdf["_n"]):
-                if key != (cid, chunk):
-                    key, s, n = (cid, chunk), int(s0), int(n0)
-                was = s
-                n += gain[a][s]
-                s = step[a][s]
-                out.append((was, s, ok[a][was] == 1, n))
-            yield pdf[keep].assign(**dict(zip(("before", "after", "applied", "attempts"), zip(*out))) if out else
-                                   {"before": [], "after": [], "applied": [], "attempts": []})
-
-    rows = (events.join(starts, by_chunk).repartition(*by_chunk).sortWithinPartitions(*by_chunk, "seq")
-            .mapInPandas(run, fields + ", before int, after int, applied boolean, attempts long"))
-    rows = cut_lineage(rows)  # what follows reads the replay more than once
-    rows = S.scan(rows, ["cid"], ["seq"], {"_refused": S.total_before((~F.col("applied")).cast("long"))})
-    return rows.select("*", (~F.col("applied") & (F.col("_refused") > 0)).alias("cascade"),
-                       (F.lit(True) if since is None else since).alias("judged")).drop("_refused")
+        begun = start.select("cid", (F.coalesce("attempts", F.lit(0)).cast("long") * TRIED + F.coalesce("state", F.lit(0))).alias("_x0"))
+        cells = cells.join(begun, "cid", "left")
+        first = F.coalesce("_x0", first)
+    steps = F.aggregate("_maps", F.array(first), lambda xs, m: F.concat(xs, F.array(_then(F.element_at(xs, -1), m["_to"], place))))
+    # the chunk after the n-th one of a cell starts where that leads
+    later = cells.select("cid", F.posexplode(F.slice(steps, 2, 1 << 30)).alias("_n", "_x"))
+    order = F.row_number().over(Window.partitionBy("cid").orderBy("chunk")) - 2
+    places = dealt.select(*by_chunk).distinct().join(many.select("cid"), "cid", "left_semi").withColumn("_n", order.cast("int"))
+    starts = places.join(later, ["cid", "_n"]).select(*by_chunk, "_x")
+    ready = whole.join(starts, by_chunk, "left")
+    x = F.coalesce("_x", F.lit(0).cast("long"))
+    if start is not None:
+        ready = ready.join(begun, "cid", "left")
+        x = F.coalesce("_x", "_x0", F.lit(0).cast("long"))
+
+    begins = F.aggregate("_bs", F.array(x), lambda xs, b: F.concat(xs, F.array(_fold(b["_es"]["_a"], F.element_at(xs, -1)))))
+    block = ready.select("_bs", begins.alias("_xs")).select(F.explode(F.transform("_bs", lambda b, i: F.struct(b["_es"].alias("es"), F.get("_xs", i).alias("x")))).alias("_b"))
+    along = F.aggregate(F.col("_b.es._a"), F.array(F.col("_b.x")), lambda xs, a: F.concat(xs, F.array(_after(F.element_at(xs, -1), a))))
+    rows = block.select("_b", along.alias("_xs")).select(F.inline(F.transform("_b.es", lambda e, i: F.struct(
+        e["row"].alias("row"), F.get("_xs", i).alias("_was"), F.get("_xs", i + 1).alias("_is"), e["_a"].alias("_a")))))
+    was, now = F.col("_was"), F.col("_is")
+    applied = F.get(_numbers(machine()[0]), (F.col("_a") * STATES + was.bitwiseAND(STATES - 1)).cast("int")) != NEVER
+    return rows.select("row.*", was.bitwiseAND(STATES - 1).cast("int").alias("before"), now.bitwiseAND(STATES - 1).cast("int").alias("after"),
+                       applied.alias("applied"), F.shiftright(now, 9).alias("attempts"),
+                       (~applied & (was.bitwiseAND(REFUSED) > 0)).alias("cascade")).withColumn("judged", F.lit(True) if since is None else since)
 
 
 def in_state(state: Column, what: str) -> Column:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.session import cut_lineage
+
 STEPS_PER_OCTAVE = 256
 
 
@@ -80,3 +82,16 @@ def median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFra
     size = F.col("size")
     picked = pick(df, keys, value, {"_lo": F.floor((size + 1) / 2), "_hi": F.floor(size / 2) + 1})
     return picked.select(*keys, "size", ((F.col("_lo") + F.col("_hi")) / 2.0).alias(name))
+
+
+def positions(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with the place of each row in the order of the whole table, from 1.
+
+    Rows are dealt out by ranges of the order and numbered in each; the rows of the
+    ranges before are counted, one number for each range. No task sees the table.
+    ``order`` must be unique. The ranges are written, since they come from a sample."""
+    placed = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_nth", nth).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_nth")).drop("_range", "_nth", "_start")

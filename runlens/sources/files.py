@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from runlens.operators import ranks
 from runlens.operators.scan import chunk_of
+from runlens.functions.names import shaped
 from runlens.operators.traces import second
 from runlens.sources import lines
 
@@ -40,10 +42,36 @@ def file_order() -> Column:
 
 
 def cells(spark: SparkSession, root: str) -> DataFrame:
-    """Every folder that declares a cell, from listing alone: no content is
-    read."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "cell.env").option("recursiveFileLookup", "true").load(root)
-            .select(F.element_at(F.split("path", "/"), -2).alias("cid"), "modificationTime"))
+    """Every folder that declares a cell under a name that is a cell id, from listing
+    alone: no content is read. Which variants there are is the caller's
+    (``names.parse_cell_id``)."""
+    found = (spark.read.format("binaryFile").option("pathGlobFilter", "cell.env").option("recursiveFileLookup", "true").load(root)
+             .select(F.element_at(F.split("path", "/"), -2).alias("cid"), "modificationTime"))
+    return found.where(shaped(F.col("cid")))
+
+
+def block_lines(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """``file, line_no, line`` of text files of any size, one row per line, numbered
+    from 1 in each file. Files are read in blocks, in parallel: lines are counted per
+    block, the counts before a block are summed, and a line's number is that sum and
+    its place in the block. Both start from one shuffle by block, so no file is
+    read whole in one task and nothing is sorted across blocks."""
+    reader = spark.read
+    if glob is not None:
+        reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    by = ["file", "_block"]
+    raw = reader.text(root).select(_path().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.array(F.struct(
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))).alias("_l"))
+    dealt = raw.repartition(*by).select(*by, F.element_at("_l", 1).alias("_l")).select(*by, "_l.*")
+    rows = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("at")))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    starts = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return rows.join(starts, by).select("file", (F.col("_start") + F.col("_nth")).alias("line_no"), "line")
+
+
+def _part(depth: int) -> Column:
+    """A part of a line's path, counted from its end."""
+    return F.element_at(F.split("file", "/"), -depth)
 
 
 def _whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -57,22 +85,23 @@ def env(spark: SparkSession, root: str) -> DataFrame:
 
 def ledger(spark: SparkSession, root: str) -> DataFrame:
     """Ledger events per cell, with the chunk that the folds work in."""
-    events = lines.ledger_lines(lines.numbered(_whole(spark, root, "iterations.log"), "text", "cell"), "cell")
-    return events.withColumn("chunk", chunk_of("line_no"))
+    rows = block_lines(spark, root, "iterations.log").withColumn("cell", _part(2))
+    return lines.ledger_lines(rows, "cell").withColumn("chunk", chunk_of("line_no"))
 
 
 def transcripts(spark: SparkSession, root: str) -> DataFrame:
     """Transcript lines per cell and attempt, numbered in file order."""
-    t = _whole(spark, root, "agent.attempt-*.log").withColumn("attempt", F.regexp_extract("file", r"attempt-(\d+)", 1).try_cast("long"))
-    return lines.numbered(t, "text", "cell", "attempt")
+    rows = block_lines(spark, root, "agent.attempt-*.log")
+    return rows.select(_part(2).alias("cell"), F.regexp_extract(_part(1), r"attempt-(\d+)", 1).try_cast("long").alias("attempt"), "line_no", "line")
 
 
 def transitions(spark: SparkSession, path: str) -> DataFrame:
-    """A lifecycle log of any size: one file, split into blocks that are
-    planned in file order, so increasing ids number its lines in order without
-    reading it whole in one task. Sorted by time, file order on ties."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
-    return lines.transitions(raw).orderBy("ts", "line_no")
+    """Lifecycle logs of any size, ready for the replay: ``log`` is the file, ``line_no``
+    the line in it, ``seq`` the place by log, time and line (writers append out of
+    order, so time decides and lines break its ties), ``chunk`` a run of such places."""
+    rows = block_lines(spark, path)
+    kept = lines.transitions(rows, "file").withColumnRenamed("file", "log")
+    return ranks.positions(kept, ["log", "ts", "line_no"], "seq").withColumn("chunk", chunk_of("seq"))
 
 
 def artifacts(spark: SparkSession, root: str) -> DataFrame:

@@ -44,11 +44,11 @@ def manifest(lines: DataFrame, *keys: str) -> DataFrame:
                                               f[1].try_cast("long").alias("lines"), f[2].alias("sha"))
 
 
-def transitions(lines: DataFrame) -> DataFrame:
+def transitions(lines: DataFrame, *keys: str) -> DataFrame:
     """``<ts> TAB <ACTION> TAB <cid> [TAB k=v ...]`` lines."""
     f = F.split("line", "\t")
     kept = lines.where((F.col("line") != "") & ~F.startswith(F.col("line"), F.lit("#")) & (F.size(f) >= 3))
-    return kept.select("line_no", f[0].alias("ts"), f[1].alias("action"), f[2].alias("cid"),
+    return kept.select(*keys, "line_no", f[0].alias("ts"), f[1].alias("action"), f[2].alias("cid"),
                        F.coalesce(F.try_element_at(f, F.lit(4)), F.lit("")).alias("note"))
 
 

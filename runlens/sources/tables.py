@@ -324,8 +324,8 @@ def archive_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.array(*[F.lit(e) for e in ("green", "charged", "refunded", "interrupted")])[(k % 4).cast("int")]
     name = (F.when(k % 13 == 0, F.concat(nn, F.lit("-"), shape)).when(k % 29 == 0, F.lit("scratch"))
             .otherwise(F.concat(nn, F.lit("-a"), (F.floor(k / 25) + 1).cast("string"), F.lit("-"), shape, F.lit("-"), end)))
-    return (events(spark, sf_dir).where("kind = 'click'")
-            .select(F.col("run").alias("cell"), "seq", name.alias("name"), F.when(k % 5 != 0, F.when(k % 2 == 0, "deploy").otherwise("load")).alias("stage")))
+    return events(spark, sf_dir).select(F.col("run").alias("cell"), "seq", name.alias("name"),
+                                        F.when(k % 5 != 0, F.when(k % 2 == 0, "deploy").otherwise("load")).alias("stage"))
 
 
 def cell_env(spark: SparkSession, sf_dir: str) -> DataFrame:
