@@ -28,6 +28,7 @@ def root(tmp_path_factory):
         write(r / cid / "arrangements" / "01-a1-BBS-green" / "verdict.json", '{"ok": true, "stage": null}')
         write(r / cid / "arrangements" / "02-BSB" / "verdict.json", "torn")
     write(r / "stray" / "notes.txt", "x")
+    write(r / "no-cell" / "cell.env", "AGENT_MODEL=m1\n")
     return r
 
 
@@ -60,7 +61,7 @@ def test_trace_points_and_samples(spark, tmp_path):
     r = files.host_samples(spark, str(tmp_path / "host.csv")).first()
     assert (r.owner, r.cpu_pct, r.mem_mb) == ("", 1.5, None)
     write(tmp_path / "log", "t2\tAdmit\tc\nt1\tPause\td\tk=v\n# x\nt1\tKill\te\n")
-    assert [r.action for r in files.transitions(spark, str(tmp_path / "log")).collect()] == ["Pause", "Kill", "Admit"]
+    assert [r.action for r in files.transitions(spark, str(tmp_path / "log")).orderBy("seq").collect()] == ["Pause", "Kill", "Admit"]
 
 
 def test_a_trace_on_disk_goes_straight_into_episodes(spark, tmp_path):
@@ -158,3 +159,37 @@ def test_results_files(spark, tmp_path):
     flat = spark.read.option("header", "true").csv(out[0])
     assert tuple(flat.columns) == RESULT_COLUMNS and flat.count() == s.count() == spark.read.json(out[1]).count()
     assert spark.read.json(out[2]).agg(F.sum("n_cells")).first()[0] == s.count()
+
+
+def small_blocks(spark):
+    """Settings under which a file of some kilobytes falls into several blocks."""
+    return {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+
+
+def test_lines_of_files_in_several_blocks_are_numbered_as_in_the_file(spark, tmp_path):
+    texts = {name: [f"{name} {i} " + "x" * (i % 90) for i in range(n)] for name, n in (("a", 400), ("b", 1), ("c", 233))}
+    for name, rows in texts.items():
+        write(tmp_path / "t" / name, "\n".join(rows) + ("\n" if name != "c" else ""))
+    old = {k: spark.conf.get(k) for k in small_blocks(spark)}
+    try:
+        for k, v in small_blocks(spark).items():
+            spark.conf.set(k, v)
+        assert spark.read.text(str(tmp_path / "t")).rdd.getNumPartitions() > 5
+        got = {(r.file[-1], r.line_no): r.line for r in files.block_lines(spark, str(tmp_path / "t")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {(name, i): line for name, rows in texts.items() for i, line in enumerate(rows, 1)}
+
+
+def test_a_lifecycle_log_goes_straight_into_the_replay(spark, tmp_path):
+    from runlens.operators import lifecycle
+    acts = ["Admit", "AcquireVerify", "VerifyFail", "AcquireVerify", "VerifyGreen", "Admit"]
+    rows = [f"2026-01-01T00:{i:02d}:00Z\t{a}\tc{k}\tvoid=1" for k in range(40) for i, a in enumerate(acts)]
+    write(tmp_path / "logs" / "host1.log", "# v1\n" + "\n".join(reversed(rows)) + "\n")
+    log = files.transitions(spark, str(tmp_path / "logs"))
+    assert {"log", "seq", "chunk", "line_no", "note"} <= set(log.columns)
+    got = lifecycle.replay(log)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.applied, r.attempts) for r in got.where("cid = 'c7'").collect()) == [(False, 1)] + [(True, 1)] * 5
+    assert lifecycle.from_last_epoch(log).count() == 240
