@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("scoring", "ledgers", "loads", "usage", "surfaces", "hosts", "lifecycles", "trust", "fleets", "streams")
+FAMILIES = ("scoring", "ledgers", "loads", "usage", "surfaces", "hosts", "lifecycles", "trust", "fleets", "streams", "reports")
 
 
 def load():

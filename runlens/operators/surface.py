@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +112,35 @@ def author_surface(rows: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, tree: str = "tree") -> DataFrame:
-    """sha256 over the ordered ``sha  path`` text of each tree. A tree is a
-    set of source files, small enough to list."""
-    line = F.struct("rel", F.concat(F.sha2(F.col("content").cast("binary"), 256), F.lit("  "), "rel", F.lit("\n")).alias("text"))
-    return files.groupBy(tree).agg(F.count(F.lit(1)).alias("files"), F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(line)), lambda x: x["text"]), ""), 256).alias("fingerprint"))
+    """sha256 over the ordered ``sha  path`` text of each tree.
+
+    The rows of a tree are sorted, which spills, and read one after another into a
+    running digest, so a tree of any number of files takes the memory of one batch.
+    The digest itself is sequential: one tree is one task."""
+    kind = files.schema[tree].dataType.simpleString()
+    rows = files.select(F.col(tree).alias("tree"), "rel", F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+
+    def digests(batches):
+        now, n, digest, of = None, 0, None, None
+        for batch in batches:
+            done, of = [], batch.schema.field(0).type
+            for name, rel, sha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n == 0 or name != now:
+                    if n:
+                        done.append((now, n, digest.hexdigest()))
+                    now, n, digest = name, 0, hashlib.sha256()
+                n += 1
+                digest.update(f"{sha}  {rel}\n".encode())
+            yield told(done, of)
+        if n:
+            yield told([(now, n, digest.hexdigest())], of)
+
+    def told(done, of):
+        names, counts, found = zip(*done, strict=True) if done else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(names, of), pa.array(counts, pa.int64()), pa.array(found, pa.string())], ["tree", "files", "fingerprint"])
+
+    out = rows.repartition("tree").sortWithinPartitions("tree", "rel").mapInArrow(digests, f"tree {kind}, files long, fingerprint string")
+    return out.withColumnRenamed("tree", tree)
 
 
 def tree_diff(skeleton: DataFrame, tree: DataFrame, exact: tuple[str, ...], prefixes: tuple[str, ...]) -> DataFrame:
