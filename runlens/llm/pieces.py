@@ -143,8 +143,8 @@ class Model:
             keep[at + 1] = False
             place = np.cumsum(keep) - 1
             sym, word, made, rank = sym[keep], word[keep], made[keep], rank[keep]
-            new = np.unique(np.concatenate([place[at], place[at] - 1]))
-            new = new[new >= 0]
+            new = place[at]
+            new = np.concatenate([new, new[new > 0] - 1])
             right = np.minimum(new + 1, len(sym) - 1)
             made[new] = np.where((word[new] == word[right]) & (right > new), self.joined(sym[new], sym[right]), -1)
             rank[new] = np.where(made[new] >= 0, self.rank[made[new]], _NONE)
@@ -167,10 +167,13 @@ class Model:
         if not new:
             return
         sym, word = self.merge([w.decode("utf-8", "replace") for w in new])
-        if (sym < 0).any():
-            spread = [[s] if s >= 0 else [self.of_byte[b] for b in chr(-1 - s).encode("utf-8", "replace")] for s in sym.tolist()]
-            word = np.repeat(word, [len(x) for x in spread])
-            sym = np.array([s for x in spread for s in x], dtype=np.int64)
+        odd = sym < 0
+        if odd.any():
+            spread = [[self.of_byte[b] for b in chr(-1 - s).encode("utf-8", "replace")] for s in sym[odd].tolist()]
+            sizes = np.ones(len(sym), dtype=np.int64)
+            sizes[odd] = [len(x) for x in spread]
+            word, sym = np.repeat(word, sizes), np.repeat(sym, sizes)
+            sym[np.repeat(odd, sizes)] = [i for x in spread for i in x]
         ids = sym.astype("<i4").tobytes()
         ends = (4 * np.cumsum(np.bincount(word, minlength=len(new)))).tolist()
         self.known.update(zip(new, [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
