@@ -85,3 +85,22 @@ def test_interval_join_equals_brute_force(spark):
     p, i = spark.createDataFrame(pts, "k int, pid int, t double"), spark.createDataFrame(ivs, "k int, iid int, lo double, hi double")
     got = {(x.pid, x.iid) for x in points_in_intervals(p, i, ["k"], "t", "lo", "hi", 4.0).collect()}
     assert got == {(a[1], b[1]) for a in pts for b in ivs if a[0] == b[0] and b[2] <= a[2] <= b[3]}
+
+
+def test_sums_in_intervals_equal_the_points_inside(spark):
+    from runlens.operators.intervals import sums_in_intervals
+    r = random.Random(6)
+    points = [(r.choice("aab"), float(r.randrange(200)), r.randrange(10), 1) for _ in range(900)]
+    spans = [(r.choice("abc"), i, float(a := r.randrange(220)), float(a + r.choice([0, 5, 150]))) for i in range(120)]
+    p = spark.createDataFrame(points, "k string, t double, v long, n long").repartition(3)
+    i = spark.createDataFrame(spans, "k string, id int, lo double, hi double")
+    for width in (7.0, 1000.0):
+        got = {x.id: (x.v, x.n) for x in sums_in_intervals(p, i, ["k"], ["id"], "t", "lo", "hi", ["v", "n"], width).collect()}
+        assert got == {n: tuple(sum(q[c] for q in points if q[0] == k and lo <= q[1] <= hi) for c in (2, 3)) for k, n, lo, hi in spans}
+
+
+def test_only_shaped_names_are_cells(spark):
+    from runlens.functions.names import shaped
+    names = {"ag_high_v_T1_r1": True, "ag__some_long_v_T3_r12": True, "ag_high_smoke_v_T1_r1": True, "notes": False, "ag_high_T1_r1": False, "ag_high_v_T1_rx": False, "no-cell": False}
+    df = spark.createDataFrame(list(names.items()), "cid string, want boolean")
+    assert df.where(shaped(F.col("cid")) != F.col("want")).collect() == []
