@@ -25,7 +25,7 @@ def _report(spark, sf):
     return report.write(made, shared_folder(spark))
 
 
-@query("scoreboard_report", with_ctes(SCORES, VAL, KEPT, *CUT, *COMPARED[2:], """
+@query("scoreboard_report", with_ctes(SCORES, VAL, KEPT, *CUT, *COMPARED[3:], """
     d AS (SELECT *, coalesce(abs(d_green), abs(d_itg)) AS gap FROM cmp)""",
     """SELECT model, variant, place, n_cells, n_green, green_rate, base_n, base_rate, d_green, d_itg, round(fisher_p, 8) AS fisher_p,
       row_number() OVER (ORDER BY base_n IS NULL, coalesce(fisher_p < 0.05, false) DESC, coalesce(gap, 0) DESC, model, place) AS pos FROM d"""))
