@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
+import bisect
+import copy
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from runlens.llm import chunks
 from runlens.llm.shared import written
 
 #: The end of a document, a word that no text can hold.
 END = b" "
-#: Words that are symbols of their own, symbols that share the other words, and their sum.
-HEADS, TAILS = 447, 65
-SYMBOLS = HEADS + TAILS
+#: Words that the top level tells apart, and the fewest groups that share the others.
+HEADS, GROUPS = 128, 64
+#: Words with a row of their own inside a group: this many for each unit of the cube root of the tokens.
+ROWS = 16
 CONTEXT, WIDTH = 2, 32
-#: Tokens of a training step, noise samples that its tokens share, rounds over disjoint parts of the corpus.
-STEP, NOISE, ROUNDS = 2048, 128, 2
+#: Tokens of a training step, noise samples that its tokens share at the top and in each group, rounds over disjoint parts of the corpus.
+STEP, NOISE, GROUP_NOISE, ROUNDS = 2048, 64, 8, 2
+#: Tokens of a group that share their noise.
+BLOCK = 32
 RATE = 0.15
-#: Partial sums of the model that reach the driver.
+#: Partial sums of the model, added up once more before the driver sees it.
 FOLDS = 16
+#: Steps of the histogram of counts: this many for a doubling.
+FINE = 8
 
 OUT = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("n_tokens", LongType()),
                   StructField("n_known", LongType()), StructField("train_tokens", LongType()), StructField("base_score", DoubleType()),
@@ -38,9 +45,36 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def tail(word: bytes) -> int:
-    """The symbol that a word shares: words that begin alike go together."""
-    return HEADS + xxhash.xxh64_intdigest(word[:2], 4) % TAILS
+class Vocabulary:
+    """What the model tells apart: its units, which grow with the corpus.
+
+    Units 0 to ``heads - 1`` are the most frequent words. The words with a row come
+    next, in the order of their bytes, cut into groups of equal size; each group ends
+    with a unit that all other words share whose bytes fall into its range."""
+
+    def __init__(self, counted: list[tuple[bytes, int]]) -> None:
+        ranked = sorted(counted, key=lambda wn: (-wn[1], wn[0]))
+        top, rows = ranked[:HEADS], sorted(ranked[HEADS:])
+        self.heads = len(top)
+        self.groups = max(1, min(max(GROUPS, math.isqrt(len(rows))), len(rows)))
+        ends = [len(rows) * (g + 1) // self.groups for g in range(self.groups)]
+        self.bounds = [rows[e][0] for e in ends[:-1]]
+        #: Where each group's units start, and where the last ends.
+        self.starts = np.array([self.heads, *(self.heads + e + g + 1 for g, e in enumerate(ends))], dtype=np.int64)
+        self.units = int(self.starts[-1])
+        self.shared = self.starts[1:] - 1
+        self.counts = np.zeros(self.units, dtype=np.int64)
+        self.words_of = np.zeros(self.units, dtype=np.int64)
+        self.number = {w: i for i, (w, _) in enumerate(top)}
+        for i, (w, _) in enumerate(rows):
+            self.number[w] = self.heads + i + bisect.bisect_right(self.bounds, w)
+        for w, n in counted:
+            self.counts[self.number[w]] = n
+
+    def unit(self, word: bytes) -> int:
+        """A word's own unit, or the one that it shares."""
+        own = self.number.get(word)
+        return int(self.shared[bisect.bisect_right(self.bounds, word)]) if own is None else own
 
 
 def _chunk(ids: list, texts: list[bytes]) -> tuple[dict, list[bytes], dict]:
@@ -74,193 +108,285 @@ def _dictionary(group: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int,
     yield chunks.DICTIONARY, bucket, chunks.dump({"words": list(total), "count": np.array(list(total.values()), dtype="<i8")})
 
 
-_TOTALS = StructType([StructField("tokens", LongType()), StructField("words", LongType()),
-                      StructField("top", ArrayType(StructType([StructField("word", BinaryType()), StructField("n", LongType())])))])
-_TAILS = StructType([StructField("symbol", IntegerType()), StructField("tokens", LongType()), StructField("words", LongType())])
+_BINS = StructType([StructField("bin", IntegerType()), StructField("tokens", LongType()), StructField("words", LongType())])
+_WORDS = StructType([StructField("word", BinaryType()), StructField("n", LongType())])
 
 
-def _totals(dictionary: DataFrame) -> tuple[int, int, dict[bytes, int], np.ndarray, np.ndarray]:
-    """Tokens and distinct words that are learned from; the most frequent words as
-    symbols; and of each shared symbol the tokens and words, by symbol."""
-    def sums(batches):
-        tokens = words = 0
-        top: list[tuple[int, bytes]] = []
-        for batch in batches:
-            for payload in batch.column(2).to_pylist():
-                part = chunks.load(payload)
-                tokens, words = tokens + int(part["count"].sum()), words + int((part["count"] > 0).sum())
-                top += [(-n, w) for w, n in zip(part["words"], part["count"].tolist(), strict=True) if n]
-                top = sorted(top)[:HEADS]
-        yield pa.RecordBatch.from_pylist([{"tokens": tokens, "words": words, "top": [{"word": w, "n": -n} for n, w in top]}], schema=arrow)
+def _bins(count: np.ndarray) -> np.ndarray:
+    return np.floor(FINE * np.log2(count)).astype(np.int64)
 
+
+def _over(dictionary: DataFrame, make: Callable[[list[bytes], np.ndarray], dict], schema: StructType) -> DataFrame:
+    """``make`` over the words of each bucket that are learned from and their counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(_TOTALS)
-    found = written(dictionary.mapInArrow(sums, _TOTALS))
-    tokens, words = found.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    top = found.select(F.inline("top")).where("n > 0").orderBy(F.desc("n"), "word").limit(HEADS).collect()
-    heads = {bytes(r["word"]): i for i, r in enumerate(top)}
+    arrow = to_arrow_schema(schema)
 
-    def rest(batches):
-        n, v = np.zeros(SYMBOLS, dtype="i8"), np.zeros(SYMBOLS, dtype="i8")
+    def run(batches):
         for batch in batches:
             for payload in batch.column(2).to_pylist():
                 part = chunks.load(payload)
-                at = np.array([heads[w] if w in heads else tail(w) for w in part["words"]], dtype="i8")
-                n += np.bincount(at, part["count"], SYMBOLS).astype("i8")
-                v += np.bincount(at[part["count"] > 0], minlength=SYMBOLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SYMBOLS), pa.int32()), pa.array(n), pa.array(v)], ["symbol", "tokens", "words"])
+                some = np.flatnonzero(part["count"] > 0)
+                yield pa.RecordBatch.from_pydict(make([part["words"][i] for i in some], part["count"][some]), schema=arrow)
+
+    return dictionary.mapInArrow(run, schema)
+
+
+def _vocabulary(dictionary: DataFrame) -> tuple[int, int, Vocabulary]:
+    """Tokens and distinct words that are learned from, and the vocabulary. How many
+    words get a row grows with the tokens; a histogram of the counts tells from which
+    count on words fit in, so no more than these reach the driver."""
+    def histogram(words, count):
+        at = _bins(count)
+        n, v = np.bincount(at, count).astype("i8"), np.bincount(at)
+        some = np.flatnonzero(v)
+        return {"bin": some, "tokens": n[some], "words": v[some]}
+
+    found = _over(dictionary, histogram, _BINS).groupBy("bin").agg(F.sum("tokens"), F.sum("words")).orderBy(F.desc("bin")).collect()
+    tokens, distinct = sum(r[1] for r in found), sum(r[2] for r in found)
+    room, least = HEADS + int(ROWS * tokens ** (1 / 3)), None
+    for at, _, n in found:
+        room -= n
+        if room < 0:
+            break
+        least = at
+
+    def frequent(words, count):
+        some = np.flatnonzero(_bins(count) >= least)
+        return {"word": [words[i] for i in some], "n": count[some]}
 
-    by_symbol = dictionary.mapInArrow(rest, _TAILS).groupBy("symbol").agg(F.sum("tokens"), F.sum("words")).collect()
-    n, v = np.zeros(SYMBOLS, dtype="i8"), np.zeros(SYMBOLS, dtype="i8")
-    for symbol, a, b in by_symbol:
-        n[symbol], v[symbol] = a, b
-    return tokens, words, heads, n, v
+    counted = [] if least is None else [(bytes(w), n) for w, n in _over(dictionary, frequent, _WORDS).collect()]
+    vocabulary = Vocabulary(counted)
+
+    def rest(words, count):
+        some = np.array([i for i, w in enumerate(words) if w not in vocabulary.number], dtype=np.int64)
+        at = np.array([vocabulary.unit(words[i]) for i in some], dtype=np.int64)
+        n, v = np.bincount(at, count[some], vocabulary.units).astype("i8"), np.bincount(at, minlength=vocabulary.units)
+        held = np.flatnonzero(v)
+        return {"bin": held, "tokens": n[held], "words": v[held]}
+
+    for unit, n, v in _over(dictionary, rest, _BINS).groupBy("bin").agg(F.sum("tokens"), F.sum("words")).collect():
+        vocabulary.counts[unit], vocabulary.words_of[unit] = n, v
+    return tokens, distinct, vocabulary
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
+
+
+def _sums_by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # short numbers sort faster
+    at = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[starts], np.add.reduceat(grad[order], starts, axis=0)
 
 
 class Model:
-    """log P(symbol | context) ~ (sum of weight_i * in[context_i]) . out[symbol] + bias[symbol]."""
+    """P(word | context) = P(symbol | context) P(word's unit | group, context), each
+    proportional to exp((sum of weight_i * inner[context_i]) . outer[row] + bias[row]).
+
+    Symbols of the top level are the heads and the groups; the second factor is over a
+    group's units, and is one for heads. Rows of ``outer``: heads, groups, units of the
+    groups. Contexts are units. Work per token is with the top's rows and one group's."""
 
     NAMES = ("inner", "outer", "weight", "bias")
 
-    def __init__(self, counts: np.ndarray) -> None:
+    def __init__(self, vocabulary: Vocabulary) -> None:
         rng = np.random.default_rng(7)
-        noise = (counts + 0.5) / (counts + 0.5).sum()
-        self.noise = noise
-        self.inner = rng.normal(0, 0.1, (SYMBOLS + 1, WIDTH)).astype("f4")  # the last stands before a text
-        self.outer = rng.normal(0, 0.1, (SYMBOLS, WIDTH)).astype("f4")
+        h, g, u = vocabulary.heads, vocabulary.groups, vocabulary.units
+        self.heads, self.groups, self.units, self.tops = h, g, u, h + g
+        self.starts = vocabulary.starts + g  # rows of the groups' units
+        of = np.searchsorted(vocabulary.starts, np.arange(u), side="right") - 1
+        self.top = np.where(np.arange(u) < h, np.arange(u), h + of)
+        mass = vocabulary.counts + 0.5
+        by_top = np.bincount(self.top, mass, self.tops)
+        #: Noise by row: the share among the top's symbols, or in the group.
+        self.noise = np.concatenate([by_top / by_top.sum(), mass[h:] / by_top[self.top[h:]]])
+        self.summed = np.cumsum(np.concatenate([by_top / by_top.sum(), mass[h:] / mass.sum()]))
+        self.inner = rng.normal(0, 0.1, (u + 1, WIDTH)).astype("f4")  # the last stands before a text
+        self.outer = rng.normal(0, 0.1, (u + g, WIDTH)).astype("f4")
         self.weight = np.ones((CONTEXT, WIDTH), dtype="f4")
-        self.bias = np.log(noise).astype("f4")
+        self.bias = np.log(self.noise).astype("f4")
         self.seen = {name: np.full(getattr(self, name).shape, 1e-2, dtype="f4") for name in self.NAMES}
 
     def query(self, contexts: np.ndarray) -> np.ndarray:
         return sum(self.inner[contexts[:, i]] * self.weight[i] for i in range(CONTEXT))
 
+    def _draw(self, low: np.ndarray, high: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        """``n`` rows of noise in each range of rows [low, high)."""
+        below = np.where(low > 0, self.summed[low - 1], 0.0)[:, None]
+        at = below + rng.random((len(low), n)) * (self.summed[high - 1][:, None] - below)
+        return np.clip(np.searchsorted(self.summed, at, side="right"), low[:, None], high[:, None] - 1)
+
     def _move(self, name: str, rows, grad: np.ndarray) -> None:
         seen = self.seen[name]
         seen[rows] += grad * grad
         getattr(self, name)[rows] -= RATE * grad / np.sqrt(seen[rows])
 
     def step(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
-        """Noise-contrastive estimation: tell each token from noise samples, which a step's tokens share."""
-        sampled = rng.choice(SYMBOLS, NOISE, p=self.noise)
-        log_kn = np.log(NOISE * self.noise).astype("f4")
+        """Noise-contrastive estimation: tell each token's symbol from noise that a step's
+        tokens share, and its unit from noise of its group that a block of the group's
+        tokens share. Blocks have BLOCK places, the last of a group may have empty ones."""
+        order = np.argsort(self.top[targets], kind="stable")  # tokens of a group stand together
+        contexts, targets = contexts[order], targets[order]
+        top = self.top[targets]
         q = self.query(contexts)
-        real = np.einsum("ij,ij->i", q, self.outer[targets]) + self.bias[targets] - log_kn[targets]
-        fake = q @ self.outer[sampled].T + (self.bias - log_kn)[sampled]
-        d_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        d_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        d_q = d_real[:, None] * self.outer[targets] + d_fake @ self.outer[sampled]
+        outer, shift = self.outer, self.bias - np.log(self.noise).astype("f4")
+        sampled = self._draw(np.array([0]), np.array([self.tops]), NOISE, rng)[0]
+        own, noise = outer[top], outer[sampled]
+        d_real = -_sigmoid(np.float32(np.log(NOISE)) - np.einsum("ij,ij->i", q, own) - shift[top])
+        d_fake = _sigmoid(q @ noise.T + (shift[sampled] - np.float32(np.log(NOISE))))
+        own *= d_real[:, None]
+        d_q = d_fake @ noise
+        d_q += own
+        rows, moves, lifts = [top, sampled], [d_real[:, None] * q, d_fake.T @ q], [d_real, d_fake.sum(axis=0)]
+        inside = int(np.searchsorted(top, self.heads))
+        if inside < len(top):
+            unit, q_in, group = targets[inside:] + self.groups, q[inside:], top[inside:] - self.heads
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            length = np.diff(np.append(first, len(group)))
+            blocks = -(-length // BLOCK)
+            within = np.arange(len(group)) - np.repeat(first, length)
+            place = np.repeat(np.cumsum(blocks) - blocks, length) * BLOCK + within
+            of = np.repeat(group[first], blocks)
+            drawn = self._draw(self.starts[of], self.starts[of + 1], GROUP_NOISE, rng)
+            dealt, used = np.zeros((len(of) * BLOCK, WIDTH), dtype="f4"), np.zeros(len(of) * BLOCK, dtype="f4")
+            dealt[place], used[place] = q_in, 1
+            dealt, noise, own = dealt.reshape(len(of), BLOCK, WIDTH), outer[drawn], outer[unit]
+            d_real = -_sigmoid(np.float32(np.log(GROUP_NOISE)) - np.einsum("ij,ij->i", q_in, own) - shift[unit])
+            d_fake = _sigmoid(dealt @ noise.transpose(0, 2, 1) + (shift[drawn] - np.float32(np.log(GROUP_NOISE)))[:, None, :])
+            d_fake *= used.reshape(len(of), BLOCK, 1)
+            own *= d_real[:, None]
+            own += (d_fake @ noise).reshape(-1, WIDTH)[place]
+            d_q[inside:] += own
+            rows += [unit, drawn.reshape(-1)]
+            moves += [d_real[:, None] * q_in, (d_fake.transpose(0, 2, 1) @ dealt).reshape(-1, WIDTH)]
+            lifts += [d_real, d_fake.sum(axis=1).reshape(-1)]
         size = np.float32(1 / len(targets) ** 0.5)
-        for name, rows, grad in (
-            ("outer", np.concatenate([targets, sampled]), np.concatenate([d_real[:, None] * q, d_fake.T @ q])),
-            ("bias", np.concatenate([targets, sampled]), np.concatenate([d_real, d_fake.sum(axis=0)])),
-            ("inner", contexts.T.reshape(-1), np.concatenate([d_q * self.weight[i] for i in range(CONTEXT)])),
-        ):
-            order = np.argsort(rows, kind="stable")
-            at = rows[order]
-            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            self._move(name, at[starts], np.add.reduceat(grad[order], starts, axis=0) * size)
-        self._move("weight", slice(None), np.stack([(d_q * self.inner[contexts[:, i]]).sum(axis=0) for i in range(CONTEXT)]) * size)
+        at, grad = _sums_by_row(np.concatenate(rows), np.concatenate([np.concatenate(moves), np.concatenate(lifts)[:, None]], axis=1))
+        at_in, grad_in = _sums_by_row(contexts.T.reshape(-1), np.concatenate([d_q * self.weight[i] for i in range(CONTEXT)]))
+        for_weight = np.stack([(d_q * self.inner[contexts[:, i]]).sum(axis=0) for i in range(CONTEXT)])
+        self._move("outer", at, grad[:, :WIDTH] * size)
+        self._move("bias", at, grad[:, WIDTH] * size)
+        self._move("inner", at_in, grad_in * size)
+        self._move("weight", slice(None), for_weight * size)
+
+    def _log_z(self, q: np.ndarray, low: int, high: int) -> np.ndarray:
+        """The log of the sum over the rows [low, high), a block of queries at a time."""
+        out = np.empty(len(q), dtype="f4")
+        outer, bias = np.ascontiguousarray(self.outer[low:high].T), self.bias[low:high]
+        for at in range(0, len(q), 2048):
+            scores = q[at:at + 2048] @ outer
+            scores += bias
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            out[at:at + 2048] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+        return out
 
     def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities, normalised over all symbols: one row of the
-        product for each distinct context, a block at a time."""
+        """Natural log-probabilities of units, normalised over all: at the top one row
+        of the product for each distinct context, in the groups one for each token."""
         code = np.zeros(len(contexts), dtype=np.int64)
         for i in range(CONTEXT):
-            code = code * (SYMBOLS + 1) + contexts[:, i]
-        distinct, first, of = np.unique(code, return_index=True, return_inverse=True)
-        log_z = np.empty(len(distinct), dtype="f4")
-        for at in range(0, len(distinct), 4096):
-            scores = self.query(contexts[first[at:at + 4096]]) @ self.outer.T + self.bias
-            top = scores.max(axis=1)
-            log_z[at:at + 4096] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+            code = code * (self.units + 1) + contexts[:, i]
+        _, first, of = np.unique(code, return_index=True, return_inverse=True)
+        log_z = np.empty(len(first), dtype="f4")
+        for at in range(0, len(first), 1 << 16):
+            log_z[at:at + (1 << 16)] = self._log_z(self.query(contexts[first[at:at + (1 << 16)]]), 0, self.tops)
+        top = self.top[targets]
+        order = np.argsort(top, kind="stable")
         out = np.empty(len(targets), dtype="f8")
-        for at in range(0, len(targets), 1 << 16):
-            some = slice(at, at + (1 << 16))
-            out[some] = np.einsum("ij,ij->i", self.query(contexts[some]), self.outer[targets[some]]) + self.bias[targets[some]] - log_z[of[some]]
+        inside = int(np.searchsorted(top[order], self.heads))
+        ends = [*range(0, inside, 1 << 16), *(inside + np.searchsorted(top[order[inside:]], self.heads + np.arange(self.groups))).tolist(), len(order)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            for at in range(a, b, 1 << 16):
+                some = order[at:min(b, at + (1 << 16))]
+                q, row = self.query(contexts[some]), top[some]
+                got = np.einsum("ij,ij->i", q, self.outer[row]) + self.bias[row] - log_z[of[some]]
+                if row[0] >= self.heads:
+                    group, unit = int(row[0]) - self.heads, targets[some] + self.groups
+                    got += np.einsum("ij,ij->i", q, self.outer[unit]) + self.bias[unit] - self._log_z(q, int(self.starts[group]), int(self.starts[group + 1]))
+                out[some] = got
         return out
 
     def state(self) -> np.ndarray:
-        return np.concatenate([x.reshape(-1) for name in self.NAMES for x in (getattr(self, name), self.seen[name])]).astype("f8")
+        return np.concatenate([x.reshape(-1) for x in (*(getattr(self, n) for n in self.NAMES), *(self.seen[n] for n in self.NAMES))])
 
     def put(self, state: np.ndarray) -> None:
         at = 0
-        for name in self.NAMES:
-            for target in (getattr(self, name), self.seen[name]):
-                target[...] = state[at:at + target.size].reshape(target.shape)
-                at += target.size
+        for target in (*(getattr(self, n) for n in self.NAMES), *(self.seen[n] for n in self.NAMES)):
+            target[...] = state[at:at + target.size].reshape(target.shape)
+            at += target.size
 
 
-def contexts_of(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The CONTEXT symbols before each token, the last first; before a text stands SYMBOLS."""
-    place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out = np.full((len(symbols), CONTEXT), SYMBOLS, dtype=np.int64)
+def contexts_of(units: np.ndarray, lengths: np.ndarray, before: int) -> np.ndarray:
+    """The CONTEXT units before each token, the last first; ``before`` stands before a text."""
+    place = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.full((len(units), CONTEXT), before, dtype=np.int64)
     for i in range(CONTEXT):
         ok = np.flatnonzero(place > i)
-        out[ok, i] = symbols[ok - i - 1]
+        out[ok, i] = units[ok - i - 1]
     return out
 
 
-_PART = StructType([StructField("fold", IntegerType()), StructField("weight", DoubleType()), StructField("state", BinaryType())])
+_PART = StructType([StructField("fold", IntegerType()), StructField("tasks", LongType()), StructField("state", BinaryType())])
 _CODED = StructType([StructField("chunk", LongType()), StructField("payload", BinaryType())])
 
 
 def _train(coded: DataFrame, model: Model, turn: int) -> Model:
-    """One round: each task trains on the chunks of its turn from the same start, and
-    the models are averaged by tokens, in FOLDS partial sums."""
+    """One round: each task trains on the chunks of its turn from the same start. Each
+    number is averaged over the tasks by how far its gradients took it there, so a word
+    that few tasks meet keeps what these learned; sums are made in FOLDS parts."""
+    start = model.state()
+    half = len(start) // 2
+
     def learn(batches):
         task = TaskContext.get().partitionId()
-        rng, own, tokens = np.random.default_rng([turn, task]), Model(np.ones(SYMBOLS)), 0
-        own.noise = model.noise
-        own.put(model.state())
+        rng, own, met = np.random.default_rng([turn, task]), copy.deepcopy(model), False
         for batch in batches:
             for chunk, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (chunk + (chunk >> 32)) % ROUNDS != turn:
                     continue
                 body = chunks.load(payload)
-                symbols = body["symbols"].astype(np.int64)
+                units = body["units"].astype(np.int64)
                 use = np.flatnonzero(np.repeat(body["held"] == 0, body["lengths"]))
-                contexts = contexts_of(symbols, body["lengths"])
+                contexts = contexts_of(units, body["lengths"], own.units)
                 use = rng.permutation(use)
                 for at in range(0, len(use), STEP):
                     some = use[at:at + STEP]
-                    own.step(contexts[some], symbols[some], rng)
-                tokens += len(use)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([task % FOLDS], pa.int32()), pa.array([float(tokens)]), pa.array([own.state().tobytes()], pa.binary())],
-                                             ["fold", "weight", "state"])
+                    own.step(contexts[some], units[some], rng)
+                met = met or len(use) > 0
+        if met:
+            end = own.state()
+            moved = end[half:] - start[half:]
+            yield pa.RecordBatch.from_arrays([pa.array([task % FOLDS], pa.int32()), pa.array([1]),
+                                              pa.array([np.concatenate([moved * (end[:half] - start[:half]), moved]).tobytes()], pa.binary())], _PART.names)
 
     def add(batches):
-        sums, total, fold = None, 0.0, 0
+        sums, total, fold = None, 0, 0
         for batch in batches:
-            for f, weight, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(state, "f8") * weight
-                sums, total, fold = part if sums is None else sums + part, total + weight, f
+            for f, n, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(state, "f4").astype("f8")
+                sums, total, fold = part if sums is None else sums + part, total + n, f
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([total]), pa.array([sums.tobytes()], pa.binary())],
-                                             ["fold", "weight", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([total]), pa.array([sums.astype("f4").tobytes()], pa.binary())], _PART.names)
 
-    parts = coded.mapInArrow(learn, _PART).repartition(FOLDS, "fold").mapInArrow(add, _PART).collect()
-    if parts:
-        total = sum(p["weight"] for p in parts)
-        model.put(sum(np.frombuffer(bytes(p["state"]), "f8") for p in parts) / total)
+    whole = coded.mapInArrow(learn, _PART).repartition(FOLDS, "fold").mapInArrow(add, _PART).repartition(1).mapInArrow(add, _PART).first()
+    if whole:
+        sums = np.frombuffer(bytes(whole["state"]), "f4")
+        step, moved = sums[:half], sums[half:]
+        model.put(np.concatenate([start[:half] + np.divide(step, moved, out=np.zeros(half, "f4"), where=moved > 0), start[half:] + moved / whole["tasks"]]))
     return model
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
-
-    Tokens are words in lower case (A-Z) and one end for each document; a null
-    text is empty and has the end alone. The model sees symbols: the most frequent
-    words, and groups of words that begin alike. A word's probability is its
-    symbol's, normalised over all symbols, times its share in the symbol, where
-    words never seen have half a count. All tokens that may be learned from are
-    learned from, once, and counted. Rows that repeat an id each have a row."""
+def fit(docs: DataFrame) -> tuple[DataFrame, Model, Vocabulary, int, int]:
+    """The documents as chunks of units, the model, its vocabulary, and the tokens
+    and distinct words that it has learned from."""
     rows = written(chunks.store(docs, _chunk))
     words, bodies = rows.where(F.col("bucket") != chunks.BODY), rows.where(F.col("bucket") == chunks.BODY)
     dictionary = written(chunks.by_bucket(words, _dictionary))
-    tokens, distinct, heads, of_symbol, words_of = _totals(dictionary)
+    tokens, distinct, vocabulary = _vocabulary(dictionary)
 
     def look_up(group):
         count: dict[bytes, int] = {}
@@ -270,33 +396,38 @@ def score(docs: DataFrame) -> DataFrame:
                 count = dict(zip(part["words"], part["count"].tolist(), strict=True))
                 continue
             yield chunk, bucket, chunks.dump({"count": np.array([count[w] for w in part["words"]], dtype="<i8"),
-                                              "symbol": np.array([heads[w] if w in heads else tail(w) for w in part["words"]], dtype="<u2")})
+                                              "unit": np.array([vocabulary.unit(w) for w in part["words"]], dtype="<u4")})
+
+    shares = np.zeros(vocabulary.units, dtype=bool)
+    shares[vocabulary.shared] = True
 
     def code(chunk, body, values):
-        count, symbol = chunks.in_order(body, values, "count"), chunks.in_order(body, values, "symbol")
-        c = count[body["stream"]]
-        symbols = symbol[body["stream"]]
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        inner = np.where(symbols < len(heads), 0.0, np.log10((c + 0.5) / (of_symbol[symbols] + 0.5 * (words_of[symbols] + 1))))
-        ends = np.cumsum(body["lengths"])
-        first = ends - body["lengths"]
+        count, unit = chunks.in_order(body, values, "count"), chunks.in_order(body, values, "unit")
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
+        inner = np.where(shares[unit], np.log10((count + 0.5) / (vocabulary.counts[unit] + 0.5 * (vocabulary.words_of[unit] + 1))), 0.0)
+        stream = body["stream"]
+        first = np.cumsum(body["lengths"]) - body["lengths"]
         kept = {k: body[k] for k in ("doc_id", "null", "held", "lengths")}
-        kept |= {"symbols": symbols.astype("<u2"), "known": np.add.reduceat(c > 0, first, dtype="i8"), "base": np.add.reduceat(base, first),
-                 "inner": np.add.reduceat(inner, first)}
+        kept |= {"units": unit[stream].astype("<u4"), "known": np.add.reduceat((count > 0)[stream], first, dtype="i8"),
+                 "base": np.add.reduceat(base[stream], first), "inner": np.add.reduceat(inner[stream], first)}
         yield {"chunk": [chunk], "payload": [chunks.dump(kept)]}
 
     values = chunks.by_bucket(dictionary.union(words), look_up)
     coded = written(chunks.by_chunk(bodies, values, code, _CODED))
-    model = Model(of_symbol)
+    model = Model(vocabulary)
     for turn in range(ROUNDS):
         model = _train(coded, model, turn)
+    return coded, model, vocabulary, tokens, distinct
+
 
+def judged(coded: DataFrame, model: Model, tokens: int) -> DataFrame:
+    """The scores of documents that ``fit`` has coded."""
     def judge(batches):
         for batch in batches:
             for payload in batch.column(1).to_pylist():
                 body = chunks.load(payload)
-                symbols = body["symbols"].astype(np.int64)
-                logs = model.log_probs(contexts_of(symbols, body["lengths"]), symbols) / np.log(10)
+                units = body["units"].astype(np.int64)
+                logs = model.log_probs(contexts_of(units, body["lengths"], model.units), units) / np.log(10)
                 first = np.cumsum(body["lengths"]) - body["lengths"]
                 ids = [None if x else int(i) for i, x in zip(body["doc_id"], body["null"], strict=True)]
                 n = len(ids)
@@ -305,3 +436,17 @@ def score(docs: DataFrame) -> DataFrame:
                                                   pa.array(np.add.reduceat(logs, first) + body["inner"])], OUT.names)
 
     return coded.mapInArrow(judge, OUT)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+
+    Tokens are words in lower case (A-Z) and one end for each document; a null
+    text is empty and has the end alone. The model tells units apart: frequent words,
+    the more the larger the corpus, and for the rest of the words ranges of their order.
+    A word's probability is its unit's, normalised over all units, times its share in
+    a unit that words share, where words never seen have half a count. All tokens that
+    may be learned from are learned from, once, and counted. Rows that repeat an id
+    each have a row."""
+    coded, model, _, tokens, _ = fit(docs)
+    return judged(coded, model, tokens)

@@ -30,13 +30,104 @@ def test_base_scores_equal_brute_force_and_the_model_learns(spark):
     assert new and sum(r["score"] for r in new) > 0.8 * sum(r["base_score"] for r in new)
 
 
+def vocabulary(n):
+    return lm.Vocabulary([(f"w{i * 7919 % 100003:06d}".encode(), 1 + 100000 // (i + 1)) for i in range(n)])
+
+
+def test_every_word_has_a_unit_and_rows_are_dealt_evenly():
+    v = vocabulary(2000)
+    assert v.heads == lm.HEADS and v.groups == lm.GROUPS and v.units == 2000 + lm.GROUPS and len(set(v.number.values())) == 2000
+    assert not set(v.number.values()) & set(v.shared.tolist())
+    sizes = np.diff(v.starts)
+    assert sizes.max() - sizes.min() <= 1
+    for word in (b"", b"a", b"w0500005", b"zz", b"\xff"):
+        assert v.unit(word) in v.shared
+        assert sum(w <= word for w in v.bounds) == v.shared.tolist().index(v.unit(word))
+    many = vocabulary(20000)
+    assert many.groups > lm.GROUPS and many.units == 20000 + many.groups  # both levels grow
+    for few in (0, 1, lm.HEADS, lm.HEADS + 1):
+        v = vocabulary(few)
+        assert (v.groups, v.units) == (1, few + 1) and v.unit(b"other") == v.shared[0]
+
+
 def test_probabilities_sum_to_one():
-    model = lm.Model(np.arange(lm.SYMBOLS))
-    rng = np.random.default_rng(1)
-    model.step(rng.integers(0, lm.SYMBOLS, (500, lm.CONTEXT)), rng.integers(0, lm.SYMBOLS, 500), rng)
-    contexts = np.repeat(rng.integers(0, lm.SYMBOLS + 1, (5, lm.CONTEXT)), lm.SYMBOLS, axis=0)
-    p = np.exp(model.log_probs(contexts, np.tile(np.arange(lm.SYMBOLS), 5)))
-    assert np.allclose(p.reshape(5, -1).sum(axis=1), 1, atol=1e-4)
+    for n in (0, 50, 700):
+        v = vocabulary(n)
+        model = lm.Model(v)
+        rng = np.random.default_rng(1)
+        for _ in range(3):
+            model.step(rng.integers(0, v.units + 1, (500, lm.CONTEXT)), rng.integers(0, v.units, 500), rng)
+        contexts = np.repeat(rng.integers(0, v.units + 1, (5, lm.CONTEXT)), v.units, axis=0)
+        p = np.exp(model.log_probs(contexts, np.tile(np.arange(v.units), 5)))
+        assert np.allclose(p.reshape(5, -1).sum(axis=1), 1, atol=1e-4)
+
+
+def test_a_large_step_equals_its_plain_form():
+    """The gradients of blocks and sums by row, against a loop over tokens, from the same noise."""
+    v = vocabulary(400)
+    rng = np.random.default_rng(5)
+    contexts, targets = rng.integers(0, v.units + 1, (300, lm.CONTEXT)), rng.integers(0, v.units, 300)
+    drawn = []
+    fast = lm.Model(v)
+    draw = fast._draw
+    fast._draw = lambda *a: drawn.append(draw(*a)) or drawn[-1]
+    plain = lm.Model(v)
+    fast.step(contexts, targets, np.random.default_rng(6))
+    order = np.argsort(plain.top[targets], kind="stable")
+    outer, inner = np.zeros_like(plain.outer, "f8"), np.zeros_like(plain.inner, "f8")
+    seen_in_group, block = Counter(), -1
+    for i in order:
+        t, c = targets[i], contexts[i]
+        q = plain.query(c[None])[0].astype("f8")
+        tests = [(plain.top[t], drawn[0][0], lm.NOISE)]
+        if t >= v.heads:
+            block += seen_in_group[plain.top[t]] % lm.BLOCK == 0
+            seen_in_group[plain.top[t]] += 1
+            tests.append((t + v.groups, drawn[1][block], lm.GROUP_NOISE))
+        d_q = 0
+        for row, noise, k in tests:
+            for r, real in [(row, 1), *((r, 0) for r in noise)]:
+                x = q @ plain.outer[r] + plain.bias[r] - math.log(k * plain.noise[r])
+                d = 1 / (1 + math.exp(-x)) - real
+                outer[r] += d * q
+                d_q = d_q + d * plain.outer[r]
+        for at in range(lm.CONTEXT):
+            inner[c[at]] += d_q * plain.weight[at]
+    for name, grad in (("outer", outer), ("inner", inner)):
+        g = grad / math.sqrt(300)
+        want = getattr(plain, name) - lm.RATE * g / np.sqrt(1e-2 + g * g)
+        assert np.allclose(getattr(fast, name), want, atol=1e-4)
+
+
+def test_scores_equal_a_plain_recomputation(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEADS", 10)  # so that this small corpus has groups
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(10 ** 6)}" for _ in range(600)]
+    texts = [" ".join(rnd.choices(words, weights=[1 / (i + 1) for i in range(600)], k=rnd.randint(0, 60))) for _ in range(150)]
+    coded, model, v, tokens, _ = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert v.groups > 1 and v.words_of.sum() > 0
+    count = Counter(w for i, t in enumerate(texts) if not lm.held_out(i) for w in [*t.encode().split(), lm.END])
+    assert tokens == sum(count.values())
+    units = {w: v.unit(w) for w in {w for t in texts for w in [*t.encode().split(), lm.END]}}
+    shared = {u: [count[w] for w in count if units[w] == u] for u in v.shared.tolist()}
+    got = {r["doc_id"]: r["score"] for r in lm.judged(coded, model, tokens).collect()}
+
+    def log_p(row, low, high, q):
+        scores = [float(q @ model.outer[r] + model.bias[r]) for r in range(low, high)]
+        return scores[row - low] - math.log(sum(map(math.exp, scores)))
+
+    for i in range(0, 150, 10):
+        stream, want = [units[w] for w in [*texts[i].encode().split(), lm.END]], 0.0
+        for at, (word, unit) in enumerate(zip([*texts[i].encode().split(), lm.END], stream)):
+            before = [stream[at - k - 1] if at > k else model.units for k in range(lm.CONTEXT)]
+            q = sum(model.inner[c].astype("f8") * model.weight[k] for k, c in enumerate(before))
+            want += log_p(int(model.top[unit]), 0, model.tops, q)
+            if unit >= v.heads:
+                group = int(model.top[unit]) - v.heads
+                want += log_p(unit + v.groups, int(model.starts[group]), int(model.starts[group + 1]), q)
+            if unit in shared:
+                want += math.log((count[word] + 0.5) / (sum(shared[unit]) + 0.5 * (len(shared[unit]) + 1)))
+        assert abs(got[i] - want / math.log(10)) < 1e-3 * max(1, len(stream))
 
 
 def test_empty_table(spark):
