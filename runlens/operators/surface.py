@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ IGNORE_SUFFIXES = (
     ".log", ".pid", ".bin", ".exe", ".wasm")
 IGNORE_NAMES = (".skeleton_manifest",)
 SNIFF_BYTES = 8192
+#: What tells whether a file has changed since it was measured.
+SIGNATURE = ("cell", "rel", "mtime", "size")
 RIG_OWNED = (".git", ".gitignore")
 CACHE_DIRS = ("__pycache__", ".pytest_cache", ".ruff_cache", ".mypy_cache")
 SUPERVISOR_EVENTS = ("ALERT",)
@@ -91,11 +94,45 @@ def per_file(files: DataFrame, skeleton: DataFrame) -> DataFrame:
     lang = language(F.col("rel"))
     rows = countable(files).select("cell", "rel", lang.alias("language"), line_count(text).alias("lines"),
                                    source_lines(text, lang).alias("sloc"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"))
+    return _authored(rows, skeleton)
+
+
+def _authored(rows: DataFrame, skeleton: DataFrame) -> DataFrame:
     seeded = skeleton.select("cell", "rel", F.col("sha").alias("_sha"))
     return (rows.join(seeded, ["cell", "rel"], "left")
             .withColumn("authored", ~F.coalesce(F.col("sha") == F.col("_sha"), F.lit(False))).drop("_sha"))
 
 
+def measured(files: DataFrame) -> DataFrame:
+    """What a cache keeps of each file: its columns but the content, ``skip`` where the
+    file does not count, and else what is measured, null where it is skipped."""
+    text, lang = F.col("content").cast("string"), language(F.col("rel"))
+    skip = ~path_counts(F.col("rel")) | is_binary(F.col("content"))
+    rest = [c for c in files.columns if c != "content"]
+    unless = lambda c: F.when(~F.col("skip"), c)
+    return files.withColumn("skip", skip).select(
+        *rest, "skip", unless(lang).alias("language"), unless(line_count(text)).alias("lines"),
+        unless(source_lines(text, lang)).alias("sloc"), unless(F.sha2(F.col("content").cast("binary"), 256)).alias("sha"))
+
+
+def refreshed(now: DataFrame, cached: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cache of ``measured`` brought up to date. ``now`` lists the files (SIGNATURE
+    and what ``read`` needs), ``read`` adds the content to rows of it. A file with the time and
+    size that ``cached`` holds keeps its row and is not read; others are read and
+    measured; files that are gone, or that go before they are read, have no row."""
+    names = [*SIGNATURE, "skip", "language", "lines", "sloc", "sha"]
+    held = cached.select(*SIGNATURE, F.struct(*names[len(SIGNATURE):]).alias("_held"))
+    found = now.join(held, list(SIGNATURE), "left")  # both parts start from its shuffles
+    kept = found.where("_held IS NOT NULL").select(*SIGNATURE, "_held.*")
+    return kept.unionByName(measured(read(found.where("_held IS NULL").drop("_held"))).select(*names))
+
+
+def with_authored(cached: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """``per_file`` out of a cache; the ``skeleton`` may change without the files."""
+    rows = cached.where(~F.col("skip")).select("cell", "rel", "language", "lines", "sloc", "sha")
+    return _authored(rows, skeleton)
+
+
 def author_surface(rows: DataFrame) -> DataFrame:
     """Per cell: files, languages, lines and source lines, authored and in
     all. Languages are reduced first, so no list grows with the files."""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from runlens.operators import ranks
+from runlens.operators import ranks, surface
 from runlens.operators.scan import chunk_of
 from runlens.functions.names import shaped
 from runlens.operators.traces import second
@@ -104,13 +110,60 @@ def transitions(spark: SparkSession, path: str) -> DataFrame:
     return ranks.positions(kept, ["log", "ts", "line_no"], "seq").withColumn("chunk", chunk_of("seq"))
 
 
+def _artifacts(spark: SparkSession, root: str, **options: str) -> DataFrame:
+    """Where paths run through an ignored folder the scan's list of files leaves them out."""
+    parts = "|".join(re.escape(p) for p in surface.IGNORE_PARTS)
+    return (spark.read.format("binaryFile").options(recursiveFileLookup="true", **options).load(f"{root}/*/artifacts")
+            .where(~F.col("_metadata.file_path").rlike(f"/artifacts/(.*/)?({parts})/")))
+
+
+def _artifact_columns() -> list[Column]:
+    return [F.regexp_extract("path", r"/([^/]+)/artifacts/", 1).alias("cell"), F.regexp_extract("path", r"/artifacts/(.*)$", 1).alias("rel"),
+            F.col("modificationTime").alias("mtime"), F.col("length").alias("size")]
+
+
 def artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """Files below each cell's ``artifacts`` folder. The path comes first, so
-    a filter on it keeps unwanted content unread."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/*/artifacts")
-    rel = F.regexp_extract("path", r"/artifacts/(.*)$", 1)
-    cell = F.regexp_extract("path", r"/([^/]+)/artifacts/", 1)
-    return f.select(cell.alias("cell"), rel.alias("rel"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content")
+    """Files below each cell's ``artifacts`` folder with their content, ignored folders left unread."""
+    return _artifacts(spark, root).select(*_artifact_columns(), "content")
+
+
+def artifact_signatures(spark: SparkSession, root: str) -> DataFrame:
+    """``cell, rel, mtime, size, path`` of the files whose path counts. No content is
+    read; a file that goes meanwhile has no row."""
+    found = _artifacts(spark, root, ignoreMissingFiles="true").select(*_artifact_columns(), "path")
+    return found.where(surface.path_counts(F.col("rel")))
+
+
+def contents(named: DataFrame) -> DataFrame:
+    """``named`` (with ``path``) and the content of just these files, read where their
+    rows are, one at a time. Files that are gone give no row."""
+    schema = StructType([*named.schema.fields, StructField("content", BinaryType())])
+    arrow = to_arrow_schema(schema)
+    at = named.columns.index("path")
+
+    def read(batches):
+        stores = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                url = re.match(r"(?:(\w[\w+.-]*):)?(?://([^/]*))?(/.*)$", batch.column(at)[i].as_py(), re.DOTALL)
+                scheme, host, path = url[1] or "file", url[2] or "", url[3]
+                if (scheme, host) not in stores:
+                    stores[scheme, host] = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+                store, base = stores[scheme, host]
+                try:
+                    with store.open_input_stream(base.rstrip("/") + path) as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                row = batch.slice(i, 1).columns
+                yield pa.RecordBatch.from_arrays([*row, pa.array([content], pa.binary())], schema=arrow)
+
+    return named.mapInArrow(read, schema)
+
+
+def refreshed_surface(spark: SparkSession, root: str, cached: DataFrame) -> DataFrame:
+    """``surface.refreshed`` over the files below ``root``; what it gives is the next run's ``cached``."""
+    return surface.refreshed(artifact_signatures(spark, root), cached, contents)
 
 
 def manifests(spark: SparkSession, root: str, name: str = "skeleton_manifest") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -5,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens.operators import ledger as L
-from runlens.operators import traces
+from runlens.operators import surface, traces
 from runlens.plans import fleet, scoring, validation
-from runlens.sources import dimensions, files, sinks
+from runlens.sources import dimensions, files, sinks, versioned
 
 
 def write(path, text):
@@ -193,3 +194,81 @@ def test_a_lifecycle_log_goes_straight_into_the_replay(spark, tmp_path):
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.applied, r.attempts) for r in got.where("cid = 'c7'").collect()) == [(False, 1)] + [(True, 1)] * 5
     assert lifecycle.from_last_epoch(log).count() == 240
+
+
+def test_only_new_and_changed_files_are_opened(spark, tmp_path):
+    a = tmp_path / "c1" / "artifacts"
+    for rel, text in (("keep.py", "x = 1\n"), ("grow.py", "a\n"), ("touch me.py", "b\n"), ("gone.py", "g\n"), ("bin.dat", b"\0\1"), ("node_modules/x.js", "n\n"),
+                      ("app/node_modules/y.js", "n\n"), ("my_node_modules/z.py", "z\n"), ("pic.png", b"\0")):
+        write(a / rel, text)
+    all_files = files.artifacts(spark, str(tmp_path))
+    (a / "node_modules" / "x.js").unlink()
+    (a / "app" / "node_modules" / "y.js").unlink()  # a scan that opened them would fail
+    assert {r.rel for r in all_files.select("rel", "content").collect()} == {"keep.py", "grow.py", "touch me.py", "gone.py", "bin.dat", "my_node_modules/z.py", "pic.png"}
+
+    empty = surface.measured(all_files.limit(0))
+    first = files.refreshed_surface(spark, str(tmp_path), empty)
+    cache = spark.createDataFrame(first.collect(), first.schema)
+    assert {(r.rel, r.skip, r.lines) for r in cache.collect()} == {
+        ("keep.py", False, 1), ("grow.py", False, 1), ("touch me.py", False, 1), ("gone.py", False, 1), ("bin.dat", True, None), ("my_node_modules/z.py", False, 1)}
+
+    write(a / "grow.py", "a\nb\n")
+    os.utime(a / "touch me.py", (1, 1))
+    (a / "gone.py").unlink()
+    write(a / "new.py", "n\n")
+    opened = []
+    listed = files.artifact_signatures(spark, str(tmp_path))
+    now = spark.createDataFrame(listed.collect(), listed.schema)
+    for rel in ("keep.py", "bin.dat"):
+        (a / rel).unlink()  # gone behind the listing: rows that stay were not read
+    second = surface.refreshed(now, cache, lambda named: opened.extend(r.rel for r in named.collect()) or files.contents(named))
+    assert {(r.rel, r.lines) for r in second.collect()} == {("keep.py", 1), ("grow.py", 2), ("touch me.py", 1), ("bin.dat", None), ("my_node_modules/z.py", 1), ("new.py", 1)}
+    assert set(opened) == {"grow.py", "touch me.py", "new.py"}
+
+    skeleton = spark.createDataFrame([("c1", "keep.py", hashlib.sha256(b"x = 1\n").hexdigest())], "cell string, rel string, sha string")
+    assert {r.rel: r.authored for r in surface.with_authored(cache, skeleton).collect()}["keep.py"] is False
+
+
+def test_versions_of_a_table_survive_lost_writes_and_read_only_their_buckets(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "scores")
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id long, v int")
+    held = lambda: {r.id: r.v for r in versioned.read(spark, out).collect()}
+    with pytest.raises(FileNotFoundError):
+        versioned.read(spark, out)
+    versioned.merge(rows([], 0), out, ["id"], buckets=8)
+    assert held() == {}
+    versioned.merge(rows(range(100), 1), out, ["id"], buckets=8)
+    versioned.merge(rows([3, 3, 200], 2), out, ["id"], buckets=8)
+    assert held() == {i: 2 if i in (3, 200) else 1 for i in [*range(100), 200]}
+    versioned.merge(rows([4, 300], 3), out, ["id"], buckets=8, replace=False)
+    assert held()[4] == 1 and held()[300] == 3
+
+    was = held()
+    with monkeypatch.context() as m:
+        m.setattr(versioned, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            versioned.merge(rows(range(50), 9), out, ["id"], buckets=8)
+    (tmp_path / "scores" / "commits" / "000000000099").write_text('{"buck')  # a commit that was cut off
+    assert held() == was
+    versioned.merge(rows([5], 4), out, ["id"], buckets=8)  # goes on above it
+    assert held() == was | {5: 4}
+    with pytest.raises(ValueError, match="8 buckets"):
+        versioned.merge(rows([1], 1), out, ["id"], buckets=16)
+
+    mine = {r[0] for r in rows([5], 0).select(F.pmod(F.xxhash64("id"), F.lit(8))).collect()}
+    for file in versioned.read(spark, out, [b for b in range(8) if b not in mine]).inputFiles():
+        os.remove(file.removeprefix("file://"))
+    versioned.merge(rows([5], 6), out, ["id"], buckets=8)
+    assert {r.v for r in versioned.read(spark, out, mine).where("id = 5").collect()} == {6}
+    assert versioned.clean(spark, out) > 0 and versioned.clean(spark, out) == 0
+    assert {r.v for r in versioned.read(spark, out, mine).where("id = 5").collect()} == {6}
+
+
+def test_a_stream_merges_its_batches_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, batch = str(tmp_path / "out"), versioned.merged_batches(str(tmp_path / "out"), ["id"], buckets=4)
+    spark.createDataFrame([(i % 30, 1) for i in range(60)], "id long, v int").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, v int").parquet(str(tmp_path / "in"))
+    for check in ("a", "b"):  # the second query has lost its progress and tells all rows again
+        stream.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / check)).start().awaitTermination()
+    assert sorted(r.id for r in versioned.read(spark, out).collect()) == list(range(30))
