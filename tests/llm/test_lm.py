@@ -132,3 +132,13 @@ def test_scores_equal_a_plain_recomputation(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_very_long_text_and_rows_without_text(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(0, long, "a"), (2, None, "b"), (3, "w1\x0bW2", "c"), (3, "w1\x0bW2", "c")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string, score string")).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == [(0, 400_001), (2, 1), (3, 3), (3, 3)]
+    assert all(math.isfinite(r["score"]) for r in got)
+    twice = [r for r in got if r["doc_id"] == 3]
+    assert twice[0] == twice[1]

@@ -62,3 +62,33 @@ def test_without_labels_the_base_rule_decides(spark):
     assert trees is None
     assert sorted(map(tuple, quality.judge(docs, trees).select("row.doc_id", "kept").collect())) == [(1, False), (2, True)]
     assert quality.judge(docs.limit(0), None).collect() == []
+
+
+def test_scores_equal_a_walk_from_node_to_node():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((700, len(quality.FEATURES))), 2)  # ties with thresholds
+    trees = quality.grow(x, (x[:, 0] + x[:, 1] > 1).astype(float))
+    assert len(trees.leaf) == quality.TREES
+    got = trees.score(x)
+    for i in range(0, 700, 50):
+        total = trees.start
+        for t in range(quality.TREES):
+            node = 0
+            while node < 2 ** quality.DEPTH - 1:
+                node = 2 * node + (2 if x[i, trees.feature[t, node]] > trees.threshold[t, node] else 1)
+            total += trees.leaf[t, node - (2 ** quality.DEPTH - 1)]
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_a_very_long_text_is_counted_whole(spark):
+    lines = [f"w{i} é w{i} #" for i in range(120_000)]
+    text = "\n".join(lines + lines[:5] + ["x"])
+    got = quality.judge(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string"), None)
+    by_id = {r["doc_id"]: tuple(r)[1:] for r in got.select("row.doc_id", *quality.COUNTS).collect()}
+    words = [w for line in lines + lines[:5] for w in line.split(" ")] + ["x"]
+    seen, twice = {}, set()
+    for i, w in enumerate(zip(words, words[1:], words[2:])):
+        if w in seen:
+            twice |= {i, i + 1, i + 2, seen[w], seen[w] + 1, seen[w] + 2}
+        seen.setdefault(w, i)
+    assert by_id[1] == (len(words), sum(map(len, words)), 120_005, 5, len(twice)) and by_id[2][0] == 1
