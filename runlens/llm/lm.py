@@ -389,14 +389,16 @@ def fit(docs: DataFrame) -> tuple[DataFrame, Model, Vocabulary, int, int]:
     tokens, distinct, vocabulary = _vocabulary(dictionary)
 
     def look_up(group):
-        count: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
+        count = unit = np.zeros(0, dtype="<i8")
         for chunk, bucket, payload in group:
             part = chunks.load(payload)
             if chunk == chunks.DICTIONARY:
-                count = dict(zip(part["words"], part["count"].tolist(), strict=True))
+                number = {w: i for i, w in enumerate(part["words"])}
+                count, unit = part["count"], np.array([vocabulary.unit(w) for w in part["words"]], dtype="<u4")
                 continue
-            yield chunk, bucket, chunks.dump({"count": np.array([count[w] for w in part["words"]], dtype="<i8"),
-                                              "unit": np.array([vocabulary.unit(w) for w in part["words"]], dtype="<u4")})
+            at = np.array([number[w] for w in part["words"]], dtype=np.int64)
+            yield chunk, bucket, chunks.dump({"count": count[at].astype("<i8"), "unit": unit[at].astype("<u4")})
 
     shares = np.zeros(vocabulary.units, dtype=bool)
     shares[vocabulary.shared] = True
