@@ -102,6 +102,43 @@ def test_host_summary_equals_every_sample_of_every_window(spark):
             assert x.top_other is None
 
 
+def test_the_fleet_is_one_machine(spark, tmp_path):
+    """Owners far apart by number meet in a window."""
+    from runlens.catalog import hosts
+    at = lambda s: f"2024-01-01 {s // 3600:02}:{s % 3600 // 60:02}:00"
+    rows = [(1, 1, at(0), "view", 1.0, 10), (2, 1, at(7200), "view", 1.0, 3), (3, 700, at(3600), "purchase", 50.0, 1), (4, 41, at(3600), "purchase", 9.0, 2), (5, 41, at(18000), "purchase", 9.0, 2),
+            (6, 700, at(3600), "error", 60.0, 1)]
+    e = spark.createDataFrame([(i, u, t, k, v, f'{{"k": {n}}}') for i, u, t, k, v, n in rows], "event_id long, user_id long, ts string, event_type string, value double, props string")
+    e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    r = hosts.host_load_summary(spark, str(tmp_path)).collect()
+    assert [(x.cell, x.samples, x.own_cpu_median, x.other_cells_cpu_median, x.top_other) for x in r] == [("1", 3, 1.0, 0.0, "error:700=20")]
+
+
+def test_most_used_over_tiles(monkeypatch):
+    """Sums of spans in tiles of any width, with ties and sums of zero, against plain dicts."""
+    import random
+    import numpy as np
+    r = random.Random(5)
+    for tile in (1, 60, 1 << 22):
+        monkeypatch.setattr(samples, "TILE", tile)
+        used = {(float(r.randrange(30)), str(r.randrange(9)), r.choice("ab")): float(r.choice([0, 0, 0, 1, 2])) for _ in range(60)}
+        spans = {(float(a), float(a + r.randrange(6))) for a in (r.randrange(30) for _ in range(90))}
+        ts, owner, role = zip(*used, strict=True)
+        lo, hi = np.array(sorted(spans)).T
+        got = samples._two_most({"ts": np.array(ts), "owner": owner, "role": role, "cpu": np.array(list(used.values()))}, {"lo": lo, "hi": hi})
+        told = {}
+        for a, b, *x in zip(got["lo"].tolist(), got["hi"].tolist(), got["cpu"].tolist(), got["role"], got["owner"], strict=True):
+            told.setdefault((a, b), []).append(tuple(x))
+        for lo, hi in spans:
+            sums = {}
+            for (t, o, role), v in used.items():
+                if lo <= t <= hi:
+                    sums[role, o] = sums.get((role, o), 0.0) + v
+            ranked = sorted(((v, *k) for k, v in sums.items()), reverse=True)
+            want = ranked[:1] + [x for x in ranked if x[2] != ranked[0][2]][:1]
+            assert sorted(told.get((lo, hi), []), reverse=True) == want
+
+
 def test_a_window_meets_spans_of_time_not_samples(spark):
     """Twice the samples of a host make no more rows before the aggregate, and every join has a key."""
     df = spark.range(4000).selectExpr("id % 2 AS host", "cast(id div 2 AS double) AS ts", "'container' AS scope", "concat('b', id % 3) AS name", "cast(id % 3 AS string) AS owner",
