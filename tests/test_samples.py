@@ -103,7 +103,7 @@ def test_host_summary_equals_every_sample_of_every_window(spark):
 
 
 def test_the_fleet_is_one_machine(spark, tmp_path):
-    """Owners far apart by number meet in a window."""
+    """Owners far apart by number meet in a window, and one of ten clocks ticks for all runs with its last digit."""
     from runlens.catalog import hosts
     at = lambda s: f"2024-01-01 {s // 3600:02}:{s % 3600 // 60:02}:00"
     rows = [(1, 1, at(0), "view", 1.0, 10), (2, 1, at(7200), "view", 1.0, 3), (3, 700, at(3600), "purchase", 50.0, 1), (4, 41, at(3600), "purchase", 9.0, 2), (5, 41, at(18000), "purchase", 9.0, 2),
@@ -112,6 +112,9 @@ def test_the_fleet_is_one_machine(spark, tmp_path):
     e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     r = hosts.host_load_summary(spark, str(tmp_path)).collect()
     assert [(x.cell, x.samples, x.own_cpu_median, x.other_cells_cpu_median, x.top_other) for x in r] == [("1", 3, 1.0, 0.0, "error:700=20")]
+    ages = {x.seq: (x.host, x.age) for x in hosts.awake_ages(spark, str(tmp_path)).collect()}
+    # between 1:00 and 5:00 the clock of run 41's host, which is run 1's too, stood for two hours; run 4's age ends at 3:00
+    assert ages[4] == (1, 0.0) and ages[5] == (1, 7200.0) and ages[3] == (0, 3600.0)
 
 
 def test_most_used_over_tiles(monkeypatch):
