@@ -10,17 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 Step = Callable[[dict, dict], list[tuple]]
+#: Rows of a block that waits, and the types of whole numbers.
+BLOCK, WHOLE = 4096, ("tinyint", "smallint", "int", "bigint")
 
 
 class InEventOrder(StatefulProcessor):
     """``step(own, row)`` over the rows of a key in event order, whatever the order of
     arrival, and what ``ring(own)`` tells when the event time ``due(own)`` passes.
 
-    Rows wait in a map of short spans of event time, one entry each. A timer at the
-    end of a span takes its entry out, when the watermark has passed it, and nothing
-    else of the waiting rows is touched. What ``step`` remembers is one row of typed
-    columns (``own``, a DDL). A key without rows for ``forget_ms`` of event time leaves
-    the state."""
+    Rows wait in a list of blocks, one for each arrival at most (more, if it is large).
+    A key has one timer for them, at the end of the short span of event time that its
+    earliest waiting row lies in. When that passes, all rows that the watermark has
+    passed are told in one go and what still waits is written back: a row is read again
+    once per span until its time comes, however far the watermark jumps. What ``step``
+    remembers is one row of typed columns (``own``, a DDL). A key without rows for
+    ``forget_ms`` of event time leaves the state."""
 
     def __init__(self, keys: list[str], columns: list[tuple[str, str]], order: str, own: str, step: Step, out: list[str], span_ms: int, forget_ms: int,
                  due: Callable[[dict], float | None] | None, ring: Callable[[dict], list[tuple]] | None) -> None:
@@ -31,57 +35,63 @@ class InEventOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "span long", "at array<long>, " + ", ".join(f"`{n}` array<{t}>" for n, t in self.columns))
+        self.waiting = handle.getListState("waiting", "at array<long>, " + ", ".join(f"`{n}` array<{t}>" for n, t in self.columns))
         self.own = handle.getValueState("own", self.own_schema)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        spans: dict[int, list[list]] = {}
+        columns: list[list] = [[] for _ in range(len(self.columns) + 1)]
         for pdf in rows:
-            at = [t.value // 1_000_000 for t in pdf["event_at"]]
-            for row in zip(at, *(pdf[n].tolist() for n, _ in self.columns), strict=True):
-                columns = spans.setdefault(row[0] // self.span, [[] for _ in row])
-                for values, x in zip(columns, row, strict=True):
-                    values.append(None if x is None or x != x else x)
-        for span, columns in spans.items():
-            if self.waiting.containsKey((span,)):
-                columns = [[*old, *new] for old, new in zip(self.waiting.getValue((span,)), columns, strict=True)]
-            self.waiting.updateValue((span,), tuple(columns))
-            self.handle.registerTimer((span + 1) * self.span)
-        yield self._table(key, [])
+            columns[0] += (pdf["event_at"].to_numpy().astype("datetime64[ns]").astype("int64") // 1_000_000).tolist()
+            for values, (n, t) in zip(columns[1:], self.columns, strict=True):
+                whole = t in WHOLE and pdf[n].dtype.kind == "f"  # whole numbers among nulls come as doubles
+                values += [None if x is None or x != x else int(x) if whole else x for x in pdf[n].tolist()]
+        self._wait(columns)
+        return iter(())
+
+    def _wait(self, columns: list[list], instead: bool = False) -> None:
+        """Rows wait, beside those that do or instead of them."""
+        n = len(columns[0])
+        blocks = [tuple(values[at:at + BLOCK] for values in columns) for at in range(0, n, BLOCK)]
+        if instead:
+            self.waiting.put(blocks) if blocks else self.waiting.clear()
+        elif blocks:
+            self.waiting.appendList(blocks)
+        if n:
+            self.handle.registerTimer((min(columns[0]) // self.span + 1) * self.span)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, mark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
-        held = self.own.get() if self.own.exists() else [None] * len(self.own_names)
-        own = {n: v for n, v in zip(self.own_names, held, strict=True) if v is not None}
+        mark = timerValues.getCurrentWatermarkInMs()
+        own = {n: v for n, v in zip(self.own_names, self.own.get() or (), strict=False) if v is not None}
         told: list[tuple] = []
-        span = (now // self.span - 1,)
-        if now % self.span == 0 and self.waiting.containsKey(span):
-            at, *values = self.waiting.getValue(span)
-            self.waiting.removeKey(span)
-            rows = [dict(zip(["_at", *(n for n, _ in self.columns)], r, strict=True)) for r in zip(at, *values, strict=True)]
-            for row in sorted(rows, key=lambda r: (r["_at"], r[self.order])):
-                self._alarm(own, row["_at"], told)
-                own["seen_ms"] = row["_at"]
-                told += self.step(own, row)
-        if self.due:
-            self._alarm(own, now, told)
-            if (t := self.due(own)) is not None and own.get("due_ms") != (at := max(int(t * 1000) + 1, now + 1)):
-                if at <= mark:
-                    # rows before it may still wait for their own timers, which come next
-                    if not any(s * self.span < at for (s,) in self.waiting.keys()):
-                        self._alarm(own, at, told)
-                else:
-                    own["due_ms"] = at
-                    self.handle.registerTimer(at)
-        last = own.get("seen_ms", now) + self.forget
-        if last <= now:
+        rows = [row for block in self.waiting.get() for row in zip(*block, strict=True)]
+        ready = [row for row in rows if row[0] < mark]
+        if not ready and not own:
+            return iter(())
+        if ready:
+            left = [row for row in rows if row[0] >= mark]
+            self._wait([list(c) for c in zip(*left, strict=True)] or [[]], instead=True)
+            names = [n for n, _ in self.columns]
+            at = 1 + names.index(self.order)
+            for row in sorted(ready, key=lambda r: (r[0], r[at] is not None, r[at])):
+                if (end := own.get("seen_ms", row[0]) + self.forget) <= row[0]:
+                    self._alarm(own, end, told)
+                    own = {}
+                self._alarm(own, row[0], told)
+                own["seen_ms"] = row[0]
+                told += self.step(own, dict(zip(names, row[1:], strict=True)))
+        last = own.get("seen_ms", mark) + self.forget
+        self._alarm(own, min(mark, last), told)
+        if last <= mark:
             self.own.clear()
         else:
-            if own.get("forget_ms", now) <= now:
+            if self.due and (t := self.due(own)) is not None and own.get("due_ms") != (due := int(t * 1000) + 1):
+                own["due_ms"] = due
+                self.handle.registerTimer(due)
+            if own.get("forget_ms", mark) <= mark:
                 own["forget_ms"] = last
                 self.handle.registerTimer(last)
             self.own.update(tuple(own.get(n) for n in self.own_names))
-        yield self._table(key, told)
+        return iter([self._table(key, told)] if told else ())
 
     def _alarm(self, own: dict, until_ms: int, told: list[tuple]) -> None:
         if self.due and (t := self.due(own)) is not None and t * 1000 < until_ms:

@@ -134,3 +134,51 @@ def test_a_closed_input_tells_what_still_waits(spark, tmp_path):
     assert open_end.count() == 0
     source = run.Bounded(df, spark.readStream.schema(df.schema).parquet(path), "time")
     assert [r.seq for r in run.to_end(live.two_sweeps(source.frame, late="1 hour"), source=source).collect()] == [2]
+
+
+def test_rows_of_a_key_wait_under_one_timer():
+    """However many spans of time an arrival covers: one timer, and one pass when the watermark has gone by."""
+    import pandas as pd
+    from types import SimpleNamespace
+    from runlens.streaming.ordered import InEventOrder
+
+    class Kept:
+        def __init__(self):
+            self.it, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.it)
+
+        def appendList(self, more):
+            self.calls += 1
+            self.it = self.it + more
+
+        def put(self, now):
+            self.calls += 1
+            self.it = now
+
+        def clear(self):
+            self.calls += 1
+            self.it = []
+
+    class Value(Kept):
+        def get(self):
+            return self.it or None
+
+        def update(self, now):
+            self.it = now
+
+    waiting, value, timers = Kept(), Value(), []
+    handle = SimpleNamespace(getListState=lambda *a: waiting, getValueState=lambda *a: value, registerTimer=timers.append)
+    job = InEventOrder(["run"], [("seq", "bigint"), ("x", "bigint")], "seq", "n long", lambda own, r: own.update(n=own.get("n", 0) + 1) or [(r["seq"], r["x"], own["n"])],
+                       ["seq", "x", "n"], 1000, 10 ** 9, None, None)
+    job.init(handle)
+    seq = list(range(200))[::-1]
+    pdf = pd.DataFrame({"event_at": pd.to_datetime([s * 5000 + 1 for s in seq], unit="ms"), "seq": seq, "x": [None if s == 7 else s for s in seq]})
+    assert list(job.handleInputRows(("r",), iter([pdf]), None)) == [] and timers == [1000] and waiting.calls == 1
+    at = lambda ms: (SimpleNamespace(getCurrentWatermarkInMs=lambda: ms), SimpleNamespace(getExpiryTimeInMs=lambda: 1000))
+    first = [tuple(r) for t in job.handleExpiredTimer(("r",), *at(500_000)) for r in t.itertuples(index=False)]
+    assert [r[1] for r in first] == list(range(100)) and [r[3] for r in first] == list(range(1, 101)) and 501_000 in timers and waiting.calls == 3
+    rest = [tuple(r) for t in job.handleExpiredTimer(("r",), *at(2_000_000)) for r in t.itertuples(index=False)]
+    assert [(r[1], r[3]) for r in rest] == [(i, i + 1) for i in range(100, 200)] and waiting.it == []
