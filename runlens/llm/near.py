@@ -1,6 +1,8 @@
 """Near dedup: groups of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from minima of hashes (MinHash): pairs that agree on one of BANDS keys
+Candidates come first from SimHash: fingerprints of the same shingles that differ in few
+bits, found by pigeonring chains as in ``simhash``. Most pairs at the bound differ in more
+bits, and come from minima of hashes (MinHash): pairs that agree on one of BANDS keys
 of ROWS minima meet, and must then differ in at most TOLERANCE of BITS one-bit minima.
 Of pairs at the bound, 3 in a million meet in no band and about as many fail the bits;
 above it fewer. What passes is verified on the exact sets of shingles."""
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from runlens.llm import components
+from runlens.llm import components, simhash
 from runlens.llm.shared import by_batch, raw_texts, whole, written
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
@@ -78,25 +80,26 @@ def _signed(x: int) -> int:
 
 
 _PRINTS = StructType([StructField("doc_id", LongType()), StructField("text_hash", LongType()), StructField("words", BinaryType()), StructField("n", LongType()),
-                      StructField("keys", ArrayType(LongType())), StructField("bits", ArrayType(LongType())), StructField("odd", ArrayType(LongType()))])
+                      StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("bits", ArrayType(LongType())), StructField("odd", ArrayType(LongType()))])
 _PAIR = StructType([StructField("u", LongType()), StructField("v", LongType())])
 _SHINGLE = StructType([StructField("node", LongType()), StructField("shingle", LongType())])
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, words, n, keys, bits, odd`` for each row: ``words`` is a 128-bit hash
-    of the words in order, ``n`` the number of distinct shingles."""
+    """``doc_id, text_hash, words, n, fp, keys, bits, odd`` for each row: ``words`` is a 128-bit hash
+    of the words in order, ``n`` the number of distinct shingles, ``fp`` their SimHash."""
     def make(batch):
-        words, n, keys, bits, odd = [], [], [], [], []
+        words, n, fp, keys, bits, odd = [], [], [], [], [], []
         for text in raw_texts(batch):
             words.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
             found = shingles(text)
             least = minima(found)
             n.append(len(found))
+            fp.append(simhash.fingerprint(text, WORDS))
             keys.append([_signed(xxhash.xxh3_64_intdigest(least[i * ROWS:(i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)] if len(found) else [])
             bits.append(_bits(least).tolist())
             odd.append(parity(found).tolist())
-        yield {"doc_id": batch.column(0), "text_hash": batch.column(1), "words": words, "n": n, "keys": keys, "bits": bits, "odd": odd}
+        yield {"doc_id": batch.column(0), "text_hash": batch.column(1), "words": words, "n": n, "fp": fp, "keys": keys, "bits": bits, "odd": odd}
 
     body = whole(F.col("text"))
     return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text")), make, _PRINTS)
@@ -180,12 +183,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _simhashed(nodes: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of nodes by SimHash: one node stands for each fingerprint; it meets the
+    nodes of its own and those that stand for fingerprints within simhash.TOLERANCE bits."""
+    some = nodes.where("n > 0").select("node", "fp")
+    heads = written(some.groupBy("fp").agg(F.min("node").alias("head")))
+    near = simhash.links(heads.select("fp"))
+    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}"))
+    linked = near.join(of("u"), "u").join(of("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    return linked.union(some.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")))
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, text_hash, root``; documents of one root are
     linked by pairs whose similarity reaches the bound.
 
     Only distinct texts are paired, in three steps, each on what the one before left
-    in several groups. First every text is held against some of its keys' heads. Then
+    in several groups. First every text is held against those that SimHash links it with
+    and some of its keys' heads. Then
     shingles that only one of the remaining texts has are counted: they bound every
     similarity, so texts with many of them drop out, and each key's head is now the
     text with the smallest share of them. Last, texts outside a key's largest group
@@ -194,7 +209,7 @@ def groups(docs: DataFrame) -> DataFrame:
     that each differ in their own way from one text, but are no copies of each other,
     make no pairs. Both bounds lose no link."""
     rows = written(prints(docs))
-    nodes = written(rows.groupBy("words").agg(*[F.any_value(c).alias(c) for c in ("text_hash", "n", "keys", "bits", "odd")])
+    nodes = written(rows.groupBy("words").agg(*[F.any_value(c).alias(c) for c in ("text_hash", "n", "fp", "keys", "bits", "odd")])
                     .withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("head")).where("times > 1").drop("times")
@@ -204,7 +219,7 @@ def groups(docs: DataFrame) -> DataFrame:
     bits = nodes.select("node", "bits")
     stars = (stars.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("a")), "u")
              .join(bits.select(F.col("node").alias("v"), F.col("bits").alias("b")), "v").where(_close("a", "b")).select("u", "v"))
-    found = _verified(stars, nodes, docs)
+    found = _verified(_ordered(stars.union(_simhashed(nodes))), nodes, docs)
 
     def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
         return _open(members.drop("root").join(components.roots(links), "node", "left").withColumn("root", F.coalesce("root", "node")))

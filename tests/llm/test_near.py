@@ -122,3 +122,20 @@ def test_clashing_columns_and_a_very_long_text(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, root string, node long").withColumnRenamed("root", "keys")
     got = near.unique(docs)
     assert got.columns == ["doc_id", "text", "keys", "node"] and sorted(r[0] for r in got.collect()) == [1, 3, 4]
+
+
+def test_simhash_chains_make_candidates(spark):
+    """Texts whose fingerprints differ in three bits at most are connected by candidate pairs, and no other."""
+    from pyspark.sql import functions as F
+    from runlens.llm import components, simhash
+    rnd = random.Random(8)
+    texts = copies(rnd, 12)
+    base = [f"w{rnd.randrange(900)}" for _ in range(800)]
+    texts += [" ".join(base[:i] + ["new"] + base[i:]) for i in range(0, 800, 60)]
+    nodes = near.prints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("node", F.col("doc_id"))
+    pairs = {(min(r), max(r)) for r in near._simhashed(nodes.where("n > 0")).collect()}
+    prints = {i: simhash.fingerprint((t or "").encode(), near.WORDS) for i, t in enumerate(texts) if (t or "").split()}
+    close = [(a, b) for a, b in combinations(prints, 2) if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= simhash.TOLERANCE]
+    assert pairs <= set(close) and any(prints[a] != prints[b] for a, b in close)
+    root = lambda some: {tuple(r) for r in components.roots(spark.createDataFrame(sorted(some), "u long, v long")).collect()}
+    assert root(pairs) == root(close)
