@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import faults, text
 from runlens.operators import ledger as L
+from runlens.session import cut_lineage
 
 JUDGED = ("green", "charged")
 NOT_CHARGED = ("refunded", "interrupted")
@@ -113,7 +114,9 @@ Rule = Callable[[dict[str, DataFrame]], DataFrame]
 def findings(evidence: dict[str, DataFrame], budget: int | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
     """Every finding as (cell, severity, rule, line_no, text). ``evidence`` has
     ledger, and where there are any logs, runs and footprints. ``rules`` map
-    the evidence to more findings of that shape."""
+    the evidence to more findings of that shape. The ledger and the runs, which
+    one check after another reads, are put together once."""
+    evidence = {name: cut_lineage(df) if name in ("ledger", "runs") else df for name, df in evidence.items()}
     led = evidence["ledger"]
     parts: list[tuple[str, str | None, DataFrame]] = [
         ("1-rules", "taint", rule_findings(L.rule_breaks(led, budget))),

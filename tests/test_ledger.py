@@ -65,3 +65,28 @@ def test_ledger_source_drops_comments_and_short_lines(spark):
     df = spark.createDataFrame([("c", "# header\n2026-01-01T00:00:00Z\tSTART\tc\tattempt=1\nshort\tline\r\nbad\tITER\tgreen\n")], "cell string, text string")
     got = [(r.line_no, r.event, r.fields, r.ts is None) for r in lines.ledger_lines(lines.numbered(df, "text", "cell"), "cell").collect()]
     assert got == [(2, "START", ["c", "attempt=1"], False), (4, "ITER", ["green"], True)]
+
+
+def test_findings_put_the_ledger_and_the_runs_together_once(spark):
+    from pyspark.sql import functions as F
+
+    from runlens.plans import validation
+
+    made = {name: spark.sparkContext.accumulator(0) for name in ("ledger", "runs")}
+
+    def counted(df, name, column):
+        count = made[name]
+
+        def seen(value):
+            count.add(1)
+            return value
+
+        return df.withColumn(column, F.udf(seen, "string").asNondeterministic()(column))
+
+    led = frame(spark, {"a": text(("START", "a", "attempt=1"), ("ALERT", "a", "attempt=1", "INTEGRITY x"), ("ITER", "fail", "attempt=1 stage=e2e"), ("PAUSED", "a", "x"))})
+    runs = spark.createDataFrame([("a", 1, "green", "load"), ("a", 2, "refunded", "load"), ("a", 3, "refunded", "load")], "cell string, attempt long, end_state string, stage string")
+    paused = lambda evidence: evidence["ledger"].where("event = 'PAUSED'").select("cell", F.lit("warn").alias("severity"), F.lit("9").alias("rule"), "line_no", F.lit("paused").alias("text"))
+    found = validation.findings({"ledger": counted(led, "ledger", "event"), "runs": counted(runs, "runs", "end_state")}, budget=3, rules=(paused,)).collect()
+    assert sorted((r.rule, r.severity, r.line_no) for r in found) == [
+        ("2-integrity", "taint", 2), ("7-refunds", "warn", 0), ("8-archive", "warn", 1), ("9", "warn", 4)]
+    assert {name: count.value for name, count in made.items()} == {"ledger": 4, "runs": 3}
