@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import bisect
 import copy
+import itertools
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ STEP, NOISE, GROUP_NOISE, ROUNDS = 2048, 64, 8, 2
 #: Tokens of a group that share their noise.
 BLOCK = 32
 RATE = 0.15
+#: Scores that are normalised at once.
+SCORES = 1 << 16
 #: Partial sums of the model, added up once more before the driver sees it.
 FOLDS = 16
 #: Steps of the histogram of counts: this many for a doubling.
@@ -79,10 +83,12 @@ class Vocabulary:
 
 def _chunk(ids: list, texts: list[bytes]) -> tuple[dict, list[bytes], dict]:
     """The token stream of each document as numbers of the chunk's dictionary."""
-    number: dict[bytes, int] = {}
+    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
     streams = []
     for text in texts:
-        streams.append(np.array([number.setdefault(w, len(number)) for w in [*text.lower().split(), END]], dtype="<u4"))
+        words = text.lower().split()
+        words.append(END)
+        streams.append(np.fromiter(map(number.__getitem__, words), dtype="<u4", count=len(words)))
     held = np.array([held_out(i) for i in ids], dtype=bool)
     lengths = np.array([len(s) for s in streams], dtype="<i8")
     stream = np.concatenate(streams)
@@ -171,15 +177,23 @@ def _vocabulary(dictionary: DataFrame) -> tuple[int, int, Vocabulary]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In the place of ``x``."""
     with np.errstate(over="ignore"):
-        return 1 / (1 + np.exp(-x))
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _order(numbers: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on; short ones sort faster."""
+    return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
 def _sums_by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")  # short numbers sort faster
+    order = _order(rows)
     at = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(grad[order], starts, axis=0)
+    return at[starts], np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
 
 
 class Model:
@@ -207,11 +221,18 @@ class Model:
         self.inner = rng.normal(0, 0.1, (u + 1, WIDTH)).astype("f4")  # the last stands before a text
         self.outer = rng.normal(0, 0.1, (u + g, WIDTH)).astype("f4")
         self.weight = np.ones((CONTEXT, WIDTH), dtype="f4")
-        self.bias = np.log(self.noise).astype("f4")
+        self.log_noise = np.log(self.noise).astype("f4")
+        self.bias = self.log_noise.copy()
         self.seen = {name: np.full(getattr(self, name).shape, 1e-2, dtype="f4") for name in self.NAMES}
 
     def query(self, contexts: np.ndarray) -> np.ndarray:
-        return sum(self.inner[contexts[:, i]] * self.weight[i] for i in range(CONTEXT))
+        return self._sum([self.inner.take(contexts[:, i], axis=0) for i in range(CONTEXT)])
+
+    def _sum(self, inner: list[np.ndarray]) -> np.ndarray:
+        q = inner[0] * self.weight[0]
+        for i in range(1, CONTEXT):
+            q += inner[i] * self.weight[i]
+        return q
 
     def _draw(self, low: np.ndarray, high: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
         """``n`` rows of noise in each range of rows [low, high)."""
@@ -220,21 +241,25 @@ class Model:
         return np.clip(np.searchsorted(self.summed, at, side="right"), low[:, None], high[:, None] - 1)
 
     def _move(self, name: str, rows, grad: np.ndarray) -> None:
-        seen = self.seen[name]
-        seen[rows] += grad * grad
-        getattr(self, name)[rows] -= RATE * grad / np.sqrt(seen[rows])
+        """``grad`` is used up."""
+        seen, step = self.seen[name][rows], RATE * grad
+        seen += np.multiply(grad, grad, out=grad)
+        self.seen[name][rows] = seen
+        step /= np.sqrt(seen)
+        getattr(self, name)[rows] -= step
 
     def step(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation: tell each token's symbol from noise that a step's
         tokens share, and its unit from noise of its group that a block of the group's
         tokens share. Blocks have BLOCK places, the last of a group may have empty ones."""
-        order = np.argsort(self.top[targets], kind="stable")  # tokens of a group stand together
-        contexts, targets = contexts[order], targets[order]
-        top = self.top[targets]
-        q = self.query(contexts)
-        outer, shift = self.outer, self.bias - np.log(self.noise).astype("f4")
+        top = self.top.take(targets)
+        order = _order(top)  # tokens of a group stand together
+        contexts, targets, top = contexts.take(order, axis=0), targets.take(order), top.take(order)
+        inner = [self.inner.take(contexts[:, i], axis=0) for i in range(CONTEXT)]
+        q = self._sum(inner)
+        outer, shift = self.outer, self.bias - self.log_noise
         sampled = self._draw(np.array([0]), np.array([self.tops]), NOISE, rng)[0]
-        own, noise = outer[top], outer[sampled]
+        own, noise = outer.take(top, axis=0), outer.take(sampled, axis=0)
         d_real = -_sigmoid(np.float32(np.log(NOISE)) - np.einsum("ij,ij->i", q, own) - shift[top])
         d_fake = _sigmoid(q @ noise.T + (shift[sampled] - np.float32(np.log(NOISE))))
         own *= d_real[:, None]
@@ -253,12 +278,12 @@ class Model:
             drawn = self._draw(self.starts[of], self.starts[of + 1], GROUP_NOISE, rng)
             dealt, used = np.zeros((len(of) * BLOCK, WIDTH), dtype="f4"), np.zeros(len(of) * BLOCK, dtype="f4")
             dealt[place], used[place] = q_in, 1
-            dealt, noise, own = dealt.reshape(len(of), BLOCK, WIDTH), outer[drawn], outer[unit]
+            dealt, noise, own = dealt.reshape(len(of), BLOCK, WIDTH), outer.take(drawn, axis=0), outer.take(unit, axis=0)
             d_real = -_sigmoid(np.float32(np.log(GROUP_NOISE)) - np.einsum("ij,ij->i", q_in, own) - shift[unit])
             d_fake = _sigmoid(dealt @ noise.transpose(0, 2, 1) + (shift[drawn] - np.float32(np.log(GROUP_NOISE)))[:, None, :])
             d_fake *= used.reshape(len(of), BLOCK, 1)
             own *= d_real[:, None]
-            own += (d_fake @ noise).reshape(-1, WIDTH)[place]
+            own += (d_fake @ noise).reshape(-1, WIDTH).take(place, axis=0)
             d_q[inside:] += own
             rows += [unit, drawn.reshape(-1)]
             moves += [d_real[:, None] * q_in, (d_fake.transpose(0, 2, 1) @ dealt).reshape(-1, WIDTH)]
@@ -266,7 +291,7 @@ class Model:
         size = np.float32(1 / len(targets) ** 0.5)
         at, grad = _sums_by_row(np.concatenate(rows), np.concatenate([np.concatenate(moves), np.concatenate(lifts)[:, None]], axis=1))
         at_in, grad_in = _sums_by_row(contexts.T.reshape(-1), np.concatenate([d_q * self.weight[i] for i in range(CONTEXT)]))
-        for_weight = np.stack([(d_q * self.inner[contexts[:, i]]).sum(axis=0) for i in range(CONTEXT)])
+        for_weight = np.stack([(d_q * inner[i]).sum(axis=0) for i in range(CONTEXT)])
         self._move("outer", at, grad[:, :WIDTH] * size)
         self._move("bias", at, grad[:, WIDTH] * size)
         self._move("inner", at_in, grad_in * size)
@@ -276,12 +301,15 @@ class Model:
         """The log of the sum over the rows [low, high), a block of queries at a time."""
         out = np.empty(len(q), dtype="f4")
         outer, bias = np.ascontiguousarray(self.outer[low:high].T), self.bias[low:high]
+        rows = max(64, SCORES // (high - low))  # few enough to stay in a core's cache
         for at in range(0, len(q), 2048):
-            scores = q[at:at + 2048] @ outer
-            scores += bias
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            out[at:at + 2048] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+            product = q[at:at + 2048] @ outer
+            for part in range(0, len(product), rows):
+                scores = product[part:part + rows]
+                scores += bias
+                top = scores.max(axis=1)
+                scores -= top[:, None]
+                out[at + part:at + part + len(scores)] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -293,20 +321,21 @@ class Model:
         _, first, of = np.unique(code, return_index=True, return_inverse=True)
         log_z = np.empty(len(first), dtype="f4")
         for at in range(0, len(first), 1 << 16):
-            log_z[at:at + (1 << 16)] = self._log_z(self.query(contexts[first[at:at + (1 << 16)]]), 0, self.tops)
-        top = self.top[targets]
-        order = np.argsort(top, kind="stable")
+            log_z[at:at + (1 << 16)] = self._log_z(self.query(contexts.take(first[at:at + (1 << 16)], axis=0)), 0, self.tops)
+        top = self.top.take(targets)
+        order = _order(top)
         out = np.empty(len(targets), dtype="f8")
-        inside = int(np.searchsorted(top[order], self.heads))
-        ends = [*range(0, inside, 1 << 16), *(inside + np.searchsorted(top[order[inside:]], self.heads + np.arange(self.groups))).tolist(), len(order)]
+        ranked = top.take(order)
+        inside = int(np.searchsorted(ranked, self.heads))
+        ends = [*range(0, inside, 1 << 16), *(inside + np.searchsorted(ranked[inside:], self.heads + np.arange(self.groups))).tolist(), len(order)]
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             for at in range(a, b, 1 << 16):
                 some = order[at:min(b, at + (1 << 16))]
-                q, row = self.query(contexts[some]), top[some]
-                got = np.einsum("ij,ij->i", q, self.outer[row]) + self.bias[row] - log_z[of[some]]
+                q, row = self.query(contexts.take(some, axis=0)), ranked[at:at + len(some)]
+                got = np.einsum("ij,ij->i", q, self.outer.take(row, axis=0)) + self.bias[row] - log_z[of[some]]
                 if row[0] >= self.heads:
                     group, unit = int(row[0]) - self.heads, targets[some] + self.groups
-                    got += np.einsum("ij,ij->i", q, self.outer[unit]) + self.bias[unit] - self._log_z(q, int(self.starts[group]), int(self.starts[group + 1]))
+                    got += np.einsum("ij,ij->i", q, self.outer.take(unit, axis=0)) + self.bias[unit] - self._log_z(q, int(self.starts[group]), int(self.starts[group + 1]))
                 out[some] = got
         return out
 
@@ -355,7 +384,7 @@ def _train(coded: DataFrame, model: Model, turn: int) -> Model:
                 use = rng.permutation(use)
                 for at in range(0, len(use), STEP):
                     some = use[at:at + STEP]
-                    own.step(contexts[some], units[some], rng)
+                    own.step(contexts.take(some, axis=0), units.take(some), rng)
                 met = met or len(use) > 0
         if met:
             end = own.state()

@@ -142,3 +142,31 @@ def test_a_very_long_text_and_rows_without_text(spark):
     assert all(math.isfinite(r["score"]) for r in got)
     twice = [r for r in got if r["doc_id"] == 3]
     assert twice[0] == twice[1]
+
+
+def test_a_step_moves_each_number_by_its_gradient_and_leaves_its_tokens_alone():
+    v = vocabulary(400)
+    rng = np.random.default_rng(5)
+    contexts, targets = rng.integers(0, v.units + 1, (300, lm.CONTEXT)), rng.integers(0, v.units, 300)
+    before, model = lm.Model(v), lm.Model(v)
+    given = contexts.copy(), targets.copy()
+    model.step(contexts, targets, rng)
+    assert (contexts == given[0]).all() and (targets == given[1]).all()
+    for name in lm.Model.NAMES:
+        squares = model.seen[name].astype("f8") - 1e-2
+        assert squares.max() > 0 and squares.min() > -1e-7
+        moved = np.abs(getattr(model, name) - getattr(before, name))
+        assert np.allclose(moved, lm.RATE * np.sqrt(np.maximum(squares, 0) / model.seen[name]), atol=1e-3)
+
+
+def test_normalising_in_small_blocks_equals_one_block(monkeypatch):
+    model = lm.Model(vocabulary(400))
+    rng = np.random.default_rng(4)
+    q = rng.normal(0, 2, (1000, lm.WIDTH)).astype("f4")
+    plain = q.astype("f8") @ model.outer[:model.tops].T + model.bias[:model.tops]
+    want = np.log(np.exp(plain - plain.max(axis=1)[:, None]).sum(axis=1)) + plain.max(axis=1)
+    for scores in (1, 1 << 16, 1 << 30):
+        monkeypatch.setattr(lm, "SCORES", scores)
+        assert np.allclose(model._log_z(q, 0, model.tops), want, atol=1e-4)
+    for numbers in ([], [3, 1, 3, 0], [70000, 1, 70000, 2]):
+        assert lm._order(np.array(numbers, dtype=np.int64)).tolist() == sorted(range(len(numbers)), key=lambda i: numbers[i])
