@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import bisect
 import copy
-import itertools
 import math
 import zlib
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +33,8 @@ BLOCK = 32
 RATE = 0.15
 #: Scores that are normalised at once.
 SCORES = 1 << 16
+#: Tokens that are looked up at once in scoring, few enough to stay in a core's cache.
+TAKEN = 1 << 12
 #: Partial sums of the model, added up once more before the driver sees it.
 FOLDS = 16
 #: Steps of the histogram of counts: this many for a doubling.
@@ -83,19 +84,27 @@ class Vocabulary:
 
 def _chunk(ids: list, texts: list[bytes]) -> tuple[dict, list[bytes], dict]:
     """The token stream of each document as numbers of the chunk's dictionary."""
-    number: dict[bytes, int] = defaultdict(itertools.count().__next__)
-    streams = []
-    for text in texts:
-        words = text.lower().split()
+    lower = pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+    split = pc.ascii_split_whitespace(lower)  # white space at a text's ends leaves an empty piece there
+    pieces = split.values.dictionary_encode()
+    number, words = pieces.indices.to_numpy(), pieces.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    if b"" in words:
+        end = words.index(b"")
+        words[end] = END
+    else:
+        end = len(words)
         words.append(END)
-        streams.append(np.fromiter(map(number.__getitem__, words), dtype="<u4", count=len(words)))
+    told = number != end
+    before = np.concatenate([[0], np.cumsum(told)])[split.offsets.to_numpy()]
+    lengths = (np.diff(before) + 1).astype("<i8")
+    inside = np.ones(int(lengths.sum()), dtype=bool)
+    inside[np.cumsum(lengths) - 1] = False
+    stream = np.full(len(inside), end, dtype="<u4")
+    stream[inside] = number[told]
     held = np.array([held_out(i) for i in ids], dtype=bool)
-    lengths = np.array([len(s) for s in streams], dtype="<i8")
-    stream = np.concatenate(streams)
-    order = np.argsort(-np.bincount(stream, minlength=len(number)), kind="stable")  # frequent words get low numbers
+    order = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # frequent words get low numbers
     rank = np.empty(len(order), dtype="<u4")
     rank[order] = np.arange(len(order))
-    words = list(number)
     stream = rank[stream]
     learned = np.bincount(stream[np.repeat(~held, lengths)], minlength=len(words)).astype("<i8")
     body = {"doc_id": np.array([i or 0 for i in ids], dtype="<i8"), "null": np.array([i is None for i in ids], dtype="u1"),
@@ -176,10 +185,10 @@ def _vocabulary(dictionary: DataFrame) -> tuple[int, int, Vocabulary]:
     return tokens, distinct, vocabulary
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In the place of ``x``."""
+def _sigmoid_of_negative(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) in the place of ``x``."""
     with np.errstate(over="ignore"):
-        np.exp(np.negative(x, out=x), out=x)
+        np.exp(x, out=x)
     x += 1
     return np.divide(1, x, out=x)
 
@@ -189,11 +198,24 @@ def _order(numbers: np.ndarray) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
 
 
-def _sums_by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sums_by_row(rows: np.ndarray, *grads: np.ndarray) -> list[np.ndarray]:
+    """The distinct rows, in any order, and each gradient's sums. Most rows are met once
+    or twice; these are added all at once, the others one after another."""
     order = _order(rows)
-    at = rows[order]
+    at = rows.take(order)
     starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[starts], np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+    length = np.diff(np.append(starts, len(at)))
+    one, two, more = starts[length == 1], starts[length == 2], length > 2
+    some, ends = order[np.repeat(more, length)], np.cumsum(length[more])
+    out = [at.take(np.concatenate([one, two, starts[more]]))]
+    for grad in grads:
+        total = np.empty((len(starts), *grad.shape[1:]), dtype=grad.dtype)
+        total[:len(one)] = grad.take(order.take(one), axis=0)
+        np.add(grad.take(order.take(two), axis=0), grad.take(order.take(two + 1), axis=0), out=total[len(one):len(one) + len(two)])
+        if len(ends):
+            np.add.reduceat(grad.take(some, axis=0), ends - length[more], axis=0, out=total[len(one) + len(two):])
+        out.append(total)
+    return out
 
 
 class Model:
@@ -242,11 +264,13 @@ class Model:
 
     def _move(self, name: str, rows, grad: np.ndarray) -> None:
         """``grad`` is used up."""
-        seen, step = self.seen[name][rows], RATE * grad
-        seen += np.multiply(grad, grad, out=grad)
-        self.seen[name][rows] = seen
-        step /= np.sqrt(seen)
-        getattr(self, name)[rows] -= step
+        all_seen, number = self.seen[name], getattr(self, name)
+        step = RATE * grad
+        seen = np.multiply(grad, grad, out=grad)
+        seen += all_seen.take(rows, axis=0)
+        all_seen[rows] = seen
+        step /= np.sqrt(seen, out=seen)
+        number[rows] = np.subtract(number.take(rows, axis=0), step, out=step)
 
     def step(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
         """Noise-contrastive estimation: tell each token's symbol from noise that a step's
@@ -255,19 +279,22 @@ class Model:
         top = self.top.take(targets)
         order = _order(top)  # tokens of a group stand together
         contexts, targets, top = contexts.take(order, axis=0), targets.take(order), top.take(order)
+        n = len(targets)
         inner = [self.inner.take(contexts[:, i], axis=0) for i in range(CONTEXT)]
         q = self._sum(inner)
         outer, shift = self.outer, self.bias - self.log_noise
         sampled = self._draw(np.array([0]), np.array([self.tops]), NOISE, rng)[0]
         own, noise = outer.take(top, axis=0), outer.take(sampled, axis=0)
-        d_real = -_sigmoid(np.float32(np.log(NOISE)) - np.einsum("ij,ij->i", q, own) - shift[top])
-        d_fake = _sigmoid(q @ noise.T + (shift[sampled] - np.float32(np.log(NOISE))))
+        d_real = -_sigmoid_of_negative(np.einsum("ij,ij->i", q, own) - np.float32(np.log(NOISE)) + shift.take(top))
+        d_fake = q @ -noise.T
+        d_fake += np.float32(np.log(NOISE)) - shift.take(sampled)
+        d_fake = _sigmoid_of_negative(d_fake)
         own *= d_real[:, None]
         d_q = d_fake @ noise
         d_q += own
-        rows, moves, lifts = [top, sampled], [d_real[:, None] * q, d_fake.T @ q], [d_real, d_fake.sum(axis=0)]
         inside = int(np.searchsorted(top, self.heads))
-        if inside < len(top):
+        rows, lifts, moves = [top, sampled], [d_real, d_fake.sum(axis=0)], [np.multiply(d_real[:, None], q, out=own), d_fake.T @ q]
+        if inside < n:
             unit, q_in, group = targets[inside:] + self.groups, q[inside:], top[inside:] - self.heads
             first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             length = np.diff(np.append(first, len(group)))
@@ -279,23 +306,28 @@ class Model:
             dealt, used = np.zeros((len(of) * BLOCK, WIDTH), dtype="f4"), np.zeros(len(of) * BLOCK, dtype="f4")
             dealt[place], used[place] = q_in, 1
             dealt, noise, own = dealt.reshape(len(of), BLOCK, WIDTH), outer.take(drawn, axis=0), outer.take(unit, axis=0)
-            d_real = -_sigmoid(np.float32(np.log(GROUP_NOISE)) - np.einsum("ij,ij->i", q_in, own) - shift[unit])
-            d_fake = _sigmoid(dealt @ noise.transpose(0, 2, 1) + (shift[drawn] - np.float32(np.log(GROUP_NOISE)))[:, None, :])
+            d_real = -_sigmoid_of_negative(np.einsum("ij,ij->i", q_in, own) - np.float32(np.log(GROUP_NOISE)) + shift.take(unit))
+            d_fake = dealt @ -noise.transpose(0, 2, 1)
+            d_fake += (np.float32(np.log(GROUP_NOISE)) - shift.take(drawn))[:, None, :]
+            d_fake = _sigmoid_of_negative(d_fake)
             d_fake *= used.reshape(len(of), BLOCK, 1)
             own *= d_real[:, None]
             own += (d_fake @ noise).reshape(-1, WIDTH).take(place, axis=0)
             d_q[inside:] += own
             rows += [unit, drawn.reshape(-1)]
-            moves += [d_real[:, None] * q_in, (d_fake.transpose(0, 2, 1) @ dealt).reshape(-1, WIDTH)]
+            moves += [np.multiply(d_real[:, None], q_in, out=own), (d_fake.transpose(0, 2, 1) @ dealt).reshape(-1, WIDTH)]
             lifts += [d_real, d_fake.sum(axis=1).reshape(-1)]
-        size = np.float32(1 / len(targets) ** 0.5)
-        at, grad = _sums_by_row(np.concatenate(rows), np.concatenate([np.concatenate(moves), np.concatenate(lifts)[:, None]], axis=1))
-        at_in, grad_in = _sums_by_row(contexts.T.reshape(-1), np.concatenate([d_q * self.weight[i] for i in range(CONTEXT)]))
-        for_weight = np.stack([(d_q * inner[i]).sum(axis=0) for i in range(CONTEXT)])
-        self._move("outer", at, grad[:, :WIDTH] * size)
-        self._move("bias", at, grad[:, WIDTH] * size)
-        self._move("inner", at_in, grad_in * size)
-        self._move("weight", slice(None), for_weight * size)
+        at, move, lift = _sums_by_row(np.concatenate(rows), np.concatenate(moves), np.concatenate(lifts))
+        for_inner = np.empty((CONTEXT, n, WIDTH), dtype="f4")
+        for i in range(CONTEXT):
+            np.multiply(d_q, self.weight[i], out=for_inner[i])
+        at_in, move_in = _sums_by_row(contexts.T.reshape(-1), for_inner.reshape(-1, WIDTH))
+        for_weight = np.stack([np.multiply(d_q, inner[i], out=inner[i]).sum(axis=0) for i in range(CONTEXT)])
+        size = np.float32(1 / n ** 0.5)
+        self._move("outer", at, np.multiply(move, size, out=move))
+        self._move("bias", at, np.multiply(lift, size, out=lift))
+        self._move("inner", at_in, np.multiply(move_in, size, out=move_in))
+        self._move("weight", np.arange(CONTEXT), for_weight * size)
 
     def _log_z(self, q: np.ndarray, low: int, high: int) -> np.ndarray:
         """The log of the sum over the rows [low, high), a block of queries at a time."""
@@ -315,27 +347,40 @@ class Model:
     def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probabilities of units, normalised over all: at the top one row
         of the product for each distinct context, in the groups one for each token."""
+        weighted = [self.inner * self.weight[i] for i in range(CONTEXT)]
+
+        def query(some: np.ndarray) -> np.ndarray:
+            at = contexts.take(some, axis=0)
+            q = weighted[0].take(at[:, 0], axis=0)
+            for i in range(1, CONTEXT):
+                q += weighted[i].take(at[:, i], axis=0)
+            return q
+
         code = np.zeros(len(contexts), dtype=np.int64)
         for i in range(CONTEXT):
             code = code * (self.units + 1) + contexts[:, i]
-        _, first, of = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(code)
+        ranked = code.take(order)
+        new = np.concatenate([np.ones(len(code[:1]), dtype=bool), ranked[1:] != ranked[:-1]])
+        first, of = order[new], np.empty(len(code), dtype=np.int64)
+        of[order] = np.cumsum(new) - 1
         log_z = np.empty(len(first), dtype="f4")
-        for at in range(0, len(first), 1 << 16):
-            log_z[at:at + (1 << 16)] = self._log_z(self.query(contexts.take(first[at:at + (1 << 16)], axis=0)), 0, self.tops)
+        for at in range(0, len(first), TAKEN):
+            log_z[at:at + TAKEN] = self._log_z(query(first[at:at + TAKEN]), 0, self.tops)
         top = self.top.take(targets)
         order = _order(top)
         out = np.empty(len(targets), dtype="f8")
         ranked = top.take(order)
         inside = int(np.searchsorted(ranked, self.heads))
-        ends = [*range(0, inside, 1 << 16), *(inside + np.searchsorted(ranked[inside:], self.heads + np.arange(self.groups))).tolist(), len(order)]
+        ends = [0, *(inside + np.searchsorted(ranked[inside:], self.heads + np.arange(self.groups))).tolist(), len(order)]
         for a, b in zip(ends[:-1], ends[1:], strict=True):
-            for at in range(a, b, 1 << 16):
-                some = order[at:min(b, at + (1 << 16))]
-                q, row = self.query(contexts.take(some, axis=0)), ranked[at:at + len(some)]
-                got = np.einsum("ij,ij->i", q, self.outer.take(row, axis=0)) + self.bias[row] - log_z[of[some]]
+            for at in range(a, b, TAKEN):
+                some = order[at:min(b, at + TAKEN)]
+                q, row = query(some), ranked[at:at + len(some)]
+                got = np.einsum("ij,ij->i", q, self.outer.take(row, axis=0)) + self.bias.take(row) - log_z.take(of.take(some))
                 if row[0] >= self.heads:
-                    group, unit = int(row[0]) - self.heads, targets[some] + self.groups
-                    got += np.einsum("ij,ij->i", q, self.outer.take(unit, axis=0)) + self.bias[unit] - self._log_z(q, int(self.starts[group]), int(self.starts[group + 1]))
+                    group, unit = int(row[0]) - self.heads, targets.take(some) + self.groups
+                    got += np.einsum("ij,ij->i", q, self.outer.take(unit, axis=0)) + self.bias.take(unit) - self._log_z(q, int(self.starts[group]), int(self.starts[group + 1]))
                 out[some] = got
         return out
 
@@ -351,11 +396,12 @@ class Model:
 
 def contexts_of(units: np.ndarray, lengths: np.ndarray, before: int) -> np.ndarray:
     """The CONTEXT units before each token, the last first; ``before`` stands before a text."""
-    place = np.arange(len(units)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    first = np.cumsum(lengths) - lengths
     out = np.full((len(units), CONTEXT), before, dtype=np.int64)
     for i in range(CONTEXT):
-        ok = np.flatnonzero(place > i)
-        out[ok, i] = units[ok - i - 1]
+        out[i + 1:, i] = units[:max(0, len(units) - i - 1)]
+        for k in range(i + 1):
+            out[first[lengths > k] + k, i] = before
     return out
 
 

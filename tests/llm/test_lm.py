@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -170,3 +171,52 @@ def test_normalising_in_small_blocks_equals_one_block(monkeypatch):
         assert np.allclose(model._log_z(q, 0, model.tops), want, atol=1e-4)
     for numbers in ([], [3, 1, 3, 0], [70000, 1, 70000, 2]):
         assert lm._order(np.array(numbers, dtype=np.int64)).tolist() == sorted(range(len(numbers)), key=lambda i: numbers[i])
+
+
+def test_a_chunk_equals_its_plain_form_and_makes_no_object_for_a_token():
+    texts = [b" A b\t\tA\x0b", b"", b" \n", b"\xff\xfe q\x00r Q\x1cq \xc2\x85 \xc3\x89\xc2\xa0x", b"b", b"\x0c b a"]
+    for some in (texts, texts[1:3], texts[4:5]):
+        ids = [None, 7, 3, 3, 11, 12][:len(some)]
+        body, words, beside = lm._chunk(ids, some)
+        want = [[*t.lower().split(), lm.END] for t in some]
+        assert body["lengths"].tolist() == [len(w) for w in want]
+        assert [words[i] for i in body["stream"]] == [w for ws in want for w in ws]
+        assert len(set(words)) == len(words) and (np.diff(np.bincount(body["stream"])) <= 0).all()
+        learned = Counter(w for i, ws in zip(ids, want) if not lm.held_out(i) for w in ws)
+        assert dict(zip(words, beside["learned"].tolist())) == {w: learned[w] for w in words}
+    text, tokens = b"one two three " * 200_000, 600_001
+    before, most = sys.getallocatedblocks(), 0
+
+    def watch(frame, event, arg):
+        nonlocal most
+        most = max(most, sys.getallocatedblocks() - before)
+
+    sys.setprofile(watch)
+    try:
+        body, _, _ = lm._chunk([1], [text])
+    finally:
+        sys.setprofile(None)
+    assert len(body["stream"]) == tokens and most < tokens / 10
+
+
+def test_sums_by_row_equal_a_loop():
+    rng = np.random.default_rng(9)
+    for rows in ([5], [3, 3], [4, 1, 4, 4], [9, 2, 2, 0, 9, 7, 9, 9], rng.zipf(1.3, 3000).clip(max=70000).tolist()):
+        wide, flat = rng.normal(size=(len(rows), 4)).astype("f4"), rng.normal(size=len(rows)).astype("f4")
+        at, sums, total = lm._sums_by_row(np.array(rows), wide, flat)
+        assert sorted(at.tolist()) == sorted(set(rows))
+        for r, s, n in zip(at.tolist(), sums, total):
+            own = np.flatnonzero(np.array(rows) == r)
+            assert np.allclose(s, wide[own].sum(axis=0, dtype="f8"), atol=1e-3) and abs(n - flat[own].sum(dtype="f8")) < 1e-3
+
+
+def test_scoring_looks_up_few_tokens_at_once(monkeypatch):
+    v = vocabulary(400)
+    model, met = lm.Model(v), []
+    plain = model._log_z
+    monkeypatch.setattr(model, "_log_z", lambda q, low, high: met.append(len(q)) or plain(q, low, high))
+    rng = np.random.default_rng(2)
+    contexts, targets = rng.integers(0, v.units + 1, (30_000, lm.CONTEXT)), rng.integers(0, v.units, 30_000)
+    whole = model.log_probs(contexts, targets)
+    assert max(met) <= 4096
+    assert np.allclose(whole[:50], model.log_probs(contexts[:50], targets[:50]), atol=1e-4)
