@@ -33,6 +33,8 @@ BLOCK = 32
 RATE = 0.15
 #: Scores that are normalised at once.
 SCORES = 1 << 16
+#: Products of a query and a row up to this size have an exponential, and sums of them, as they are.
+SAFE = 60
 #: Tokens that are looked up at once in scoring, few enough to stay in a core's cache.
 TAKEN = 1 << 12
 #: Partial sums of the model, added up once more before the driver sees it.
@@ -333,15 +335,20 @@ class Model:
         """The log of the sum over the rows [low, high), a block of queries at a time."""
         out = np.empty(len(q), dtype="f4")
         outer, bias = np.ascontiguousarray(self.outer[low:high].T), self.bias[low:high]
+        most = bias.max()
+        factor = np.exp(bias - most)
+        far = np.sqrt(np.einsum("ij,ij->j", outer, outer).max())
         rows = max(64, SCORES // (high - low))  # few enough to stay in a core's cache
-        for at in range(0, len(q), 2048):
-            product = q[at:at + 2048] @ outer
-            for part in range(0, len(product), rows):
-                scores = product[part:part + rows]
+        for at in range(0, len(q), rows):
+            some = q[at:at + rows]
+            scores = some @ outer
+            if far * np.sqrt(np.einsum("ij,ij->i", some, some).max()) < SAFE:  # no score is beyond this
+                out[at:at + rows] = most + np.log(np.exp(scores, out=scores) @ factor)
+            else:
                 scores += bias
                 top = scores.max(axis=1)
                 scores -= top[:, None]
-                out[at + part:at + part + len(scores)] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
+                out[at:at + rows] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def log_probs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:

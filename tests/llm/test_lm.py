@@ -220,3 +220,18 @@ def test_scoring_looks_up_few_tokens_at_once(monkeypatch):
     whole = model.log_probs(contexts, targets)
     assert max(met) <= 4096
     assert np.allclose(whole[:50], model.log_probs(contexts[:50], targets[:50]), atol=1e-4)
+
+
+def test_normalising_queries_of_any_size_equals_doubles():
+    """Small products have their exponentials as they are, others less the largest; a block has either."""
+    model = lm.Model(vocabulary(400))
+    model.bias[:] = np.linspace(-30, 5, len(model.bias), dtype="f4")
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 30, 300, 3000):
+        q = rng.normal(0, 1, (700, lm.WIDTH)).astype("f4") * np.float32(size)
+        for low, high in ((0, model.tops), (int(model.starts[3]), int(model.starts[4]))):
+            plain = q.astype("f8") @ model.outer[low:high].T.astype("f8") + model.bias[low:high]
+            top = plain.max(axis=1)
+            want = np.log(np.exp(plain - top[:, None]).sum(axis=1)) + top
+            assert np.allclose(model._log_z(q, low, high), want, rtol=1e-5, atol=1e-4)
+    assert lm.SAFE < 80  # an exponential of twice as much is no longer a float
