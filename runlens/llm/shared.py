@@ -43,6 +43,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts both sides, however small they seem.
+
+    For rows that grow with the corpus and whose size is a guess: a row that is exploded
+    counts as one, and a table of files as its files, which may hold many times their size.
+    Taken for less than the limit, such rows would be broadcast, through the driver."""
+    return df.hint("merge")
+
+
 def whole(text: Column) -> Column:
     """A text where null counts as empty."""
     return F.coalesce(text, F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from runlens.llm import components
-from runlens.llm.shared import by_batch, raw_texts, whole, written
+from runlens.llm.shared import by_batch, by_sorting, raw_texts, whole, written
 
 WORDS, TOLERANCE, SEGMENTS, SEED = 3, 3, 4, 42
 #: Bits of a fingerprint and of a segment.
@@ -75,7 +75,8 @@ def links(prints: DataFrame) -> DataFrame:
     length. So for one start the first segment is equal and the second differs in
     at most one bit: those two make the key of the join, and each fingerprint is
     looked up under the second segment and its one-bit neighbours. Pairs that meet
-    must pass the whole chain before the full distance is taken."""
+    must pass the whole chain before the full distance is taken. The sides hold
+    4 and 68 rows for each fingerprint, so neither is broadcast."""
     assert TOLERANCE < SEGMENTS and 2 * TOLERANCE // SEGMENTS == 1
 
     def keys(df: DataFrame, name: str, flips: list[int]) -> DataFrame:
@@ -86,8 +87,8 @@ def links(prints: DataFrame) -> DataFrame:
             each = each.select(name, "i", F.explode(F.transform(F.array(*[F.lit(x) for x in flips]), lambda x: F.col("key").bitwiseXOR(x))).alias("key"))
         return each
 
-    left = keys(prints, "u", [0])
-    right = keys(prints, "v", [0, *[1 << b for b in range(WIDTH)]])
+    left = by_sorting(keys(prints, "u", [0]))
+    right = by_sorting(keys(prints, "v", [0, *[1 << b for b in range(WIDTH)]]))
     chain = F.lit(False)
     for i in range(SEGMENTS):
         chain = chain | ((F.col("left.i") == i) & _chain(i, "u", "v"))
@@ -101,14 +102,15 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Only distinct fingerprints are joined, so copies make no pairs. A component's
     id is its smallest document id, null if it has none; rows that repeat an id
-    each have a row."""
+    each have a row. The last join finds each row's fingerprint; a left join cannot
+    broadcast the rows."""
     rows = written(fingerprints(docs, words))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components.roots(links(distinct)).withColumnRenamed("node", "fp")
     rooted = distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rows.join(of_print, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def hexed(fp: Column) -> Column:
