@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from runlens.llm import components, simhash
-from runlens.llm.shared import by_batch, raw_texts, whole, written
+from runlens.llm.shared import by_batch, by_sorting, raw_texts, whole, written
 
 WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 32, 5
@@ -118,14 +118,14 @@ def _texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, text``, written, for each row of ``nodes`` (node, text_hash). Rows of one text become one before they meet its node."""
     body = whole(F.col("text"))
     held = docs.select(F.xxhash64(body).alias("text_hash"), body.alias("text")).join(nodes.select("text_hash").distinct(), "text_hash", "left_semi")
-    return written(held.groupBy("text_hash").agg(F.any_value("text").alias("text")).join(nodes.select("node", "text_hash"), "text_hash").select("node", "text"))
+    return written(held.groupBy("text_hash").agg(F.any_value("text").alias("text")).join(by_sorting(nodes.select("node", "text_hash")), "text_hash").select("node", "text"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``u, v`` whose exact similarity reaches the bound; each node's text is any of its rows'."""
     pairs = written(pairs)
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = _texts(nodes.join(ends, "node", "left_semi"), docs)
+    texts = by_sorting(_texts(nodes.join(ends, "node", "left_semi"), docs))
 
     def make(batch):
         sets: dict[bytes, np.ndarray] = {}
@@ -169,7 +169,7 @@ def _open(members: DataFrame) -> DataFrame:
 
 def _side(members: DataFrame, node: str) -> DataFrame:
     """Members as one side of a join by key, the columns named for ``node``."""
-    return members.select("key", F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in ("root", "n", "alone", "bits", "odd")])
+    return by_sorting(members.select("key", F.col("node").alias(node), *[F.col(c).alias(f"{c}_{node}") for c in ("root", "n", "alone", "bits", "odd")]))
 
 
 def _possible() -> Column:
@@ -189,9 +189,9 @@ def _simhashed(nodes: DataFrame) -> DataFrame:
     some = nodes.where("n > 0").select("node", "fp")
     heads = written(some.groupBy("fp").agg(F.min("node").alias("head")))
     near = simhash.links(heads.select("fp"))
-    of = lambda end: heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}"))
+    of = lambda end: by_sorting(heads.select(F.col("fp").alias(end), F.col("head").alias(f"head_{end}")))
     linked = near.join(of("u"), "u").join(of("v"), "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
-    return linked.union(some.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")))
+    return linked.union(some.join(by_sorting(heads), "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -213,10 +213,10 @@ def groups(docs: DataFrame) -> DataFrame:
                     .withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("head")).where("times > 1").drop("times")
-    met = written(keyed.join(shared, "key"))
+    met = written(by_sorting(keyed).join(shared, "key"))
     heads = met.where("head <> node").groupBy("node").agg(F.slice(F.sort_array(F.collect_set("head")), 1, HEADS).alias("heads"))
     stars = _ordered(heads.select(F.explode("heads").alias("u"), F.col("node").alias("v")))
-    bits = nodes.select("node", "bits")
+    bits = by_sorting(nodes.select("node", "bits"))
     stars = (stars.join(bits.select(F.col("node").alias("u"), F.col("bits").alias("a")), "u")
              .join(bits.select(F.col("node").alias("v"), F.col("bits").alias("b")), "v").where(_close("a", "b")).select("u", "v"))
     found = _verified(_ordered(stars.union(_simhashed(nodes))), nodes, docs)
@@ -227,7 +227,7 @@ def groups(docs: DataFrame) -> DataFrame:
     members = written(grouped(met.drop("head"), found))
     left = nodes.join(members.select("node").distinct(), "node", "left_semi")
     alone = left.join(_alone(left, docs), "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"), "bits", "odd")
-    members = members.join(alone.where(F.col("n") - F.col("alone") >= SIMILARITY * F.col("n") - 1e-9), "node")
+    members = by_sorting(members).join(alone.where(F.col("n") - F.col("alone") >= SIMILARITY * F.col("n") - 1e-9), "node")
     members = written(_open(members))
     share = F.col("alone") / F.col("n")
     heads = _side(members.groupBy("key").agg(F.min_by(F.struct(*[c for c in members.columns if c != "key"]), F.struct(share, "node")).alias("head")).select("key", "head.*"), "u")
@@ -236,14 +236,14 @@ def groups(docs: DataFrame) -> DataFrame:
     members = written(grouped(members, found))
     largest = (members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("key")
                .agg(F.max_by("root", F.struct("size", "root")).alias("largest")))
-    members = written(members.join(largest, "key").withColumn("outside", F.col("root") != F.col("largest"))
+    members = written(members.join(largest, "key", "left").withColumn("outside", F.col("root") != F.col("largest"))
                       .withColumn("low", F.col("alone") * (1 + SIMILARITY) <= F.col("n") * (1 - SIMILARITY) + 1e-9).drop("largest"))
     outside, low = members.where("outside"), members.where("low")
     pairs = (_side(outside.where("low"), "u").join(_side(members, "v"), "key").where(_possible()).select("u", "v")
              .union(_side(outside.where("not low"), "u").join(_side(low, "v"), "key").where(_possible()).select("u", "v")))
     linked = components.roots(found.union(_verified(_ordered(pairs), nodes, docs)))
     rooted = nodes.select("words", "node").join(linked, "node", "left").select("words", F.coalesce("root", "node").alias("root"))
-    return rows.select("doc_id", "text_hash", "words").join(rooted, "words").select("doc_id", "text_hash", "root")
+    return rows.select("doc_id", "text_hash", "words").join(rooted, "words", "left").select("doc_id", "text_hash", "root")
 
 
 def unique(docs: DataFrame) -> DataFrame:
@@ -255,9 +255,9 @@ def unique(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     heads = groups(docs).where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).select("head.*")
     cells = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole(F.col("text"))).alias("hash"))
-    kept = cells.join(written(heads), (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
+    kept = cells.join(by_sorting(written(heads)), (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")))
     again = F.count(F.lit(1)).alias("rows")
-    tied = written(kept.groupBy("id", "hash").agg(again).where("rows > 1").select("id", "hash"))
+    tied = by_sorting(written(kept.groupBy("id", "hash").agg(again).where("rows > 1").select("id", "hash")))
     single = kept.select("row", "id", "hash").join(tied, ["id", "hash"], "left_anti").select("row")
     first = kept.select("row", "id", "hash").join(tied, ["id", "hash"], "left_semi").groupBy("id", "hash").agg(F.any_value("row").alias("row")).select("row")
     return single.union(first).union(cells.where("id is null").select("row")).select("row.*")

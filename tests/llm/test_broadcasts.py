@@ -54,3 +54,12 @@ def test_op10_broadcasts_no_rows_of_guessed_size(spark, planned, tmp_path):
     found = queries.op10_simhash(spark, str(tmp_path))
     assert planned + guessed(found) == []
     assert found.count() == docs.count()
+
+
+def test_pipeline_broadcasts_no_rows_of_guessed_size(spark, planned, tmp_path):
+    now = corpus(spark, tmp_path)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        assert planned + guessed(out) == []
+        now = written(out)
+    assert now.count() > 0
